@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import neardup
+from docengine.llm import contamination, neardup, packing, splitting
 from docengine.session import table
 
 
@@ -13,5 +13,70 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_pairs(table(spark, sf_dir, "chunks"))
 
 
-QUERIES = {"p1_found": p1_found}
-ORACLE: dict[str, str] = {}
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the oversized chunks."""
+    return splitting.oversized_chunk_pieces(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "source_docs"), table(spark, sf_dir, "chunk_configs"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_pieces(spark, sf_dir).where("piece_no = 0").select("chunk_id").distinct()
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in containers of 1,024 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_containers(spark, sf_dir).where("parts > 1 and part = 0").select("doc_id").distinct()
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.container_fill(p6_containers(spark, sf_dir))
+
+
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items per document with the number of matching positions."""
+    return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items with the number of documents that hold them."""
+    return p7_leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p6_found": p6_found,
+    "p6_containers": p6_containers,
+    "p6_fill": p6_fill,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
+    "p7_items": p7_items,
+}
+
+_P7 = r"""
+with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from documents where text is not null),
+i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from eval_items where text is not null),
+iw as (select distinct item_id, array_to_string(w[s : s + 19], ' ') g from (select item_id, w, unnest(range(1, len(w) - 18)) s from i where len(w) >= 20)),
+dw as (select doc_id, s, array_to_string(w[s : s + 19], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 18)) s from w where len(w) >= 20))
+select doc_id, item_id, count(distinct s) windows from dw join iw using (g) group by 1, 2
+"""
+
+ORACLE: dict[str, str] = {
+    "p2_found": """
+with f as (select doc_id, max_by(config_id, parsed_at) config_id from source_docs group by 1)
+select distinct chunk_id from chunks left join f using (doc_id) left join chunk_configs c on c.config_id = f.config_id
+where ceil(length(raw_md_fragment) / 4.0) > coalesce(c.prose_target_tokens, 512)""",
+    "p6_found": r"select doc_id from documents where len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]+')) > 1024",
+    "p7_found": f"select doc_id, item_id from ({_P7})",
+    "p7_leaks": _P7,
+    "p7_items": f"select item_id, count(*) documents from ({_P7}) group by 1",
+}
