@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import contamination, neardup, packing, splitting
+from docengine.llm import contamination, mojibake, neardup, neighbours, packing, splitting
 from docengine.session import table
 
 
@@ -22,6 +22,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("piece_no = 0").select("chunk_id").distinct()
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbour_pairs(table(spark, sf_dir, "vector_records"))
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in containers of 1,024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -50,16 +54,28 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled documents with the restored text."""
+    return mojibake.garbled_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_restored(spark, sf_dir).select("doc_id").distinct()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
     "p6_found": p6_found,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p7_items": p7_items,
+    "p8_found": p8_found,
+    "p8_restored": p8_restored,
 }
 
 _P7 = r"""
