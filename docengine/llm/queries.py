@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docengine.llm import contamination, mojibake, neardup, neighbours, packing, splitting
+from docengine.llm import contamination, mojibake, neardup, neighbours, packing, scans, splitting
 from docengine.session import table
 
 
@@ -26,6 +26,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbour_pairs(table(spark, sf_dir, "vector_records"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.marks(table(spark, sf_dir, "page_blocks")).select("doc_id", "page_no", "line_no", "kind").distinct()
+
+
+def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repaired text of the scanned pages."""
+    return scans.repaired_pages(table(spark, sf_dir, "page_blocks"))
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in containers of 1,024 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -68,6 +77,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p5_repaired": p5_repaired,
     "p6_found": p6_found,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
