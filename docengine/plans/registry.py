@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("integrity", "retrieval")
+MODULES = ("integrity", "retrieval", "chunking")
 
 
 def queries() -> dict:
