@@ -180,3 +180,32 @@ def near_duplicate_pairs(chunks: DataFrame, shingle: int = 3, threshold: float =
     of = ids.select("tid", "chunk_id")
     out = links.join(of.select(F.col("tid").alias("a"), F.col("chunk_id").alias("p")), "a").join(of.select(F.col("tid").alias("b"), F.col("chunk_id").alias("q")), "b")
     return out.where("p <> q").select(F.least("p", "q").alias("chunk_id_a"), F.greatest("p", "q").alias("chunk_id_b")).distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Connected components of links ``a, b``: ``node, label`` with the smallest node of
+    the component. Every round takes the smallest label among the neighbours and then the
+    label's own label, so that rounds grow as the logarithm of a chain's length; each
+    round is written to the shared folder."""
+    both = checkpoint(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        met = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
+        far = labels.select(F.col("node").alias("low"), F.col("label").alias("far"))
+        after = checkpoint(met.join(far, "low", "left").select("node", F.coalesce(F.least("low", "far"), "low").alias("label"), F.col("label").alias("before")))
+        labels = after.select("node", "label")
+        if after.where("label <> before").limit(1).count() == 0:
+            return labels
+
+
+def duplicate_classes(chunks: DataFrame, shingle: int = 3, threshold: float = 0.6, min_words: int = 30) -> DataFrame:
+    """``chunk_id, class_id, links``: every chunk with a text of at least 2 * min_words - 1
+    characters, its class and the number of different texts similar to its own. Chunks of
+    one class are joined by a chain of similar texts; a class is named by its smallest
+    text hash. Copies of a text share its row of links."""
+    members = chunk_members(chunks, min_words)
+    links = checkpoint(similar_texts(members, shingle, threshold, min_words).select("a", "b"))
+    count = links.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count("*").alias("links"))
+    rows = members.select("chunk_id", "tid").distinct().join(components(links).withColumnRenamed("node", "tid"), "tid", "left").join(count, "tid", "left")
+    return rows.select("chunk_id", F.coalesce("label", "tid").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))

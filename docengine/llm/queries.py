@@ -13,6 +13,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_pairs(table(spark, sf_dir, "chunks"))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chunk with its class of near-duplicates and its number of links."""
+    return neardup.duplicate_classes(table(spark, sf_dir, "chunks"))
+
+
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of the oversized chunks."""
     return splitting.oversized_chunk_pieces(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "source_docs"), table(spark, sf_dir, "chunk_configs"))
@@ -74,6 +79,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_classes": p1_classes,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,

@@ -66,3 +66,27 @@ def test_empty_and_many_copies(spark):
     got = neardup.near_duplicate_pairs(spark.createDataFrame(rows, SCHEMA))
     assert got.count() == 61 * 60 // 2
     assert got.where(F.col("chunk_id_a") >= F.col("chunk_id_b")).count() == 0
+
+
+def test_components_equal_union_find(spark):
+    rng = random.Random(8)
+    links = [(i, i + 1) for i in range(40)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(45)] + [(7, 7), (0, 1)]
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    got = {r["node"]: r["label"] for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(got.get(n, n) == root(n) for n in parent)
+
+
+def test_classes(spark):
+    base = [f"t{i}" for i in range(60)]
+    rows = [("a", " ".join(base), None, 0, 0), ("b", " ".join([*base[:57], "x", "y", "z"]), None, 0, 0), ("c", " ".join(base), None, 0, 0), ("d", " ".join(f"u{i}" for i in range(60)), None, 0, 0)]
+    got = {r["chunk_id"]: (r["class_id"], r["links"]) for r in neardup.duplicate_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got["a"] == got["b"] == got["c"] and got["a"][1] == 1 and got["d"][1] == 0 and got["d"][0] != got["a"][0]
