@@ -85,21 +85,23 @@ def _as_utf8(text: str, charset: str) -> str:
     return _ODD_RUN.sub(run, text)
 
 
-def neighbours(text: str) -> Iterator[str]:
-    """Texts one edge away."""
+def neighbours(text: str) -> Iterator[list[str]]:
+    """Texts one edge away, in groups: first those that decode as UTF-8 (or lose HTML
+    entities), which hardly happens by chance, then those of another single-byte charset."""
+    group = []
     if "&" in text and (plain := html.unescape(text)) != text:
-        yield plain
-    for charset in CHARSETS:
-        if (other := _as_utf8(text, charset)) != text:
-            yield other
+        group.append(plain)
+    group += [other for charset in CHARSETS if (other := _as_utf8(text, charset)) != text]
+    yield group
     odd = set(map(ord, _ODD.findall(text)))
+    group = []
     for source in CHARSETS[:6]:
-        known = odd & _byte_of(source).keys()
-        if not known:
+        if not odd & _byte_of(source).keys():
             continue
         for target in _TO_SINGLE:
             if target != source and (other := text.translate(_recode(source, target))) != text and "�" not in other:
-                yield other
+                group.append(other)
+    yield group
 
 
 def _class(c: str) -> str:
@@ -147,29 +149,40 @@ class Plausibility:
             self.known[context] = cost
         return cost
 
+    def doubtful(self, text: str) -> bool:
+        """Whether any character stands in an uncommon context."""
+        return any(self.of(c) > COMMON for c in contexts(text))
+
     def cost(self, text: str) -> float:
         return sum(map(self.of, contexts(text)))
 
 
 def restore(passage: str, model: Plausibility) -> str:
-    """The cheapest text that the search reaches from a passage."""
+    """The cheapest text that the search reaches from a passage. A state whose characters
+    all stand in common contexts is a goal. Single-byte edges are tried only from states
+    that no UTF-8 edge makes cheaper."""
     start = model.cost(passage)
     queue = [(start, 0, passage)]
     seen = {xxhash.xxh64_intdigest(passage)}
     best, best_cost = passage, start
     while queue and len(seen) < MAX_STATES:
         cost, depth, text = heapq.heappop(queue)
-        if depth == 4:
-            continue
-        for other in neighbours(text):
-            if (h := xxhash.xxh64_intdigest(other)) in seen:
-                continue
-            seen.add(h)
-            c = model.cost(other) + EDGE * (depth + 1)
-            if c < best_cost:
-                best, best_cost = other, c
-            if c < cost + SLACK:
-                heapq.heappush(queue, (c, depth + 1, other))
+        if depth == 4 or (depth and not model.doubtful(text)):
+            break
+        for group in neighbours(text):
+            cheaper = False
+            for other in group:
+                if (h := xxhash.xxh64_intdigest(other)) in seen:
+                    continue
+                seen.add(h)
+                c = model.cost(other) + EDGE * (depth + 1)
+                cheaper |= c < cost - MARGIN
+                if c < best_cost:
+                    best, best_cost = other, c
+                if c < cost + SLACK:
+                    heapq.heappush(queue, (c, depth + 1, other))
+            if cheaper:
+                break
     return best if best_cost < start - MARGIN else passage
 
 
@@ -178,7 +191,7 @@ def repair(text: str, model: Plausibility) -> tuple[str, bool]:
     out = []
     for m in _PASSAGE.finditer(text):
         p = m.group()
-        if not p.isascii() and any(model.of(c) > COMMON for c in contexts(p)):
+        if not p.isascii() and model.doubtful(p):
             p = restore(p, model)
         out.append(p)
     fixed = "".join(out)
