@@ -124,24 +124,45 @@ def _visits(forests: dict[str, list[Tree]], probes: dict[str, int]):
     return run
 
 
+BLOCK = 64
+
+
+def _top(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest values of each row (fewer where there are fewer),
+    ties to the smaller column. The k-th largest of the maxima of column blocks bounds the
+    k-th largest value from below, so that few values are left to sort."""
+    n, m = s.shape
+    if m > 4 * BLOCK * k:
+        whole = m // BLOCK * BLOCK
+        peaks = s[:, :whole].reshape(n, -1, BLOCK).max(axis=2)
+        least = np.partition(peaks, peaks.shape[1] - k, axis=1)[:, peaks.shape[1] - k]
+        row, col = np.nonzero(s >= least[:, None])
+    else:
+        row, col = np.divmod(np.arange(n * m), m)
+    order = np.lexsort((col, -s[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, np.arange(n))
+    keep = np.arange(len(row)) - first[row] < k
+    return row[keep], col[keep]
+
+
 def _ranked(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("vid").sort_values("vid")
         x, vid, home = _decoded(pdf["code"]), pdf["vid"].to_numpy(), pdf["home"].to_numpy(dtype=bool)
-        members, ids = x[home], vid[home]
+        members, ids = np.ascontiguousarray(x[home].T), vid[home]
         out_q, out_n, out_s = [], [], []
         place = np.where(home, np.cumsum(home) - 1, -1)
-        top = min(k, len(ids))
-        step = max(1, 8_000_000 // max(1, len(ids)))
-        for at in range(0, len(x) if top else 0, step):
-            s = x[at : at + step] @ members.T
+        step = max(1, 4_000_000 // max(1, len(ids)))
+        for at in range(0, len(x) if len(ids) else 0, step):
+            s = x[at : at + step] @ members
             own = place[at : at + step]
             s[np.flatnonzero(own >= 0), own[own >= 0]] = -2
-            best = np.argpartition(-s, top - 1, axis=1)[:, :top] if top < len(ids) else np.tile(np.arange(top), (len(s), 1))
-            sim = np.take_along_axis(s, best, axis=1)
+            row, col = _top(s, k)
+            sim = s[row, col]
             good = sim > -1.5
-            out_q.append(np.repeat(vid[at : at + step], good.sum(axis=1)))
-            out_n.append(ids[best[good]])
+            out_q.append(vid[at : at + step][row[good]])
+            out_n.append(ids[col[good]])
             out_s.append(sim[good])
         if not out_q:
             return pd.DataFrame({"q": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "s": pd.Series(dtype="float32")})
