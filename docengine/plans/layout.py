@@ -11,6 +11,7 @@ from docengine.functions import text as T
 from docengine.operators import layout as L
 from docengine.operators import retrieval as R
 from docengine.operators.chunking import lines
+from docengine.plans.chunking import _LINES
 from docengine.plans.retrieval import CURRENT
 from docengine.session import table
 
@@ -157,7 +158,11 @@ def table_header_match(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("like", like).groupBy("doc_id").agg(F.count("*").alias("tables"), F.sum("n").alias("n_rows"), F.count(F.when(F.col("like"), 1)).alias("like_next"))
 
 
-@query(None)
+@query(f"""with recursive {CURRENT}, t as (select doc_id, metadata.table_header h, coalesce(metadata.table_rows, 0) n, row_number() over (partition by doc_id order by coalesce(line_start, line_end, 0), chunk_id) rn from cur where metadata.table_header is not null),
+cm as (select *, coalesce(h = lead(h) over (partition by doc_id order by rn), false) ok from t),
+gr as (select doc_id, h, n, rn, ok, 1 grp, false swallowed from cm where rn = 1
+  union all select c.doc_id, c.h, c.n, c.rn, c.ok, g.grp + case when g.ok and not g.swallowed then 0 else 1 end, g.ok and not g.swallowed from gr g join cm c on c.doc_id = g.doc_id and c.rn = g.rn + 1)
+select doc_id, cast(grp as bigint) merge_group, arg_min(h, rn) header, cast(sum(n) as bigint) n_rows, count(*) parts from gr group by 1, 2""")
 def table_merge(spark: SparkSession, d: str) -> DataFrame:
     """Successive tables of a file with one header, merged in pairs."""
     rows = R.current_chunks(table(spark, d, "chunks")).where("metadata.table_header is not null")
@@ -166,7 +171,9 @@ def table_merge(spark: SparkSession, d: str) -> DataFrame:
     return L.merge_tables(rows, ["doc_id"], "ord").withColumn("header", F.array_join("header", " | "))
 
 
-@query(None)
+@query(rf"""with {CURRENT}, {_LINES}, p as (select *, contains(line, '|') p, regexp_matches(trim(line), '^\|?[ :|-]*-[ :|-]*\|?$') r from ln),
+q as (select *, lag(p) over w pp, lead(p) over w np, lead(r) over w nr from p window w as (partition by chunk_id order by line_no))
+select chunk_id, line_no, cast(len(string_split(regexp_replace(trim(line), '^\||\|$', '', 'g'), '|')) as integer) columns from q where p and not coalesce(pp, false) and coalesce(np, false) and not coalesce(nr, false) and not r""")
 def table_repair(spark: SparkSession, d: str) -> DataFrame:
     """Rows of pipe tables after which the rule is missing."""
     return L.missing_rules(lines(R.current_chunks(table(spark, d, "chunks")), ["chunk_id"], "raw_md_fragment"), ["chunk_id"])
