@@ -104,6 +104,19 @@ select doc_id, item_id, count(distinct s) windows from dw join iw using (g) grou
 """
 
 ORACLE: dict[str, str] = {
+    "p1_found": r"""
+with c as (select distinct chunk_id, coalesce(raw_md_fragment, regexp_extract(text_for_embedding, '(?s)\A.*?\n[ \t\r]*\n(.*)\z', 1)) t from chunks),
+w as (select chunk_id, regexp_extract_all(lower(t), '[a-z0-9]+') w from c),
+s as (select distinct chunk_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] g from (select chunk_id, w, unnest(range(1, len(w) - 1)) i from w where len(w) >= 30)),
+n as (select chunk_id, count(*) n from s group by 1),
+b as (select x.chunk_id a, y.chunk_id b, count(*) m from s x join s y on x.g = y.g and x.chunk_id < y.chunk_id group by 1, 2)
+select b.a chunk_id_a, b.b chunk_id_b from b join n p on p.chunk_id = b.a join n q on q.chunk_id = b.b where m >= 0.6 * (p.n + q.n - m) - 1e-9""",
+    "p3_found": """
+with u as (select namespace ns, id, values::double[] v from vector_records where coalesce(id, '') <> '' and len(values) = 64
+  and len(list_filter(values, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(values, lambda x: x <> 0)) > 0
+  qualify row_number() over (partition by namespace, id order by upserted_at desc) = 1),
+t as (select a.ns, a.id a, b.id b from u a join u b on a.ns = b.ns and a.id <> b.id qualify row_number() over (partition by a.ns, a.id order by list_cosine_similarity(a.v, b.v) desc) <= 5)
+select distinct least(a, b) id_a, greatest(a, b) id_b from t""",
     "p2_found": """
 with f as (select doc_id, max_by(config_id, parsed_at) config_id from source_docs group by 1)
 select distinct chunk_id from chunks left join f using (doc_id) left join chunk_configs c on c.config_id = f.config_id
