@@ -97,10 +97,10 @@ def _batches(block: Block, rows: Iterator[pd.DataFrame]):
             ids.extend([get(w, 0) for w in found])
             ids.append(0)
             if len(ids) >= BATCH_WORDS:
-                yield np.array(docs), np.array(starts), np.array(ids, dtype=np.int32)
+                yield np.array(docs, dtype=object), np.array(starts), np.array(ids, dtype=np.int32)
                 docs, ids, starts = [], [], []
     if docs:
-        yield np.array(docs), np.array(starts), np.array(ids, dtype=np.int32)
+        yield np.array(docs, dtype=object), np.array(starts), np.array(ids, dtype=np.int32)
 
 
 def _counts(block: Block):
@@ -161,8 +161,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     blank texts and texts of fewer words match nothing; repeated rows count once; no
     items give no rows.
     """
-    schema = "doc_id long, item_id long, at long"
-    docs = docs.select("doc_id", "text")
+    schema = "doc_id string, item_id long, at long"
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # a nullable long comes to pandas as a float
     out = docs.sparkSession.createDataFrame([], schema)
     for part in _blocks(items):
         block = Block(part)
@@ -172,4 +172,4 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         block.choose({s: n for s, n in counts.toLocalIterator()})
         if len(block.order):
             out = out.unionByName(docs.mapInPandas(_matches(block), schema))
-    return out.groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("windows"))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long")).groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("windows"))

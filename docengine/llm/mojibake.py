@@ -246,4 +246,5 @@ def garbled_documents(docs: DataFrame) -> DataFrame:
                     out.append((doc, fixed, lost))
             yield pd.DataFrame(out, columns=["doc_id", "restored", "lost"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, restored string, lost boolean")
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # a nullable long comes to pandas as a float
+    return named.mapInPandas(run, "doc_id string, restored string, lost boolean").withColumn("doc_id", F.col("doc_id").cast("long"))

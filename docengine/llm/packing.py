@@ -29,8 +29,8 @@ CAPACITY = 1024
 SHARD_ITEMS = 2048
 K1, B = 1.2, 0.75
 _TOKEN = re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]+")
-_ITEMS = "doc_id long, part int, parts int, tokens int, start int, stop int, salt long, text string"
-_PACKED = "container string, doc_id long, part int, parts int, tokens int, start int, stop int"
+_ITEMS = "doc_id string, part int, parts int, tokens int, start int, stop int, salt long, text string"
+_PACKED = "container string, doc_id string, part int, parts int, tokens int, start int, stop int"
 
 
 def _items(capacity: int):
@@ -156,7 +156,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         number = pack(pdf["text"].tolist(), pdf["tokens"].to_numpy(), capacity)
         return pdf.assign(container=[f"{s}-{k}" for s, k in zip(pdf["shard"], number, strict=True)])[["container", "doc_id", "part", "parts", "tokens", "start", "stop"]]
 
-    items = docs.select("doc_id", "text").mapInPandas(_items(capacity), _ITEMS)
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # a nullable long comes to pandas as a float
+    items = named.mapInPandas(_items(capacity), _ITEMS)
     items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part", "salt"), F.lit(shards)).cast("int"))
     # full parts and empty texts go the same way as the others, so that texts are tokenized once
     whole = (F.col("tokens") == capacity) | (F.col("tokens") == 0)
@@ -169,7 +170,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return pd.concat([rest, pdf.assign(container=alone)[rest.columns]])
 
     slim = items.withColumn("text", F.when(~whole, F.col("text")))
-    return slim.groupBy("shard").applyInPandas(shard, _PACKED)
+    return slim.groupBy("shard").applyInPandas(shard, _PACKED).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def container_fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

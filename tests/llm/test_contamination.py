@@ -23,7 +23,7 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
             cut = rng.randint(15, 40)
             body = f"{body}. {' - '.join(w[:cut]).upper()} {text(5)}"
         docs.append((d, body))
-    docs += [(500, None), (501, ""), (502, items[3][1] * 2), (502, items[3][1] * 2), (503, (text(30) + " ") * 3_000)]
+    docs += [(500, None), (501, ""), (502, items[3][1] * 2), (502, items[3][1] * 2), (503, (text(30) + " ") * 3_000), (None, items[3][1] + items[5][1]), (2**60 + 1, "x " + items[7][1] * 2)]
     df = spark.createDataFrame([(d, t, 1, 2) for d, t in docs], "doc_id long, text string, item_id int, at int")
     ev = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
     want = _brute(docs, [(i, t) for i, t in items])

@@ -20,9 +20,9 @@ def test_restores_what_was_garbled(spark):
                 continue
             bad[1000 + 10 * k + j] = (t, text)
     extra = [(d, t, None, None) for d, (t, _) in bad.items()]
-    extra += [(1, CLEAN[1], None, None), (2000, None, None, None), (2001, "", None, None), (2002, "plain ascii", None, None), (2003, "lost � here", None, None), (2004, "The Тарволен name", None, None), (2005, "The √2 rule, ±0.5 at 4 °C", None, None), (2006, CLEAN[0] * 3_000, None, None)]
+    extra += [(1, CLEAN[1], None, None), (2000, None, None, None), (2001, "", None, None), (2002, "plain ascii", None, None), (2003, "lost � here", None, None), (2004, "The Тарволен name", None, None), (2005, "The √2 rule, ±0.5 at 4 °C", None, None), (2006, CLEAN[0] * 3_000, None, None), (None, "lost �", None, None), (2**60 + 1, "lost �", None, None)]
     got = {r["doc_id"]: r for r in m.garbled_documents(_docs(spark, extra)).collect()}
-    assert set(got) == {*bad, 2003}
+    assert set(got) == {*bad, 2003, None, 2**60 + 1}
     assert sum(got[d]["restored"] == text for d, (_, text) in bad.items()) >= 0.95 * len(bad)
     assert got[2003]["lost"] and not got[1000]["lost"]
 

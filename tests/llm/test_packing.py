@@ -36,7 +36,7 @@ def test_bm25_equals_the_formula():
 def test_documents_round_trip(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(("ä", "loan", "x,", "--")) for _ in range(rng.randint(0, 70))), 5) for i in range(200)]
-    rows += [(900, None, 5), (901, "", 5), (902, " \n\t", 5), (903, "w " * 1000, 5), (903, "w " * 1000, 5), (904, "k " * 64, 5), (905, "long" * 300_000, 5)]
+    rows += [(900, None, 5), (901, "", 5), (902, " \n\t", 5), (903, "w " * 1000, 5), (903, "w " * 1000, 5), (904, "k " * 64, 5), (905, "long" * 300_000, 5), (None, "no id", 5), (2**60 + 1, "big id", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, shard int")
     got = packing.pack_documents(df, 64).collect()
     text = {d: t or "" for d, t, _ in rows}
