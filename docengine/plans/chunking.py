@@ -167,7 +167,11 @@ def paragraph_pack(spark: SparkSession, d: str) -> DataFrame:
     return C.pack_paragraphs(table(spark, d, "documents"), ["doc_id"], "text")
 
 
-@query(None)
+@query(r"""with recursive st as (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[ \t\r\n]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') l from documents where text is not null),
+sz as (select doc_id, i, cast(ceil(length(l[i]) / 4.0) as integer) size from st, lateral (select unnest(range(1, len(l) + 1)) i)),
+w as (select doc_id, i, size, 0 pack, cast(size as bigint) used from sz where i = 1
+ union all select p.doc_id, p.i, p.size, w.pack + case when w.used > 0 and w.used + p.size > 512 then 1 else 0 end, case when w.used > 0 and w.used + p.size > 512 then p.size else w.used + p.size end from w join sz p on p.doc_id = w.doc_id and p.i = w.i + 1)
+select doc_id, pack as "window", cast(greatest(0, min(i) - 1 - case when pack > 0 then 3 else 0 end) as integer) first, cast(max(i) - 1 as integer) last from w group by 1, 2""")
 def sentence_windows(spark: SparkSession, d: str) -> DataFrame:
     return C.sentence_windows(table(spark, d, "documents"), ["doc_id"], "text")
 

@@ -81,7 +81,14 @@ def box_pixels(spark: SparkSession, d: str) -> DataFrame:
     return boxes(spark, d).select("id", back.x0.alias("nx"), shown.x1.alias("px"), shown.y1.alias("py"))
 
 
-@query(None)
+_IOU = "(greatest(0.0::double, least(k.x1, o.x1) - greatest(k.x0, o.x0)) * greatest(0.0::double, least(k.y1, o.y1) - greatest(k.y0, o.y0)))"
+
+
+@query(f"""with recursive {_B}, o as (select *, row_number() over (partition by page order by score desc, id) rn from b where x0 < x1 and y0 < y1),
+w as (select page, rn, [{{'id': id, 'score': score, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}] kept from o where rn = 1
+ union all select o.page, o.rn, case when list_bool_or(list_transform(w.kept, lambda k: {_IOU} / ((k.x1 - k.x0) * (k.y1 - k.y0) + (o.x1 - o.x0) * (o.y1 - o.y0) - {_IOU}) > 0.3)) then w.kept
+ else list_append(w.kept, {{'id': o.id, 'score': o.score, 'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1}}) end from w join o on o.page = w.page and o.rn = w.rn + 1)
+select page, k.id, k.score from (select page, unnest(kept) k from w qualify row_number() over (partition by page order by rn desc) = 1)""")
 def nms(spark: SparkSession, d: str) -> DataFrame:
     return L.suppress(L.cleaned_boxes(boxes(spark, d)), ["page"], "id", 0.3).select("page", "id", "score")
 
