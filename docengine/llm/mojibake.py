@@ -9,7 +9,9 @@ cheapest reachable text wins if it beats the passage as it stands by MARGIN.
 
 Scale: one pass counts contexts (each task sends at most 4 * TABLE counts, however many
 documents it reads), a second repairs; nothing else is shuffled. The plausibility table
-has a fixed size. Passages whose characters all stand in common contexts are not searched.
+has a fixed size. A passage is searched if a character stands in an uncommon context, if it
+decodes as UTF-8 in part, or if one single-byte edge makes it cheaper by MARGIN: the counts
+hold the garbled rows too, so that what is often garbled in one way stands in common contexts.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ _TO_SINGLE = ("cp1252", "mac_roman", "cp437", "cp850")
 _PASSAGE = re.compile(r"[^\n]*?[.!?][\"'”’)]*(?:\s+|$)|[^\n]+\n?|\n")
 _ODD = re.compile(r"[^\x00-\x7f]")
 _ODD_RUN = re.compile(r"[^\x00-\x7f]+")
+_ODD_RUNS = re.compile(r"[^\x00-\x7f]{2,}")
 _UTF8 = re.compile(r"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _LOST = re.compile(r"[�\x80-\x84\x86-\x9f]")
 
@@ -85,6 +88,12 @@ def _as_utf8(text: str, charset: str) -> str:
     return _ODD_RUN.sub(run, text)
 
 
+@cache
+def _singles() -> list[dict[int, str]]:
+    """The single-byte edges."""
+    return [_recode(source, target) for source in CHARSETS[:6] for target in _TO_SINGLE if target != source]
+
+
 def neighbours(text: str) -> Iterator[list[str]]:
     """Texts one edge away, in groups: first those that decode as UTF-8 (or lose HTML
     entities), which hardly happens by chance, then those of another single-byte charset."""
@@ -131,6 +140,8 @@ class Plausibility:
         self.counts = counts
         self.total = max(1.0, float(counts[:TABLE].sum()))
         self.known: dict[tuple[str, str, str], float] = {}
+        self.gained: dict[tuple[str, str, str], np.ndarray] = {}
+        self.decodes: dict[str, bool] = {}
 
     def of(self, context: tuple[str, str, str]) -> float:
         if (cost := self.known.get(context)) is None:
@@ -149,9 +160,37 @@ class Plausibility:
             self.known[context] = cost
         return cost
 
+    def gains(self, context: tuple[str, str, str]) -> np.ndarray:
+        """What each single-byte edge takes off the cost of a character in its context."""
+        if (out := self.gained.get(context)) is None:
+            if len(self.gained) > 50_000:
+                self.gained.clear()
+            cost, text = self.of(context), "".join(context)
+            out = np.zeros(len(_singles()))
+            for i, table in enumerate(_singles()):
+                b, c, a = text.translate(table)
+                if (b + c + a) != text:
+                    out[i] = -math.inf if "�" in b + c + a else cost - (0 if c.isascii() else self.of((b, c, a)))
+            self.gained[context] = out
+        return out
+
+    def decodable(self, text: str) -> bool:
+        """Whether any of it is UTF-8 once encoded with a charset."""
+        for run in _ODD_RUNS.findall(text):
+            if (yes := self.decodes.get(run)) is None:
+                if len(self.decodes) > 200_000:
+                    self.decodes.clear()
+                yes = self.decodes[run] = any(_as_utf8(run, charset) != run for charset in CHARSETS)
+            if yes:
+                return True
+        return False
+
     def doubtful(self, text: str) -> bool:
-        """Whether any character stands in an uncommon context."""
-        return any(self.of(c) > COMMON for c in contexts(text))
+        """Whether any character stands in an uncommon context or an edge may help."""
+        all_ = list(contexts(text))
+        if any(self.of(c) > COMMON for c in all_) or self.decodable(text):
+            return True
+        return bool(all_) and float(sum(map(self.gains, all_)).max()) > MARGIN + EDGE
 
     def cost(self, text: str) -> float:
         return sum(map(self.of, contexts(text)))

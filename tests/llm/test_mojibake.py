@@ -29,3 +29,13 @@ def test_restores_what_was_garbled(spark):
 
 def test_empty(spark):
     assert m.garbled_documents(_docs(spark, []).limit(0)).count() == 0
+
+
+def test_frequent_garbling_is_found(spark):
+    garble = lambda t: t.encode("utf-8").decode("cp1252")
+    rows = [(i, garble(CLEAN[i % 4] + f" Number {i}.") if i % 3 == 0 else CLEAN[i % 4] + f" Number {i}.") for i in range(400)]
+    rows += [(1000 + i, "Le château a été donné à l’époque du prêt.".encode("cp1252").decode("mac_roman") + f" Nr. {i}") for i in range(100)]
+    rows += [(2000 + i, "Le château a été donné à l’époque du prêt." + f" Nr. {i}") for i in range(200)]
+    got = {r["doc_id"]: r["restored"] for r in m.garbled_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {*range(0, 400, 3), *range(1000, 1100)}
+    assert all(got[i] == CLEAN[i % 4] + f" Number {i}." for i in range(0, 400, 3)) and got[1005] == "Le château a été donné à l’époque du prêt. Nr. 5"
