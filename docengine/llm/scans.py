@@ -6,7 +6,9 @@ other distinct word is looked up by intersecting its generalized Levenshtein aut
 which gives all candidates within two edits. Candidates are ranked by how often they occur
 and how often they follow or precede the word's neighbours; a word is misread if its best
 candidate is far more frequent than the word itself. Blanks inside words are found the
-same way: the joined word is frequent, the pair of pieces is not. A running line
+same way: the joined word is frequent, the pair of pieces is not. A word that is not frequent
+enough for that, as the names of one file, is sought among the words of its own file: those
+of the same confusion class, within two edits, and FILE_RATIO times as frequent there. A running line
 recurs, up to misreadings, at the edge of several pages of its file, or has the form of
 such lines in other files; a page-number line shows the page's own number. What is left is
 reflowed into paragraphs.
@@ -14,7 +16,8 @@ reflowed into paragraphs.
 Scale: pages are never gathered by file. Word counts, edge lines and suspicious words are
 small derived tables that are grouped and joined by key; each distinct suspicious word is
 looked up once. Only the vocabulary travels to the tasks; a word must make up VOCABULARY
-of all words to be in it, so it has at most 1 / VOCABULARY entries.
+of all words to be in it, so it has at most 1 / VOCABULARY entries. The words of a file are
+not broadcast; they are joined by file and confusion class.
 """
 
 from __future__ import annotations
@@ -24,14 +27,15 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.session import checkpoint
 
 EDGE = 4
 VOCABULARY, COMMON = 2e-6, 2e-5
-RATIO, SPLIT_RATIO = 20, 20
+RATIO, SPLIT_RATIO, FILE_RATIO = 20, 20, 3
 LINKS = ("and", "or", "to")  # after a suspended hyphen ("short- and") unless they complete a word
 HYPHENS = "-¬­‐"
 # What scanners read (left) for what is printed (right).
@@ -44,6 +48,9 @@ _DIGIT_FOR = str.maketrans({"l": "1", "I": "1", "i": "1", "!": "1", "|": "1", "O
 _FOLD_PAIRS = (("ﬁ", "fi"), ("ﬂ", "fl"), ("cl", "d"), ("rn", "m"), ("ri", "n"), ("ii", "u"), ("li", "h"), ("vv", "w"))
 _FOLD = str.maketrans({"c": "e", "f": "e", "t": "e", "q": "g", "y": "v", "0": "o", "1": "i", "l": "i", "!": "i", "|": "i", "@": "a", "5": "s", "6": "b", "8": "b", " ": None, "\t": None})
 _AS_I = str.maketrans("l1!|", "iiii")
+_ALIKE = dict(zip("cftl1!|@q9y05$68", "eeeiiiiaggvossbb", strict=True))
+_AS_TWO = {"m": "rri", "n": "ri", "d": "ei", "h": "ii", "u": "ii", "w": "vv", "ﬁ": "ei", "ﬂ": "ei"}
+_CLASS = str.maketrans(_ALIKE | _AS_TWO)
 _PUNCT = "([{<\"'“”‘’„«».,;:)]}>%*_`"
 _NUMBER = re.compile(r"[$€£]?-?\d{1,3}(?:,\d{3})+(?:\.\d+)?[x%]?|[$€£]?-?\d+(?:\.\d+)?[x%]?|\d{4}-\d\d-\d\d|\d{1,2}/\d{1,2}/\d{2,4}|\d+(?:st|nd|rd|th)")
 _CODE = re.compile(r"(?:FY|[A-Z]{1,4}-?)\d+|\d+[A-Z]?")
@@ -164,18 +171,37 @@ def _tokens(lines: list[str]) -> Iterator[tuple[int, list[tuple[str, bool]]]]:
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total: Counter[str] = Counter()
     for pdf in batches:
-        for lines in pdf["raw_lines"]:
+        total: dict[str, Counter[str]] = {}
+        for doc, lines in zip(pdf["doc_id"], pdf["raw_lines"], strict=True):
             if lines is not None:
+                mine = total.setdefault(doc, Counter())
                 for _, words in _tokens(lines):
-                    total.update([w for w, piece in words if not piece])
-    cores: Counter[str] = Counter()
-    for word, n in total.items():
-        for part in word.strip(_PUNCT).lower().split("-"):
-            if len(part) > 1 and part.isalpha():
-                cores[part] += n
-    yield pd.DataFrame({"word": list(cores.keys()), "n": list(cores.values())})
+                    mine.update([w for w, piece in words if not piece])
+        out = []
+        parts: dict[str, list[str]] = {}
+        keys: dict[str, int] = {}
+        for doc, mine in total.items():
+            cores: Counter[str] = Counter()
+            for word, n in mine.items():
+                if (some := parts.get(word)) is None:
+                    some = parts[word] = [x for x in word.strip(_PUNCT).lower().split("-") if len(x) > 1 and x.isalpha()]
+                for part in some:
+                    cores[part] += n
+            for word in cores.keys() - keys.keys():
+                key = xxhash.xxh64_intdigest(word.translate(_CLASS), 42)  # as Spark's xxhash64
+                keys[word] = key - (1 << 64) if key >> 63 else key
+            out.append((doc, list(cores.keys()), list(cores.values()), [keys[word] for word in cores]))
+        yield pd.DataFrame(out, columns=["doc_id", "words", "ns", "keys"])
+
+
+def confusion_class(word: Column) -> Column:
+    """A key that no misreading changes: every character that may be misread as two becomes
+    those two, and the single ones that are misread for each other become one."""
+    out = F.translate(F.lower(word), "".join(_ALIKE), "".join(_ALIKE.values()))
+    for c, two in _AS_TWO.items():
+        out = F.replace(out, F.lit(c), F.lit(two))
+    return out
 
 
 class Trie:
@@ -236,13 +262,15 @@ def _odd(core: str) -> bool:
 _MARKS = "doc_id string, page_no int, line_no int, kind string, word string, left string, right string, joined long, line_2 int, cut int"
 
 
-def _suspects(vocabulary: dict[str, int], common: int):
+def _suspects(vocabulary: dict[str, int], common: int, dubious: set[str]):
     """Broken words, and words and pairs that may be misread: kinds ``break``, ``number``,
-    ``word`` and ``pair``."""
+    ``word`` and ``pair``. ``dubious`` are common words that a file may have for others."""
 
     def known(core: str) -> bool:
         low = core.lower()
         n = vocabulary.get(low, 0)
+        if dubious and not dubious.isdisjoint(low.split("-")):
+            return False
         return n >= common or (len(low) < 2) or ("-" in low and all(len(p) < 2 or vocabulary.get(p, 0) >= common or not p.isalpha() and not _odd(p) for p in low.split("-")))
 
     cache: dict[str, tuple[str, str] | None] = {}
@@ -298,8 +326,8 @@ def _suspects(vocabulary: dict[str, int], common: int):
     return run
 
 
-def _looked_up(vocabulary: dict[str, int]):
-    """For each suspicious word its best candidate, if there is one."""
+def _looked_up(vocabulary: dict[str, int], common: int):
+    """For each suspicious word its best candidate, if there is one. A common word has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie = Trie(vocabulary)
@@ -311,7 +339,7 @@ def _looked_up(vocabulary: dict[str, int]):
                 for part in word.split("-"):
                     low = part.lower()
                     own = max(vocabulary.get(low, 0), n if len(word) == len(part) else 0)
-                    if len(low) < 3 or (vocabulary.get(low, 0) and not low.isalpha()):
+                    if len(low) < 3 or (vocabulary.get(low, 0) and not low.isalpha()) or vocabulary.get(low, 0) >= common:
                         parts.append(part)
                         continue
                     around = set(lefts) | set(rights)
@@ -329,6 +357,37 @@ def _looked_up(vocabulary: dict[str, int]):
     return run
 
 
+def _in_file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each part of a suspicious word its best candidate of the file, if there is one."""
+    for pdf in batches:
+        out = []
+        for doc, word, base, at, part, own, others in pdf[["doc_id", "word", "base", "at", "part", "own", "others"]].itertuples(index=False):
+            counts = {o["word"]: o["n"] for o in others}
+            if found := Trie(counts).candidates(part.lower()):
+                best = max(found, key=lambda c: (counts[c] / 12.0 ** found[c], c))
+                out.append((doc, word, base, at, part.lower(), own, best))
+        yield pd.DataFrame(out, columns=["doc_id", "word", "base", "at", "low", "own", "best"])
+
+
+def meant_in_file(asked: DataFrame, file_words: DataFrame, counts: DataFrame) -> DataFrame:
+    """``doc_id, word, here`` from ``doc_id, word, meant`` for the words of which a part that
+    the vocabulary leaves as it is stands for another word of its file. Most of a word's
+    occurrences must lie in files that have the other one so often, or it is a word itself."""
+    part = F.posexplode(F.arrays_zip(F.split("word", "-").alias("was"), F.split(F.coalesce("meant", "word"), "-").alias("now"))).alias("at", "p")
+    left = asked.select("doc_id", "word", F.coalesce("meant", "word").alias("base"), part).where("lower(p.was) = lower(p.now) and length(p.was) >= 3").select("doc_id", "word", "base", "at", F.col("p.was").alias("part"))
+    least = F.expr(f"if(part rlike '^\\\\p{{L}}+$', {FILE_RATIO} * greatest(own, 1L), 1L)")
+    some = left.withColumn("class", F.xxhash64("doc_id", F.xxhash64(confusion_class(F.col("part"))))).hint("shuffle_hash").join(file_words.select("class", F.struct(F.col("word"), "n").alias("w")), "class")
+    own = F.coalesce(F.max(F.when(F.col("w.word") == F.lower("part"), F.col("w.n"))), F.lit(0)).cast("long")
+    some = some.groupBy("doc_id", "word", "base", "at", "part").agg(own.alias("own"), F.collect_list("w").alias("all"), F.max("w.n").alias("top")).withColumn("least", least).where("top >= least")
+    some = some.withColumn("others", F.expr("filter(all, x -> x.word <> lower(part) and x.n >= least)")).where("size(others) > 0").select("doc_id", "word", "base", "at", "part", "own", "others")
+    best = checkpoint(some.mapInPandas(_in_file, "doc_id string, word string, base string, at int, low string, own long, best string"))
+    there = best.select("doc_id", "low", "own").distinct().groupBy("low").agg(F.sum("own").alias("there"))
+    sure = there.join(counts.withColumnRenamed("word", "low"), "low", "left").where("n is null or 2 * there >= n").select("low")
+    told = best.join(sure, "low").groupBy("doc_id", "word", "base").agg(F.map_from_entries(F.collect_list(F.struct("at", "best"))).alias("new"))
+    here = F.expr("transform(split(base, '-'), (x, i) -> if(substring(x, 1, 1) rlike '\\\\p{Lu}' and new[i] is not null, initcap(new[i]), coalesce(new[i], x)))")
+    return told.select("doc_id", "word", F.concat_ws("-", here).alias("here"))
+
+
 def marks(pages: DataFrame) -> DataFrame:
     """Everything that is wrong with the lines: ``doc_id, page_no, line_no, kind, word,
     meant``. ``kind`` is ``furniture``, ``hyphen`` or ``ocr``; of an ocr mark ``word`` is
@@ -340,19 +399,30 @@ def marks(pages: DataFrame) -> DataFrame:
     page is never broken.
     """
     pages = pages.select("doc_id", "page_no", "raw_lines").where("doc_id is not null and page_no is not null and size(raw_lines) > 0")
-    counts = checkpoint(pages.select("raw_lines").mapInPandas(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    words = pages.select("doc_id", "raw_lines").mapInPandas(_words, "doc_id string, words array<string>, ns array<long>, keys array<long>")
+    words = words.select("doc_id", F.explode(F.arrays_zip("words", "ns", "keys")).alias("w")).select(F.xxhash64("doc_id", "w.keys").alias("class"), F.col("w.words").alias("word"), F.col("w.ns").alias("n"))
+    file_words = checkpoint(words.groupBy("class", "word").agg(F.sum("n").alias("n")))  # class: file and confusion class
+    counts = checkpoint(file_words.groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(3, VOCABULARY * total)
     vocabulary = {r["word"]: r["n"] for r in counts.where(F.col("n") >= least).toLocalIterator()}
     common = max(4 * least, COMMON * total)
+    alike: Counter[str] = Counter()
+    for word, n in vocabulary.items():
+        alike[word.translate(_CLASS)] += n
+    # common words of whose occurrences half may lie in files that have others FILE_RATIO times as often
+    dubious = {w for w, n in vocabulary.items() if n >= common and len(w) >= 3 and 2 * (alike[w.translate(_CLASS)] - n) >= FILE_RATIO * n}
 
     edges = checkpoint(edge_lines(pages))
     furniture = edges.where("furniture").select("doc_id", "page_no", "line_no").distinct()
-    suspects = checkpoint(pages.mapInPandas(_suspects(vocabulary, common), _MARKS).join(furniture, ["doc_id", "page_no", "line_no"], "left_anti"))
+    suspects = checkpoint(pages.mapInPandas(_suspects(vocabulary, common, dubious), _MARKS).join(furniture, ["doc_id", "page_no", "line_no"], "left_anti"))
 
     asked = suspects.where("kind = 'word'").groupBy("word").agg(F.count("*").alias("n"), F.slice(F.collect_set("left"), 1, 50).alias("lefts"), F.slice(F.collect_set("right"), 1, 50).alias("rights"))
-    meant = asked.mapInPandas(_looked_up(vocabulary), "word string, meant string")
-    words = suspects.where("kind = 'word'").join(meant, "word")
+    meant = asked.mapInPandas(_looked_up(vocabulary, common), "word string, meant string")
+    meant = checkpoint(meant.withColumn("told", F.lit(True)))
+    words = suspects.where("kind = 'word'")
+    here = checkpoint(meant_in_file(words.select("doc_id", "word").distinct().join(meant, "word", "left"), file_words, counts))
+    words = words.join(meant, "word", "left").join(here, ["doc_id", "word"], "left").withColumn("meant", F.coalesce("here", "meant")).where("told or meant is not null")
     # a word broken over lines is misread in the line where it first differs from what was meant
     same = F.expr("aggregate(sequence(1, least(length(word), length(meant))), 0, (a, i) -> if(a = i - 1 and lower(substring(word, i, 1)) = lower(substring(meant, i, 1)), i, a))")
     line = F.when((F.col("cut") >= 0) & (same >= F.col("cut")), F.col("line_2")).otherwise(F.col("line_no"))

@@ -56,3 +56,14 @@ def test_suspended_hyphens(spark):
     extra = [("z", 1, ["the short-", "and long lines of thous-", "and lenders"], "x", 7)] + [("y", p, [f"a thousand {p} of them", f"or {p} lines"], "x", 7) for p in range(1, 5)]
     got = {(r["line_no"], r["kind"]) for r in scans.marks(_pages(spark, extra)).where("doc_id = 'z'").collect()}
     assert got == {(1, "hyphen")}
+
+
+def test_words_of_one_file(spark):
+    drew = lambda *names: [f"{n} drew funds under the line" for n in names]
+    extra = [
+        ("k", 1, drew(*["Kesmimoor"] * 3, "Kcsmimoor", *["Kesmimoor"] * 4, "Kesm!moor", "Dane-Kcsmimoor") + ["the lender agreed", "and the line", "to fund inventory", "under the line"], "x", 7),
+        ("h", 1, drew(*["lender"] * 100, *["lendcr"] * 30), "x", 7),
+        ("f", 1, drew(*["tax"] * 5, "fax"), "x", 7), ("g", 1, drew(*["fax"] * 4), "x", 7),
+    ]
+    got = {(r["doc_id"], r["line_no"], r["word"], r["meant"]) for r in scans.marks(_pages(spark, extra)).where("kind = 'ocr'").collect()}
+    assert got == {("k", 3, "Kcsmimoor", "Kesmimoor"), ("k", 8, "Kesm!moor", "Kesmimoor"), ("k", 9, "Dane-Kcsmimoor", "Dane-Kesmimoor"), *(("h", i, "lendcr", "lender") for i in range(100, 130))}
