@@ -259,7 +259,7 @@ def _odd(core: str) -> bool:
     return letters >= 3 and 0 < odd <= 2 and letters + odd == len(core) and not _CODE.fullmatch(core)
 
 
-_MARKS = "doc_id string, page_no int, line_no int, kind string, word string, left string, right string, joined long, line_2 int, cut int"
+_MARKS = "doc_id string, page_no int, line_no int, kind string, word string, left string, right string, joined long"
 
 
 def _suspects(vocabulary: dict[str, int], common: int, dubious: set[str]):
@@ -302,24 +302,22 @@ def _suspects(vocabulary: dict[str, int], common: int, dubious: set[str]):
                     for j, (token, piece) in enumerate(words):
                         if piece and j == len(words) - 1 and (part := broken_word(lines[i])):
                             nxt = [(k, w[0][0].strip(_PUNCT)) for k, w in told[at + 1 : at + 1 + EDGE]]
-                            out.append((doc, page, i, "break", part, "\t".join(f"{k} {w}" for k, w in nxt), ",".join(w for w in LINKS if (part + w).lower() in vocabulary), 0, -1, -1))
-                            if nxt and nxt[0][1][:1].islower():
-                                out.append((doc, page, i, "word", part + nxt[0][1], before, "", 0, nxt[0][0], len(part)))
+                            out.append((doc, page, i, "break", part, "\t".join(f"{k} {w}" for k, w in nxt), ",".join(w for w in LINKS if (part + w).lower() in vocabulary), 0))
                         elif piece:
                             pass
                         elif (verdict := judge(token)) is not None:
                             after = words[j + 1][0].strip(_PUNCT).lower() if j + 1 < len(words) else ""
                             kind, core = verdict
-                            out.append((doc, page, i, kind, token.strip(_PUNCT) if kind == "number" else core, core if kind == "number" else before, after, 0, -1, -1))
+                            out.append((doc, page, i, kind, token.strip(_PUNCT) if kind == "number" else core, core if kind == "number" else before, after, 0))
                         core = token.strip(_PUNCT).lower()
                         if before and core and not piece:
                             a, b = words[j - 1][0].lstrip(_PUNCT), token.rstrip(_PUNCT)
                             if a[-1:].isalpha() and b[:1].isalpha():
                                 n = vocabulary.get((a + b).lower(), 0)
                                 if n and len(a + b) >= 4:
-                                    out.append((doc, page, i, "pair", a + b, a.lower(), b.lower(), n, -1, -1))
+                                    out.append((doc, page, i, "pair", a + b, a.lower(), b.lower(), n))
                             elif a[-1:] in "0123456789," and b[:1].isdigit() and _HALF_NUMBER.fullmatch(a) and "," in a and not _NUMBER.fullmatch(a) and _NUMBER.fullmatch(a + b) and (a[0] in "$€£" or a[-1] != ","):
-                                out.append((doc, page, i, "number", f"{a} {b}", a + b, "", 0, -1, -1))
+                                out.append((doc, page, i, "number", f"{a} {b}", a + b, "", 0))
                         before = core
             yield pd.DataFrame(out, columns=[x.split()[0] for x in _MARKS.split(", ")])
 
@@ -401,7 +399,7 @@ def marks(pages: DataFrame) -> DataFrame:
     pages = pages.select("doc_id", "page_no", "raw_lines").where("doc_id is not null and page_no is not null and size(raw_lines) > 0")
     words = pages.select("doc_id", "raw_lines").mapInPandas(_words, "doc_id string, words array<string>, ns array<long>, keys array<long>")
     words = words.select("doc_id", F.explode(F.arrays_zip("words", "ns", "keys")).alias("w")).select(F.xxhash64("doc_id", "w.keys").alias("class"), F.col("w.words").alias("word"), F.col("w.ns").alias("n"))
-    file_words = checkpoint(words.groupBy("class", "word").agg(F.sum("n").alias("n")))  # class: file and confusion class
+    file_words = checkpoint(words.repartition("class").groupBy("class", "word").agg(F.sum("n").alias("n")))  # class: file and confusion class
     counts = checkpoint(file_words.groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(3, VOCABULARY * total)
@@ -417,21 +415,6 @@ def marks(pages: DataFrame) -> DataFrame:
     furniture = edges.where("furniture").select("doc_id", "page_no", "line_no").distinct()
     suspects = checkpoint(pages.mapInPandas(_suspects(vocabulary, common, dubious), _MARKS).join(furniture, ["doc_id", "page_no", "line_no"], "left_anti"))
 
-    asked = suspects.where("kind = 'word'").groupBy("word").agg(F.count("*").alias("n"), F.slice(F.collect_set("left"), 1, 50).alias("lefts"), F.slice(F.collect_set("right"), 1, 50).alias("rights"))
-    meant = asked.mapInPandas(_looked_up(vocabulary, common), "word string, meant string")
-    meant = checkpoint(meant.withColumn("told", F.lit(True)))
-    words = suspects.where("kind = 'word'")
-    here = checkpoint(meant_in_file(words.select("doc_id", "word").distinct().join(meant, "word", "left"), file_words, counts))
-    words = words.join(meant, "word", "left").join(here, ["doc_id", "word"], "left").withColumn("meant", F.coalesce("here", "meant")).where("told or meant is not null")
-    # a word broken over lines is misread in the line where it first differs from what was meant
-    same = F.expr("aggregate(sequence(1, least(length(word), length(meant))), 0, (a, i) -> if(a = i - 1 and lower(substring(word, i, 1)) = lower(substring(meant, i, 1)), i, a))")
-    line = F.when((F.col("cut") >= 0) & (same >= F.col("cut")), F.col("line_2")).otherwise(F.col("line_no"))
-    ocr = words.where("cut < 0 or meant is not null").select("doc_id", "page_no", line.alias("line_no"), F.lit("ocr").alias("kind"), "word", "meant")
-    numbers = suspects.where("kind = 'number'").select("doc_id", "page_no", "line_no", F.lit("ocr").alias("kind"), "word", F.col("left").alias("meant"))
-    pair = suspects.where("kind = 'pair'")
-    rare = pair.groupBy("left", "right").agg(F.count("*").alias("n"), F.max("joined").alias("joined")).where(F.col("joined") >= SPLIT_RATIO * F.col("n")).select("left", "right")
-    split = pair.join(rare, ["left", "right"]).select("doc_id", "page_no", "line_no", F.lit("ocr").alias("kind"), F.concat_ws(" ", "left", "right").alias("word"), F.col("word").alias("meant"))
-
     # a broken word goes on in the next text line of the page or in the first one of the next page
     breaks = suspects.where("kind = 'break'")
     follow = breaks.select("doc_id", "page_no", "line_no", "word", "right", F.posexplode_outer(F.filter(F.split("left", "\t"), lambda x: x != "")).alias("k", "next"))
@@ -440,13 +423,34 @@ def marks(pages: DataFrame) -> DataFrame:
     here = (
         follow.join(gone, ["doc_id", "page_no", "next_line"], "left")
         .groupBy("doc_id", "page_no", "line_no", "word", "right")
-        .agg(F.min(F.when(F.col("next_line").isNotNull() & F.col("gone").isNull(), F.struct("k", "next_word"))).getField("next_word").alias("next_word"))
+        .agg(F.min(F.when(F.col("next_line").isNotNull() & F.col("gone").isNull(), F.struct("k", "next_word", "next_line"))).alias("next"))
+    )
+    top = edges.where("zone = 'top' and not furniture").groupBy("doc_id", (F.col("page_no") - 1).alias("page_no")).agg(F.min(F.struct("k", "first", "line_no")).alias("over_page"))
+    joined = here.join(top, ["doc_id", "page_no"], "left").select(
+        "doc_id", "page_no", "line_no", "word", "right", F.coalesce("next.next_word", "over_page.first").alias("next_word"), F.coalesce("next.next_line", "over_page.line_no").alias("line_2"), F.when(F.col("next").isNull(), F.col("page_no") + 1).otherwise(F.col("page_no")).alias("page_2")
     )
-    top = edges.where("zone = 'top' and not furniture").groupBy("doc_id", (F.col("page_no") - 1).alias("page_no")).agg(F.min(F.struct("k", "first")).getField("first").alias("over_page"))
-    joined = here.join(top, ["doc_id", "page_no"], "left").withColumn("next_word", F.coalesce("next_word", "over_page"))
     suspended = F.col("next_word").isin(*LINKS) & ~F.array_contains(F.split("right", ","), F.col("next_word"))
     lower = F.col("next_word").rlike("^[\\p{Ll}0-9!@]") & ~suspended
-    hyphen = joined.where(lower & (F.col("next_word") != "")).select("doc_id", "page_no", "line_no", F.lit("hyphen").alias("kind"), "word", F.concat("word", F.regexp_replace("next_word", "[.,;:)]+$", "")).alias("meant"))
+    joined = checkpoint(joined.where(lower & (F.col("next_word") != "")))
+    hyphen = joined.select("doc_id", "page_no", "line_no", F.lit("hyphen").alias("kind"), "word", F.concat("word", F.regexp_replace("next_word", "[.,;:)]+$", "")).alias("meant"))
+
+    whole = joined.select("doc_id", "page_no", "line_no", F.concat("word", F.btrim("next_word", F.lit(_PUNCT))).alias("word"), F.lit("").alias("left"), F.lit("").alias("right"), F.length("word").alias("cut"), "line_2", "page_2")
+    words = suspects.where("kind = 'word'").select("doc_id", "page_no", "line_no", "word", "left", "right", F.lit(-1).alias("cut"), F.lit(-1).alias("line_2"), F.col("page_no").alias("page_2")).unionByName(whole)
+    asked = words.groupBy("word").agg(F.count("*").alias("n"), F.slice(F.collect_set("left"), 1, 50).alias("lefts"), F.slice(F.collect_set("right"), 1, 50).alias("rights"))
+    meant = asked.mapInPandas(_looked_up(vocabulary, common), "word string, meant string")
+    meant = checkpoint(meant.withColumn("told", F.lit(True)))
+    here = checkpoint(meant_in_file(words.select("doc_id", "word").distinct().join(meant, "word", "left"), file_words, counts))
+    words = words.join(meant, "word", "left").join(here, ["doc_id", "word"], "left").withColumn("meant", F.coalesce("here", "meant")).where("told or meant is not null")
+    # a word broken over lines is misread in the line where it first differs from what was meant
+    same = F.expr("aggregate(sequence(1, least(length(word), length(meant))), 0, (a, i) -> if(a = i - 1 and lower(substring(word, i, 1)) = lower(substring(meant, i, 1)), i, a))")
+    later = (F.col("cut") >= 0) & (same >= F.col("cut"))
+    line, page = F.when(later, F.col("line_2")).otherwise(F.col("line_no")), F.when(later, F.col("page_2")).otherwise(F.col("page_no"))
+    ocr = words.where("cut < 0 or meant is not null").select("doc_id", page.alias("page_no"), line.alias("line_no"), F.lit("ocr").alias("kind"), "word", "meant")
+    numbers = suspects.where("kind = 'number'").select("doc_id", "page_no", "line_no", F.lit("ocr").alias("kind"), "word", F.col("left").alias("meant"))
+    pair = suspects.where("kind = 'pair'")
+    rare = pair.groupBy("left", "right").agg(F.count("*").alias("n"), F.max("joined").alias("joined")).where(F.col("joined") >= SPLIT_RATIO * F.col("n")).select("left", "right")
+    split = pair.join(rare, ["left", "right"]).select("doc_id", "page_no", "line_no", F.lit("ocr").alias("kind"), F.concat_ws(" ", "left", "right").alias("word"), F.col("word").alias("meant"))
+
     lines = furniture.select("doc_id", "page_no", "line_no", F.lit("furniture").alias("kind"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("meant"))
     moved = ocr.join(furniture, ["doc_id", "page_no", "line_no"], "left_anti")
     return lines.unionByName(hyphen).unionByName(moved).unionByName(numbers).unionByName(split).distinct()
@@ -483,7 +487,7 @@ def _reflow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, page, lines, told in pdf[["doc_id", "page_no", "raw_lines", "told"]].itertuples(index=False):
             lines = [x or "" for x in (lines if lines is not None else [])]
             repairs = []
-            gone, broken = set(), {}
+            gone, broken, over = set(), {}, {}
             for m in sorted(told if told is not None else [], key=lambda m: (m["line_no"], m["kind"], m["word"] or "", m["meant"] or "")):
                 i, kind, word, meant = m["line_no"], m["kind"], m["word"], m["meant"]
                 if i >= len(lines):
@@ -497,6 +501,8 @@ def _reflow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     new = re.sub(re.escape(word), lambda _, x=meant: x, lines[i], count=1, flags=re.I)
                     repairs.append(("section_repair", [i, i], "misread characters", word, meant))
                     lines[i] = new
+                elif kind == "ocr" and meant:  # a word broken over two lines
+                    over[word.lower()] = (word, meant)
             text = [i for i in range(len(lines)) if i not in gone]
             for at, i in enumerate(text):
                 if i not in broken:
@@ -508,6 +514,11 @@ def _reflow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     first, _, rest = lines[nxt].strip().partition(" ")
                     whole = piece + ("-" if own else "") + first
                     lines[nxt] = rest
+                    last = whole.split()[-1].strip(_PUNCT)
+                    if last.lower() in over:
+                        word, meant = over[last.lower()]
+                        whole = whole[: whole.rindex(last)] + meant + whole[whole.rindex(last) + len(last) :]
+                        repairs.append(("section_repair", [i, nxt], "misread characters", word, meant))
                 else:  # it goes on in the next page
                     continue
                 repairs.append(("section_repair", [i, nxt if nxt is not None else i], "joined a broken word", lines[i].split()[-1], whole.split()[-1]))

@@ -67,3 +67,17 @@ def test_words_of_one_file(spark):
     ]
     got = {(r["doc_id"], r["line_no"], r["word"], r["meant"]) for r in scans.marks(_pages(spark, extra)).where("kind = 'ocr'").collect()}
     assert got == {("k", 3, "Kcsmimoor", "Kesmimoor"), ("k", 8, "Kesm!moor", "Kesmimoor"), ("k", 9, "Dane-Kcsmimoor", "Dane-Kesmimoor"), *(("h", i, "lendcr", "lender") for i in range(100, 130))}
+
+
+def test_misread_words_broken_over_pages_and_furniture(spark):
+    full = ["the lender agreed to fund inventory", "and the line"]
+    extra = [
+        ("z", 1, [*full, "he bought inven-"], "x", 7), ("z", 2, ["t0ry and the line", *full], "x", 7),
+        ("y", 1, [*full, *full, "he asked the borr-", "0wer to agree", *full], "x", 7),
+        ("w", 1, [*full, "he bought lnven-", "p. 1"], "x", 7), ("w", 2, ["p. 2", "tory and the line", *full], "x", 7),
+    ]
+    pages = _pages(spark, extra)
+    got = {(r["doc_id"], r["page_no"], r["line_no"], r["kind"]) for r in scans.marks(pages).where("doc_id in ('w', 'y', 'z') and kind <> 'furniture'").collect()}
+    assert got == {("z", 1, 2, "hyphen"), ("z", 2, 0, "ocr"), ("y", 1, 4, "hyphen"), ("y", 1, 5, "ocr"), ("w", 1, 2, "hyphen"), ("w", 1, 2, "ocr")}
+    row = scans.repaired_pages(pages).where("doc_id = 'y'").first()
+    assert "he asked the borrower to agree" in row["content"]
