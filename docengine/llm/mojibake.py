@@ -232,6 +232,15 @@ def repair(text: str, model: Plausibility) -> tuple[str, bool]:
         p = m.group()
         if not p.isascii() and model.doubtful(p):
             p = restore(p, model)
+        # what was garbled before it was escaped; plain text behind entities stays as it is
+        plain = p
+        for _ in range(3):
+            if "&" in plain and len(_ODD.findall(plain := html.unescape(plain))) > len(_ODD.findall(p)):
+                break
+        else:
+            plain = p
+        if plain != p and model.doubtful(plain) and (other := restore(plain, model)) != plain:
+            p = other
         out.append(p)
     fixed = "".join(out)
     return fixed, _LOST.search(fixed) is not None
@@ -269,7 +278,7 @@ def garbled_documents(docs: DataFrame) -> DataFrame:
 
     ``restored`` is the text with every passage that could be restored; ``lost`` says that
     characters are missing from it for good (replacement or control characters are left).
-    Sound, null, empty and ASCII texts give no rows; repeated rows give repeated rows;
+    Sound, null and empty texts and ASCII texts that hide no garbled ones in entities give no rows; repeated rows give repeated rows;
     other columns of docs are ignored.
     """
     model = plausibility(docs)

@@ -1,3 +1,5 @@
+from html.entities import codepoint2name
+
 from docengine.llm import mojibake as m
 
 CLEAN = ["Le château évalué a été donné en gage jusqu’au 3 mai.", "La línea de crédito se amplió según el señor.", "The lender’s counsel – agreed. See § 12 and €500.", "Für die Bürgschaft wären größere Beträge nötig."]
@@ -39,3 +41,14 @@ def test_frequent_garbling_is_found(spark):
     got = {r["doc_id"]: r["restored"] for r in m.garbled_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(got) == {*range(0, 400, 3), *range(1000, 1100)}
     assert all(got[i] == CLEAN[i % 4] + f" Number {i}." for i in range(0, 400, 3)) and got[1005] == "Le château a été donné à l’époque du prêt. Nr. 5"
+
+
+def test_garbled_and_escaped(spark):
+    sound = "Für die Bürgschaft wären größere Beträge nötig."
+    bad = sound.encode("utf-8").decode("cp1252")
+    names = lambda t: "".join(f"&{codepoint2name[ord(c)]};" if ord(c) > 127 else c for c in t)
+    number = lambda t: t.encode("ascii", "xmlcharrefreplace").decode()
+    extra = [(1000, names(bad)), (1001, number(bad)), (1002, names(bad).replace("&", "&amp;")), (1003, "Größe & Co. " + names(bad)), (2000, names(sound)), (2001, number(sound)), (2002, "A &amp; B &lt; C"), (2003, "Größe &uuml;ber 5")]
+    docs = _docs(spark, [(i, t, None, None) for i, t in extra])
+    got = {r["doc_id"]: r["restored"] for r in m.garbled_documents(docs).collect()}
+    assert got == {1000: sound, 1001: sound, 1002: sound, 1003: "Größe & Co. " + sound}
