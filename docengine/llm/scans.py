@@ -4,7 +4,8 @@ Method. Words are counted over all pages. The frequent ones form a vocabulary tr
 other distinct word is looked up by intersecting its generalized Levenshtein automaton
 (edits are the usual misreadings, one or two characters for one or two) with the trie,
 which gives all candidates within two edits. Candidates are ranked by how often they occur
-and how often they follow or precede the word's neighbours; a word is misread if its best
+and whether they stand beside the word elsewhere, once for all places of a word; pairs of
+words are not counted. A word is misread if its best
 candidate is far more frequent than the word itself. Blanks inside words are found the
 same way: the joined word is frequent, the pair of pieces is not. A word that is not frequent
 enough for that, as the names of one file, is sought among the words of its own file: those
@@ -436,7 +437,7 @@ def marks(pages: DataFrame) -> DataFrame:
 
     whole = joined.select("doc_id", "page_no", "line_no", F.concat("word", F.btrim("next_word", F.lit(_PUNCT))).alias("word"), F.lit("").alias("left"), F.lit("").alias("right"), F.length("word").alias("cut"), "line_2", "page_2")
     words = suspects.where("kind = 'word'").select("doc_id", "page_no", "line_no", "word", "left", "right", F.lit(-1).alias("cut"), F.lit(-1).alias("line_2"), F.col("page_no").alias("page_2")).unionByName(whole)
-    asked = words.groupBy("word").agg(F.count("*").alias("n"), F.slice(F.collect_set("left"), 1, 50).alias("lefts"), F.slice(F.collect_set("right"), 1, 50).alias("rights"))
+    asked = words.groupBy("word").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_set("left")), 1, 50).alias("lefts"), F.slice(F.sort_array(F.collect_set("right")), 1, 50).alias("rights"))
     meant = asked.mapInPandas(_looked_up(vocabulary, common), "word string, meant string")
     meant = checkpoint(meant.withColumn("told", F.lit(True)))
     here = checkpoint(meant_in_file(words.select("doc_id", "word").distinct().join(meant, "word", "left"), file_words, counts))
