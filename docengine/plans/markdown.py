@@ -98,8 +98,8 @@ def rerank_cache_key(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""select doc_id, md5(trim(regexp_replace('# ' || doc_type || chr(10) || chr(10) || regexp_replace(text, '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), e' \t\r\n')) cleaned_md5 from documents where text is not null and doc_type is not null and not contains(text, '[') and not contains(text, '`')""")
 def model_markdown(spark: SparkSession, d: str) -> DataFrame:
     """Model output around the documents, cleaned again. Texts with brackets or backticks
-    of their own are no model output."""
-    docs = table(spark, d, "documents").where("text is not null and doc_type is not null and not contains(text, '[') and not contains(text, '`')")
+    of their own, which the SQL leaves out, are cleaned too."""
+    docs = table(spark, d, "documents").where("text is not null and doc_type is not null")
     raw = F.concat(F.lit("```markdown\n[TABLE]"), "text", F.lit("[HEADER]"), "doc_type", F.lit("[/HEADER]\n```"))
     return docs.select("doc_id", F.md5(M.clean_model_markdown(raw).cast("binary")).alias("cleaned_md5"))
 

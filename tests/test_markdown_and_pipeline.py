@@ -52,3 +52,15 @@ def test_upsert_prefers_the_new_row(spark):
     old = spark.createDataFrame([("a", 1, "old"), ("b", 1, "old")], "id string, v int, x string")
     new = spark.createDataFrame([("a", 1, "new"), ("c", 1, "new")], "id string, v int, x string")
     assert sorted((r["id"], r["x"]) for r in R.upsert(old, new, ["id"], "v").collect()) == [("a", "new"), ("b", "old"), ("c", "new")]
+
+
+def test_model_markdown_query_keeps_brackets_and_backticks(spark, tmp_path):
+    from hashlib import md5
+
+    from docengine.plans.markdown import model_markdown
+
+    rows = [(1, "see [1] and `x`", "memo"), (2, "a\n```sql\nselect 1\n```\nb", "memo"), (3, "a [TABLE]| b |[/TABLE] c", "memo"), (4, "plain", "memo"), (5, None, "memo"), (6, "x", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, doc_type string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["cleaned_md5"] for r in model_markdown(spark, str(tmp_path)).collect()}
+    want = {1: "see [1] and `x`", 2: "a\nselect 1\nb", 3: "a | b | c", 4: "plain"}
+    assert got == {i: md5(f"# memo\n\n{t}".encode()).hexdigest() for i, t in want.items()}
