@@ -1,16 +1,22 @@
 """The k most similar vectors of every vector.
 
-Method: a forest of random-projection trees. A node's plane lies between the means of two
-random points' neighbourhoods; a vector's priority at a leaf is the smallest signed
-distance to the planes on the way to it. Every vector is a member of its home leaf in
-each tree. As a query it visits the leaves of all trees in the order of one shared
-priority queue, its home leaves first, PROBES in all and one more per level beyond the
-fourth; all members of a visited leaf are ranked by cosine.
-
-Scale: planes are fitted on at most SAMPLE vectors, every vector is indexed. A leaf holds
-about LEAF vectors, so a task's work is bounded; vectors travel as 16-bit fixed-point
-numbers (cosines are off by about 1e-5), once per visited leaf. Of more than k + 1 equal
-vectors only k + 1 are indexed; the others' neighbours are the first of these by id.
+Method: a forest of random-projection trees searched through a shared priority queue
+(``forest``), in two storeys. The trunk, TRUNK trees fitted on a sample, cuts a namespace
+into cells of about CELL vectors: every vector is a member of its home cell in each trunk
+tree, and as a query visits the cells of the first PROBES branches of the queue, one more
+for each level of the trunk beyond the second. In a cell TREES trees are grown over all of
+its members down to leaves of at most LEAF; a query visits LEAVES leaves of all these trees
+in the order of one queue, and the members found there are ranked by their exact cosine.
+
+Scale: one shuffle of the vectors, once per visited cell. Vectors travel as 24-bit
+fixed-point numbers, whose cosines are right to about 1e-7, as those of 32-bit floats are.
+The planes of the trunk are broadcast: at most MAX_CELLS cells a tree, 4 MB for two trees,
+whatever the number of vectors; beyond CELL * MAX_CELLS vectors (268 million a namespace)
+the cells grow, to 120,000 members (25 MB) at 1e9. The sample is max(SAMPLE, 32 a cell), at
+most 67 MB. A cell costs members x LEAVES x LEAF products, whatever its size. Halves are cut
+at the sample's median, so that a cell holds more than twice its share with a probability
+below 1e-6. Of more than k + 1 equal vectors only k + 1 are indexed; the others'
+neighbours are the first of these by id.
 """
 
 from __future__ import annotations
@@ -22,12 +28,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docengine.llm.forest import Forest, Tree
+
 DIM = 64
-LEAF = 8192
-TREES = 3
-PROBES = 4
+TRUNK, CELL, MAX_CELLS, PROBES = 2, 1 << 15, 1 << 13, 3
+TREES, LEAF, LEAVES = 12, 64, 128
 SAMPLE = 40_000
 BROADCAST_ROWS = 5_000
+BLOCK = 4096  # queries searched at a time
 
 
 def usable(records: DataFrame) -> DataFrame:
@@ -46,46 +54,6 @@ def usable(records: DataFrame) -> DataFrame:
     return rows.join(several, "vid", "left").where(F.col("last").isNull() | (F.col("version") == F.col("last"))).select("ns", "id", "vid", "values")
 
 
-class Tree:
-    """Planes in heap order: node i has the children 2i + 1 and 2i + 2."""
-
-    def __init__(self, sample: np.ndarray, depth: int, rng: np.random.Generator):
-        n = (1 << depth) - 1
-        self.depth = depth
-        self.planes = np.zeros((n, sample.shape[1]), dtype=np.float32)
-        self.offsets = np.zeros(n, dtype=np.float32)
-        rows = {0: np.arange(len(sample))}
-        for node in range(n):
-            own = rows.pop(node)
-            if len(own) < 8:  # too few points to place a plane: both sides stay reachable by a random one
-                w = rng.standard_normal(sample.shape[1])
-                self.planes[node], mid = w / np.linalg.norm(w), 0.0
-            else:
-                few = sample[rng.choice(own, min(len(own), 400), replace=False)]
-                a, b = few[rng.choice(len(few), 2, replace=False)]
-                for _ in range(8):
-                    side = few @ (a - b) > (a @ a - b @ b) / 2
-                    if side.all() or not side.any():
-                        break
-                    a, b = few[side].mean(axis=0), few[~side].mean(axis=0)
-                w = a - b
-                self.planes[node] = w / max(1e-12, np.linalg.norm(w))
-                along = sample[own] @ self.planes[node]
-                mid = np.clip((a + b) @ self.planes[node] / 2, *np.quantile(along, [0.3, 0.7]))
-            self.offsets[node] = mid
-            above = sample[own] @ self.planes[node] > mid
-            rows[2 * node + 1], rows[2 * node + 2] = own[~above], own[above]
-
-    def priorities(self, x: np.ndarray) -> np.ndarray:
-        """Priority of every leaf for every row of x; a home leaf's is positive or zero."""
-        margin = x @ self.planes.T - self.offsets
-        level = np.full((len(x), 1), np.inf, dtype=np.float32)
-        for d in range(self.depth):
-            m = margin[:, (1 << d) - 1 : (2 << d) - 1]
-            level = np.stack([np.minimum(level, -m), np.minimum(level, m)], axis=2).reshape(len(x), -1)
-        return level
-
-
 def _unit(values: pd.Series) -> np.ndarray:
     x = np.stack(values.to_numpy()).astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
@@ -93,84 +61,121 @@ def _unit(values: pd.Series) -> np.ndarray:
 
 
 def _coded(x: np.ndarray) -> list[bytes]:
-    return list(map(bytes, np.rint(x * (32767 / np.abs(x).max(axis=1, keepdims=True))).astype("<i2")))
+    """Rows as 24-bit little-endian numbers, the largest of a row being 2^23 - 1."""
+    x = x.astype(np.float64)
+    n = np.rint(x * (8388607 / np.abs(x).max(axis=1, keepdims=True))).astype("<i4")
+    return list(map(bytes, n.view(np.uint8).reshape(*x.shape, 4)[:, :, :3].reshape(len(x), -1)))
 
 
 def _decoded(codes: pd.Series) -> np.ndarray:
-    x = np.frombuffer(b"".join(codes), dtype="<i2").reshape(len(codes), -1).astype(np.float32)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    b = np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(len(codes), -1, 3)
+    wide = np.zeros((*b.shape[:2], 4), dtype=np.uint8)
+    wide[:, :, 1:] = b
+    x = (wide.view("<i4")[:, :, 0] >> 8).astype(np.float64)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _visits(forests: dict[str, list[Tree]], probes: dict[str, int]):
-    """A row per vector and visited leaf: ``cell, vid, home, code``."""
+def _visits(trunks: dict[str, tuple[int, Forest | None, int]]):
+    """A row per vector and visited cell: ``cell, vid, home, code``. A trunk is the number
+    of its first cell, its forest (none for a single cell) and the probes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for ns, part in pdf.groupby("ns"):
-                x, trees = _unit(part["values"]), forests[ns]
-                leaf = np.concatenate([t.priorities(x) for t in trees], axis=1)
-                width = leaf.shape[1] // len(trees)
-                homes = leaf.reshape(len(x), len(trees), width).argmax(axis=2) + width * np.arange(len(trees))
-                home = np.zeros(leaf.shape, dtype=bool)
-                np.put_along_axis(home, homes, True, axis=1)
-                order = np.where(home, np.inf, leaf)
-                count = min(probes[ns], leaf.shape[1])
-                best = np.argpartition(-order, count - 1, axis=1)[:, :count] if count < leaf.shape[1] else np.tile(np.arange(count), (len(x), 1))
-                row = np.repeat(np.arange(len(x)), count)
+                first, trunk, probes = trunks[ns]
+                x, vid = _unit(part["values"]), part["vid"].to_numpy()
                 code = np.array(_coded(x), dtype=object)
-                cell = best.ravel()
-                yield pd.DataFrame({"cell": [f"{ns}/{c}" for c in cell], "vid": part["vid"].to_numpy()[row], "home": home[row, cell], "code": code[row]})
+                if trunk is None:
+                    yield pd.DataFrame({"cell": first, "vid": vid, "home": True, "code": code})
+                    continue
+                cells = trunk.search(x, probes)
+                row = np.repeat(np.arange(len(x)), cells.shape[1])
+                home = np.tile(np.arange(cells.shape[1]) < len(trunk.roots), len(x))
+                yield pd.DataFrame({"cell": first + cells.ravel(), "vid": vid[row], "home": home, "code": code[row]})
 
     return run
 
 
-BLOCK = 64
-
-
-def _top(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the k largest values of each row (fewer where there are fewer),
-    ties to the smaller column. The k-th largest of the maxima of column blocks bounds the
-    k-th largest value from below, so that few values are left to sort."""
-    n, m = s.shape
-    if m > 4 * BLOCK * k:
-        whole = m // BLOCK * BLOCK
-        peaks = s[:, :whole].reshape(n, -1, BLOCK).max(axis=2)
-        least = np.partition(peaks, peaks.shape[1] - k, axis=1)[:, peaks.shape[1] - k]
-        row, col = np.nonzero(s >= least[:, None])
-    else:
-        row, col = np.divmod(np.arange(n * m), m)
-    order = np.lexsort((col, -s[row, col], row))
-    row, col = row[order], col[order]
-    first = np.searchsorted(row, np.arange(n))
-    keep = np.arange(len(row)) - first[row] < k
-    return row[keep], col[keep]
+def _best(x: np.ndarray, own: np.ndarray, members: np.ndarray, forest: Forest, leaves: list[np.ndarray], probes: int, k: int):
+    """For queries x (``own`` is a query's place among the members or -1): rows, member
+    places and cosines of the k best members of the leaves its search visits."""
+    visited = forest.search(x, probes)
+    trees = len(forest.roots)
+    bound = np.full(len(x), -2.0, dtype=np.float32)
+
+    def by_leaf(some: np.ndarray):
+        leaf, row = some.ravel(), np.repeat(np.arange(len(some)), some.shape[1])
+        order = np.argsort(leaf, kind="stable")
+        cuts = np.flatnonzero(np.diff(leaf[order])) + 1
+        for rows in np.split(order, cuts):
+            yield leaves[leaf[rows[0]]], row[rows]
+
+    # the (k + 1)-th best of one leaf bounds the k-th best of all from below; one may be the query itself
+    for some, rows in by_leaf(visited[:, :trees]):
+        if len(some) > k:
+            s = x[rows] @ members[some].T
+            bound[rows] = np.maximum(bound[rows], np.partition(s, len(some) - k - 1, axis=1)[:, len(some) - k - 1])
+    bound -= 1e-5  # the same product may differ in its last bits in another block
+    found = []
+    for some, rows in by_leaf(visited):
+        s = x[rows] @ members[some].T
+        i, j = np.nonzero(s >= bound[rows, None])
+        r, m = rows[i], some[j]
+        other = own[r] != m
+        found.append((r[other], m[other], s[i, j][other]))
+    row, col, sim = map(np.concatenate, zip(*found, strict=True))
+    _, one = np.unique(row * len(members) + col, return_index=True)  # a member stands in a leaf of every tree
+    row, col, sim = row[one], col[one], sim[one]
+    order = np.lexsort((col, -sim, row))
+    row, col, sim = row[order], col[order], sim[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep], sim[keep]
+
+
+def rank_cell(x: np.ndarray, home: np.ndarray, k: int, trees: int = TREES, leaf: int = LEAF, probes: int = LEAVES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbours of all rows of x among its home rows: row, home row, cosine."""
+    at = np.flatnonzero(home)
+    members = np.ascontiguousarray(x[at])
+    grown = [Tree(members, leaf, np.random.default_rng(t)) for t in range(trees)]
+    forest, leaves = Forest(grown), [rows for t in grown for rows in t.leaves]
+    own = np.where(home, np.cumsum(home) - 1, -1)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    for a in range(0, len(x) if len(at) else 0, BLOCK):
+        row, col, sim = _best(x[a : a + BLOCK], own[a : a + BLOCK], members, forest, leaves, probes, k)
+        out.append((row + a, at[col], sim))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
 def _ranked(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("vid").sort_values("vid")
-        x, vid, home = _decoded(pdf["code"]), pdf["vid"].to_numpy(), pdf["home"].to_numpy(dtype=bool)
-        members, ids = np.ascontiguousarray(x[home].T), vid[home]
-        out_q, out_n, out_s = [], [], []
-        place = np.where(home, np.cumsum(home) - 1, -1)
-        step = max(1, 4_000_000 // max(1, len(ids)))
-        for at in range(0, len(x) if len(ids) else 0, step):
-            s = x[at : at + step] @ members
-            own = place[at : at + step]
-            s[np.flatnonzero(own >= 0), own[own >= 0]] = -2
-            row, col = _top(s, k)
-            sim = s[row, col]
-            good = sim > -1.5
-            out_q.append(vid[at : at + step][row[good]])
-            out_n.append(ids[col[good]])
-            out_s.append(sim[good])
-        if not out_q:
-            return pd.DataFrame({"q": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "s": pd.Series(dtype="float32")})
-        return pd.DataFrame({"q": np.concatenate(out_q), "n": np.concatenate(out_n), "s": np.concatenate(out_s)})
+        pdf = pdf.sort_values(["vid", "home"], ascending=[True, False]).drop_duplicates("vid")
+        vid = pdf["vid"].to_numpy()
+        row, other, sim = rank_cell(_decoded(pdf["code"]), pdf["home"].to_numpy(dtype=bool), k)
+        return pd.DataFrame({"q": vid[row], "n": vid[other], "s": sim})
 
     return run
 
 
+def _trunks(vectors: DataFrame, sizes: dict[str, int]) -> dict[str, tuple[int, Forest | None, int]]:
+    cells = {ns: min(MAX_CELLS, -(-n // CELL)) for ns, n in sizes.items()}
+    rate = {ns: max(1, sizes[ns] // max(SAMPLE, 32 * c)) for ns, c in cells.items() if c > 1}
+    sample = {}
+    if rate:
+        every = F.create_map(*[F.lit(v) for pair in rate.items() for v in pair])
+        rows = vectors.where(F.col("ns").isin(*rate)).where(F.pmod("vid", F.element_at(every, F.col("ns"))) == 0)
+        sample = dict(list(rows.select("ns", "values").toPandas().groupby("ns")))
+    out, first = {}, 0
+    for ns in sorted(sizes):
+        trunk, probes = None, 1
+        if ns in sample:
+            x = _unit(sample[ns]["values"])
+            trunk = Forest([Tree(x, -(-len(x) // cells[ns]), np.random.default_rng(t)) for t in range(TRUNK)])
+            probes = PROBES + max(0, int(np.ceil(np.log2(cells[ns]))) - 2)
+        out[ns] = (first, trunk, probes)
+        first += trunk.count if trunk else 1
+    return out
+
+
 def nearest(vectors: DataFrame, k: int = 5) -> DataFrame:
     """The k nearest of each vector within its namespace: ``q, n, s, rank`` (vids, cosine).
 
@@ -200,16 +205,8 @@ def nearest(vectors: DataFrame, k: int = 5) -> DataFrame:
             .distinct()
         )
         vectors = vectors.join(kept, "h", "left").where(F.col("kept").isNull() | F.array_contains("kept", F.col("vid")))
-    total = sum(sizes.values())
-    sample = vectors.where(F.pmod("vid", F.lit(-(-total // SAMPLE))) == 0).select("ns", "values").toPandas()
-    forests, probes = {}, {}
-    for ns, n in sizes.items():
-        own = sample[sample["ns"] == ns]
-        depth = max(0, int(np.ceil(np.log2(n / LEAF)))) if len(own) else 0
-        x = _unit(own["values"]) if len(own) else np.zeros((0, DIM), dtype=np.float32)
-        forests[ns] = [Tree(x, depth, np.random.default_rng(t)) for t in range(TREES if depth else 1)]
-        probes[ns] = PROBES + max(0, depth - 4)
-    visits = vectors.select("ns", "vid", "values").mapInPandas(_visits(forests, probes), "cell string, vid long, home boolean, code binary")
+    trunks = _trunks(vectors, sizes)
+    visits = vectors.select("ns", "vid", "values").mapInPandas(_visits(trunks), "cell long, vid long, home boolean, code binary")
     found = visits.groupBy("cell").applyInPandas(lambda pdf: _ranked(k)(pdf), "q long, n long, s float")
     if spare is not None:
         found = found.unionByName(spare)
