@@ -1,30 +1,34 @@
 """Orphan references: references whose target did not live at their time.
 
-Method: target keys are dictionary-encoded as integers within hash ranges of bounded
-size; per range and month one compressed bitmap holds the keys that lived through the
-whole month and another the keys referenced in it; reference AND-NOT living leaves the
-suspects, which are decoded back to keys. A suspect whose target had no event in that
-month is an orphan for certain; only the others need the exact time, taken from the
-target's last event before the day and the events of the day itself.
-
-Scale: references are first reduced to (key, month), events to (key, month), so that a
-key which holds a third of all rows counts as a few rows. Dictionary, bitmaps and AND-NOT
-take one shuffle. No task gets more than one hash range or one key's day.
+Method: target keys are dictionary-encoded as integers within hash ranges; per range and
+month one compressed bitmap holds the keys referenced in it and another the keys that
+lived through it. Reference AND-NOT living, on the bitmaps' bytes, leaves the suspects,
+which are decoded back to keys. A suspect whose target had no event in that month is an
+orphan for certain; for the others the month's changes of state travel with the suspect,
+and each reference finds the last change before its own time.
+
+Scale: events are reduced to changes of state per (key, day) and then per (key, month),
+references to (key, month) before they meet, so that a key which holds a third of all rows
+counts as a few rows. The references themselves move twice: to find the earliest row of
+each and to meet the suspects; a (key, month) with more than HOT of them is cut into parts
+of HOT there. The list of such keys, which is broadcast, has at most rows / HOT entries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.functions import bitmaps
 from docengine.session import partitions_for
 
 KEYS_PER_RANGE = 1 << 14
+HOT = 1_000_000
+_SUSPECTS = "key string, month int, alive boolean, steps array<long>"
 
 
 def clean_key(name: str):
@@ -37,34 +41,50 @@ def _month(t):
     return (F.year(t) * 12 + F.month(t) - 1).cast("int")
 
 
+def _micros(t: str) -> Column:
+    """Microseconds of a time without zone, whatever the session's zone."""
+    return F.expr(f"unix_date(cast({t} as date)) * 86400000000L + hour({t}) * 3600000000L + minute({t}) * 60000000L + cast(extract(second from {t}) * 1000000 as bigint)")
+
+
+def _steps(events: DataFrame) -> DataFrame:
+    """``key, month, steps``: the sorted changes of state of each key and month as twice
+    the microseconds, plus 1 for a deletion, which thus comes last at its instant."""
+    rows = events.select("key", F.to_date("t").alias("day"), _month(F.col("t")).alias("month"), (2 * _micros("t") + F.col("dead")).alias("step"))
+    for part in ("day", "month"):
+        w = Window.partitionBy("key", part).orderBy("step")
+        rows = rows.withColumn("_before", F.lag("step").over(w)).where("_before is null or (_before & 1) <> (step & 1)").drop("_before")
+    return rows.groupBy("key", "month").agg(F.array_sort(F.collect_list("step")).alias("steps"))
+
+
 def _suspects(pdf: pd.DataFrame) -> pd.DataFrame:
     """One hash range: dictionary, bitmaps per month, AND-NOT, decode."""
     words, ids = np.unique(pdf["key"].to_numpy(dtype=object).astype(str), return_inverse=True)
-    if len(words) > bitmaps.SPAN:
-        raise ValueError("more keys in one range than one bitmap holds; lower KEYS_PER_RANGE")
-    month = pdf["month"].to_numpy()
-    is_ref = pdf["is_ref"].to_numpy()
-    dies = pdf["dies"].to_numpy(dtype=bool)
-    ends_dead = pdf["ends_dead"].to_numpy(dtype=bool)
+    month, is_ref = pdf["month"].to_numpy(), pdf["is_ref"].to_numpy(dtype=bool)
+    steps = pdf["steps"].to_numpy()
+    referenced: dict[int, dict[int, bytes]] = {}
+    living: dict[int, dict[int, bytes]] = {}
+    starts: dict[int, np.ndarray] = {}  # bits of the keys that live at a month's beginning
+    changes: dict[int, dict[int, np.ndarray]] = {}
     alive = np.zeros(len(words), dtype=bool)
     order = np.argsort(month, kind="stable")
-    cuts = np.flatnonzero(np.diff(month[order], prepend=np.iinfo(np.int32).min)) if len(order) else []
-    out_key, out_month, out_sure = [], [], []
-    for rows in np.split(order, cuts[1:]):
-        events = rows[is_ref[rows] == 0]
-        refs = np.unique(ids[rows[is_ref[rows] == 1]])
+    for rows in np.split(order, np.flatnonzero(np.diff(month[order])) + 1):
+        m = int(month[rows[0]])
+        events = rows[~is_ref[rows]]
         changed = ids[events]
+        refs = np.unique(ids[rows[is_ref[rows]]])
         if len(refs):
             through = alive.copy()
-            through[changed[dies[events]]] = False
-            left = bitmaps.decode(bitmaps.and_not(bitmaps.encode(refs), bitmaps.encode(np.flatnonzero(through))))
-            out_key.append(words[left])
-            out_month.append(np.full(len(left), month[rows[0]], dtype=np.int32))
-            out_sure.append(~np.isin(left, changed))
-        alive[changed] = ~ends_dead[events]
-    if not out_key:
-        return pd.DataFrame({"key": pd.Series(dtype=str), "month": pd.Series(dtype="int32"), "sure": pd.Series(dtype=bool)})
-    return pd.DataFrame({"key": np.concatenate(out_key), "month": np.concatenate(out_month), "sure": np.concatenate(out_sure)})
+            through[[i for i, e in zip(changed, events, strict=True) if (steps[e] & 1).any()]] = False
+            referenced[m], living[m] = bitmaps.encode_any(refs), bitmaps.encode_any(np.flatnonzero(through))
+            starts[m] = np.packbits(alive)
+            changes[m] = dict(zip(changed.tolist(), steps[events], strict=True))
+        alive[changed] = [not steps[e][-1] & 1 for e in events]
+    out: list[tuple] = []
+    for m, asked in referenced.items():
+        left = bitmaps.decode_any(bitmaps.and_not_any(asked, living[m]))
+        begun = np.unpackbits(starts[m])[left].astype(bool)
+        out += [(words[i], m, bool(b), changes[m].get(i)) for i, b in zip(left.tolist(), begun, strict=True)]
+    return pd.DataFrame(out, columns=["key", "month", "alive", "steps"])
 
 
 def orphan_references(refs: DataFrame, events: DataFrame, ranges: int) -> DataFrame:
@@ -77,47 +97,23 @@ def orphan_references(refs: DataFrame, events: DataFrame, ranges: int) -> DataFr
     with no event never lives. Result: the columns of ``refs``.
     """
     refs = refs.where(F.col("key").isNotNull() & F.col("t").isNotNull()).withColumn("month", _month(F.col("t")))
-    events = events.where(F.col("key").isNotNull() & F.col("t").isNotNull())
-    by_month = events.groupBy("key", _month(F.col("t")).alias("month")).agg(
-        F.max("dead").cast("boolean").alias("dies"), F.max(F.struct("t", "dead")).getField("dead").cast("boolean").alias("ends_dead")
-    )
-    asked = refs.groupBy("key", "month").agg(F.lit(1).alias("is_ref"))
-    both = by_month.withColumn("is_ref", F.lit(0)).unionByName(
-        asked.select("key", "month", F.lit(False).alias("dies"), F.lit(False).alias("ends_dead"), "is_ref")
+    steps = _steps(events.where(F.col("key").isNotNull() & F.col("t").isNotNull()))
+    asked = refs.groupBy("key", "month").agg(F.count("*").alias("n"))
+    both = steps.select("key", "month", F.lit(False).alias("is_ref"), "steps").unionByName(
+        asked.select("key", "month", F.lit(True).alias("is_ref"), F.array().cast("array<long>").alias("steps"))
     )
     suspects = (
         both.withColumn("range", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int"))
         .groupBy("range")
-        .applyInPandas(lambda pdf: _suspects(pdf), "key string, month int, sure boolean")
-    )
-    hit = refs.join(suspects, ["key", "month"])
-    sure = hit.where("sure").select("ref_table", "ref_key", "key", "t")
-    open_ = hit.where("not sure").select("ref_table", "ref_key", "key", "t", F.to_date("t").alias("day"))
-
-    # exact check of the references that fall in a month in which their target changed
-    days = open_.select("key", "day").distinct()
-    touched = events.join(days.select("key").distinct(), "key", "left_semi").withColumn("day", F.to_date("t"))
-    day_end = touched.groupBy("key", "day").agg(F.max(F.struct("t", "dead")).getField("dead").alias("end_dead"))
-    before = Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        day_end.withColumn("asked", F.lit(0))
-        .unionByName(days.select("key", "day", F.lit(None).cast("int").alias("end_dead"), F.lit(1).alias("asked")))
-        .groupBy("key", "day")
-        .agg(F.max("end_dead").alias("end_dead"), F.max("asked").alias("asked"))
-        .withColumn("dead", F.coalesce(F.last("end_dead", ignorenulls=True).over(before), F.lit(1)))
-        .where("asked = 1")
-        .select("key", "day", F.lit(None).cast("timestamp_ntz").alias("t"), "dead", F.lit(0).alias("kind"))
-    )
-    nothing = [F.lit(None).cast("string").alias(c) for c in ("ref_table", "ref_key")]
-    line = (
-        carry.select("key", "day", "t", "dead", "kind", *nothing)
-        .unionByName(touched.join(days, ["key", "day"], "left_semi").select("key", "day", "t", "dead", F.lit(1).alias("kind"), *nothing))
-        .unionByName(open_.select("key", "day", "t", F.lit(None).cast("int").alias("dead"), F.lit(2).alias("kind"), "ref_table", "ref_key"))
+        .applyInPandas(lambda pdf: _suspects(pdf), _SUSPECTS)
     )
-    # null times sort first; at one instant arrivals, then deletions, then references
-    upto = Window.partitionBy("key", "day").orderBy("t", "kind", "dead").rowsBetween(Window.unboundedPreceding, 0)
-    late = line.withColumn("state", F.last("dead", ignorenulls=True).over(upto)).where("kind = 2 and state = 1")
-    return sure.unionByName(late.select("ref_table", "ref_key", "key", "t"))
+    hot = F.broadcast(asked.where(F.col("n") > HOT).select("key", "month", F.ceil(F.col("n") / HOT).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    cut = refs.join(hot, ["key", "month"], "left").withColumn("part", F.when(parts == 1, 0).otherwise(F.pmod(F.xxhash64("ref_table", "ref_key"), parts).cast("int"))).drop("parts")
+    spread = suspects.join(hot, ["key", "month"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    last = F.array_max(F.filter("steps", lambda x: x <= 2 * F.col("at") + 1))
+    dead = F.coalesce(last.bitwiseAND(F.lit(1)) == 1, ~F.col("alive"))
+    return cut.join(spread, ["key", "month", "part"]).withColumn("at", _micros("t")).where(dead).select("ref_table", "ref_key", "key", "t")
 
 
 def chunk_reference_orphans(chunks: DataFrame, parents: DataFrame, tombstones: DataFrame, citations: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -136,8 +132,6 @@ def chunk_reference_orphans(chunks: DataFrame, parents: DataFrame, tombstones: D
         return (
             df.select(F.col(ref_key).cast("string").alias("ref_key"), F.concat(ns, target).alias("key"), F.col(t).cast("timestamp_ntz").alias("t"))
             .where("key is not null")
-            .groupBy("ref_key", "key")
-            .agg(F.min("t").alias("t"))
             .select(F.lit(name).alias("ref_table"), "ref_key", "key", "t")
         )
 
@@ -155,6 +149,7 @@ def chunk_reference_orphans(chunks: DataFrame, parents: DataFrame, tombstones: D
             ref(candidates, "candidates", "candidate_id", clean_key("chunk_id"), F.when(F.lower(F.trim("namespace")) == "parents", parent).otherwise(child), "retrieved_at")
         )
     )
-    rows = chunks.count() + parents.count() + tombstones.count() + citations.count() + candidates.count()
+    refs = refs.groupBy("ref_table", "ref_key", "key").agg(F.min("t").alias("t"))
+    rows = reduce(DataFrame.union, (df.select(F.lit(1)) for df in (chunks, parents, tombstones, citations, candidates))).count()
     found = orphan_references(refs, events, partitions_for(spark, rows, KEYS_PER_RANGE))
     return found.select("ref_table", "ref_key", F.date_format("t", "yyyy-MM").alias("period")).distinct()

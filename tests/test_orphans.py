@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docengine.functions import bitmaps
+from docengine.operators import orphans
 from docengine.operators.orphans import chunk_reference_orphans, orphan_references
 
 
@@ -45,3 +46,20 @@ def test_uneven_ids_empty_tables_and_clashing_columns(spark):
     cands = spark.createDataFrame([(1, "parents", "A", t)], "candidate_id long, namespace string, chunk_id string, retrieved_at timestamp_ntz")
     got = chunk_reference_orphans(chunks, parents, tomb, cites, cands)
     assert sorted(map(tuple, got.collect())) == [("candidates", "1", "2024-01"), ("chunks", "b", "2024-01")]
+
+
+@given(st.sets(st.integers(0, 300_000), max_size=200), st.sets(st.integers(0, 300_000), max_size=200), st.integers(0, 200_000), st.integers(0, 60_000))
+@settings(max_examples=40, deadline=None)
+def test_bitmaps_of_any_positions(a, b, start, length):
+    b = b | set(range(start, start + length))
+    a = a | set(range(start + length // 2, start + length // 2 + 9000))
+    x, y = (bitmaps.encode_any(np.array(sorted(s), dtype=np.int64)) for s in (a, b))
+    assert bitmaps.decode_any(bitmaps.and_not_any(x, y)).tolist() == sorted(a - b)
+
+
+def test_a_key_with_a_million_references_in_a_day(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "HOT", 100_000)
+    day = "timestamp_ntz'2024-03-05 00:00:00'"
+    refs = spark.range(1_000_000).selectExpr("'t' ref_table", "cast(id as string) ref_key", "'hot' key", f"{day} + make_dt_interval(0, 0, 0, id % 86400) t")
+    events = spark.createDataFrame([("hot", dt.datetime(2024, 1, 1), 0), ("hot", dt.datetime(2024, 3, 5, 6), 1), ("hot", dt.datetime(2024, 3, 5, 12), 0)], "key string, t timestamp_ntz, dead int")
+    assert orphan_references(refs, events, 2).count() == sum(6 * 3600 <= i % 86400 < 12 * 3600 for i in range(1_000_000))
