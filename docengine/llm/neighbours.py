@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.llm.forest import Forest, Tree
+from docengine.session import partitions_for
 
 DIM = 64
 TRUNK, CELL, MAX_CELLS, PROBES = 2, 1 << 15, 1 << 13, 3
-TREES, LEAF, LEAVES = 12, 64, 128
+TREES, LEAF, LEAVES = 4, 256, 16
 SAMPLE = 40_000
 BROADCAST_ROWS = 5_000
 BLOCK = 4096  # queries searched at a time
@@ -207,7 +208,8 @@ def nearest(vectors: DataFrame, k: int = 5) -> DataFrame:
         vectors = vectors.join(kept, "h", "left").where(F.col("kept").isNull() | F.array_contains("kept", F.col("vid")))
     trunks = _trunks(vectors, sizes)
     visits = vectors.select("ns", "vid", "values").mapInPandas(_visits(trunks), "cell long, vid long, home boolean, code binary")
-    found = visits.groupBy("cell").applyInPandas(lambda pdf: _ranked(k)(pdf), "q long, n long, s float")
+    # a cell is much work for few bytes: as many partitions as cells, which are not put together
+    found = visits.repartition(partitions_for(spark, 1 + max(first + (trunk.count if trunk else 1) for first, trunk, _ in trunks.values()), 1), "cell").groupBy("cell").applyInPandas(lambda pdf: _ranked(k)(pdf), "q long, n long, s float")
     if spare is not None:
         found = found.unionByName(spare)
     pairs = found.repartition("q").groupBy("q", "n").agg(F.max("s").alias("s"))

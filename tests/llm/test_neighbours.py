@@ -51,9 +51,9 @@ def test_queue_takes_the_nearest_branches_first():
 def test_recall_in_a_cell_of_many_leaves():
     x = _clustered(16_384, 4)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    leaves = [len(Tree(x, neighbours.LEAF, np.random.default_rng(t)).leaves) for t in range(2)]
+    leaves = [len(Tree(x, 64, np.random.default_rng(t)).leaves) for t in range(2)]
     assert min(leaves) >= 256
-    row, col, _ = neighbours.rank_cell(x, np.ones(len(x), dtype=bool), 5)
+    row, col, _ = neighbours.rank_cell(x, np.ones(len(x), dtype=bool), 5, trees=8, leaf=64, probes=96)
     got = set(zip(row.tolist(), col.tolist(), strict=True))
     some = np.arange(0, len(x), 20)
     s = x[some] @ x.T
