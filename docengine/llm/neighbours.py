@@ -34,7 +34,7 @@ from docengine.session import partitions_for
 DIM = 64
 TRUNK, CELL, MAX_CELLS, PROBES = 2, 1 << 15, 1 << 13, 3
 TREES, LEAF, LEAVES = 4, 256, 16
-SAMPLE = 40_000
+SAMPLE = 8192
 BROADCAST_ROWS = 5_000
 BLOCK = 4096  # queries searched at a time
 
