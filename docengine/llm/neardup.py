@@ -8,13 +8,15 @@ min-hashes, codeword index). The bit errors of two similar texts spread over the
 segments, so that by the pigeonhole principle some carry no or one error, which always
 share a codeword, or two to four, which often do. Plain 12-bit codeword keys would be
 shared by a fixed part of all pairs of texts, so the number of candidates would grow as
-the square of the collection; the min-hashes keep it in proportion. Texts that share a
-key and whose 64-bit sketches differ in at most SKETCH_BITS bits become candidates, and
-every candidate is verified exactly on its word shingles.
-
-Scale: exact copies count once (each partition emits a text once, pairs are made between
-distinct texts and expanded at the end), keys and candidates carry 8-byte ids and
-sketches only, and texts are fetched for candidates alone.
+the square of the collection; the min-hashes thin this out by the square of the texts'
+similarity. Texts that share a key and differ in at most SKETCH_BINS of the 64 bins of
+their sketches (two bits of the smallest hash in each bin) become candidates, and every
+candidate is verified exactly on its word shingles.
+
+Scale: copies are brought together before anything else, by a partial aggregate that sends
+a text once per task; keys are thus made for distinct texts, whatever the partitioning, and
+the same shuffle serves the verification. Keys carry ids and sketches only. A key of more
+than HOT_KEY texts is joined in blocks of that size.
 """
 
 from __future__ import annotations
@@ -32,10 +34,11 @@ from docengine.llm.words import WordIds, mix, seeds
 from docengine.session import checkpoint
 
 SEGMENTS = 18
-SKETCH_BITS = 26
+SKETCH_BINS = 34  # of similar texts (0.6) three bins in ten differ, 19 of 64 on average; this is four deviations more
+HOT_KEY = 20_000
 BATCH_WORDS = 1 << 18
 _WORD = re.compile(r"[a-z0-9]+")
-_KEYS = "key long, tid long, sketch long"
+_KEYS = "key long, tid long, low long, high long"
 
 
 def chunk_text() -> Column:
@@ -63,12 +66,16 @@ def _fingerprints(tids: list[int], texts: list[list[int]], k: int) -> pd.DataFra
     s_starts = np.append(0, np.cumsum(sizes - k + 1)[:-1])
     s_doc = doc[inside]
 
-    def bits(h: np.ndarray, of: np.ndarray, bins: int) -> np.ndarray:
+    def smallest(h: np.ndarray, of: np.ndarray, bins: int) -> np.ndarray:
         low = np.full(n * bins, np.iinfo(np.uint64).max)
         np.minimum.at(low, of * bins + (h % np.uint64(bins)).astype(np.int64), h >> np.uint64(8))
-        return (low.reshape(n, bins) & np.uint64(1)) << np.arange(bins, dtype=np.uint64)
+        return low.reshape(n, bins)
+
+    def word(bits: np.ndarray) -> np.ndarray:
+        return np.bitwise_or.reduce((bits & np.uint64(1)) << np.arange(bits.shape[1], dtype=np.uint64), axis=1).view(np.int64)
 
-    sketch = np.bitwise_or.reduce(bits(mix(shingle ^ seeds("sketch", 1)[0]), s_doc, 64), axis=1).view(np.int64)
+    sketch = smallest(mix(shingle ^ seeds("sketch", 1)[0]), s_doc, 64)
+    sketch_low, sketch_high = word(sketch), word(sketch >> np.uint64(1))
     tid = np.array(tids, dtype=np.int64)
     out = []
     low = seeds("low", 2 * SEGMENTS)
@@ -76,25 +83,21 @@ def _fingerprints(tids: list[int], texts: list[list[int]], k: int) -> pd.DataFra
     for j in range(SEGMENTS):
         a = np.minimum.reduceat(mix(shingle ^ low[2 * j]), s_starts)
         b = np.minimum.reduceat(mix(shingle ^ low[2 * j + 1]), s_starts)
-        segment = bits(mix(w ^ high[j]), doc, 24).sum(axis=1).astype(np.int64)
-        index, valid = golay.nearby(segment)
+        index, valid = golay.nearby(word(smallest(mix(w ^ high[j]), doc, 24)))
         anchor = mix(a + mix(b) + high[j])
         key = mix(anchor[:, None] + index.astype(np.uint64))
         row, _ = np.nonzero(valid)
-        out.append((key[valid].view(np.int64), tid[row], sketch[row]))
-    return pd.DataFrame(dict(zip(("key", "tid", "sketch"), map(np.concatenate, zip(*out)), strict=True)))
+        out.append((key[valid].view(np.int64), tid[row], sketch_low[row], sketch_high[row]))
+    return pd.DataFrame(dict(zip(("key", "tid", "low", "high"), map(np.concatenate, zip(*out)), strict=True)))
 
 
 def _key_rows(k: int, least: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, seen = WordIds(), set()
+        ids = WordIds()
         get = ids.__getitem__
         tids, texts, held = [], [], 0
         for pdf in batches:
             for tid, text in zip(pdf["tid"], pdf["text"], strict=True):
-                if tid in seen:
-                    continue
-                seen.add(tid)
                 found = words(text)
                 if len(found) < least:
                     continue
@@ -137,6 +140,32 @@ def _verified(k: int, threshold: float):
     return run
 
 
+def distinct_texts(texts: DataFrame, *more: Column) -> DataFrame:
+    """One row per text: ``tid, text`` and the aggregates asked for."""
+    return texts.where(F.col("text").isNotNull()).groupBy("tid").agg(F.min("text").alias("text"), *more)
+
+
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """``a, b`` with a < b: pairs of texts that share a key and have near sketches, once for
+    each such key. keys: ``key, tid, low, high``, each (key, tid) once."""
+    keys = keys.repartition("key")
+    crowded = F.broadcast(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY))  # at most rows / HOT_KEY
+    single = keys.join(crowded, "key", "left_anti").withColumn("block", F.lit(0))
+    hot = keys.join(crowded, "key").withColumn("blocks", F.ceil(F.col("n") / HOT_KEY).cast("int"))
+    one = hot.withColumn("block", F.pmod(F.xxhash64("tid"), "blocks").cast("int")).select("key", "tid", "low", "high", "block")
+    all_ = hot.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "tid", "low", "high", "block")
+
+    def pairs(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
+        x, y = x.alias("x"), y.alias("y")
+        cond = F.col("x.tid") < F.col("y.tid")
+        for c in on:
+            cond = cond & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+        differ = F.bit_count(F.col("x.low").bitwiseXOR(F.col("y.low")).bitwiseOR(F.col("x.high").bitwiseXOR(F.col("y.high"))))
+        return x.join(y, cond & (differ <= SKETCH_BINS)).select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b"))
+
+    return pairs(single, single, ["key"]).unionByName(pairs(one, all_, ["key", "block"]))
+
+
 def similar_texts(texts: DataFrame, shingle: int, threshold: float, min_words: int) -> DataFrame:
     """Pairs of distinct texts with a Jaccard similarity of at least ``threshold`` on
     their sets of ``shingle`` successive words: ``a, b, similarity`` with a < b.
@@ -145,18 +174,9 @@ def similar_texts(texts: DataFrame, shingle: int, threshold: float, min_words: i
     texts and texts of fewer than ``min_words`` words (at least ``shingle``) are left
     out; repeated rows count once. Texts whose 64-bit hashes collide count as one.
     """
-    texts = texts.select("tid", "text").where(F.col("text").isNotNull())
-    keys = texts.mapInPandas(_key_rows(shingle, max(min_words, shingle)), _KEYS)
-    x, y = keys.alias("x"), keys.alias("y")
-    pairs = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.tid") < F.col("y.tid")) & (F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= SKETCH_BITS))
-        .select(F.col("x.tid").alias("a"), F.col("y.tid").alias("b"))
-        .distinct()
-    )
-    pairs = checkpoint(pairs)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
-    held = texts.join(needed, "tid", "left_semi").groupBy("tid").agg(F.min("text").alias("text"))
-    both = pairs.join(held.select(F.col("tid").alias("a"), F.col("text").alias("x")), "a").join(held.select(F.col("tid").alias("b"), F.col("text").alias("y")), "b")
+    unique = distinct_texts(texts)
+    pairs = checkpoint(shared_keys(unique.mapInPandas(_key_rows(shingle, max(min_words, shingle)), _KEYS)).distinct())
+    both = pairs.join(unique.select(F.col("tid").alias("a"), F.col("text").alias("x")), "a").join(unique.select(F.col("tid").alias("b"), F.col("text").alias("y")), "b")
     return both.mapInPandas(_verified(shingle, threshold), "a long, b long, similarity double")
 
 
@@ -171,13 +191,11 @@ def near_duplicate_pairs(chunks: DataFrame, shingle: int = 3, threshold: float =
     with a < b, without repeats. Chunks with one and the same text are pairs too."""
     members = chunk_members(chunks, min_words)
     links = similar_texts(members, shingle, threshold, min_words).select("a", "b")
-    ids = members.select("tid", "chunk_id", "text")
     # texts held by several chunk ids; whether such a text is long enough is asked once
-    copies = ids.groupBy("tid").agg(F.min("chunk_id").alias("lo"), F.max("chunk_id").alias("hi")).where("lo < hi").select("tid")
     long_enough = F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))) >= max(min_words, shingle)
-    same = ids.join(copies, "tid", "left_semi").where(long_enough).select(F.col("tid").alias("a"), F.col("tid").alias("b")).distinct()
-    links = links.unionByName(same)
-    of = ids.select("tid", "chunk_id")
+    copies = distinct_texts(members, F.min("chunk_id").alias("lo"), F.max("chunk_id").alias("hi")).where(F.col("lo") < F.col("hi")).where(long_enough)
+    links = links.unionByName(copies.select(F.col("tid").alias("a"), F.col("tid").alias("b")))
+    of = members.select("tid", "chunk_id")
     out = links.join(of.select(F.col("tid").alias("a"), F.col("chunk_id").alias("p")), "a").join(of.select(F.col("tid").alias("b"), F.col("chunk_id").alias("q")), "b")
     return out.where("p <> q").select(F.least("p", "q").alias("chunk_id_a"), F.greatest("p", "q").alias("chunk_id_b")).distinct()
 

@@ -90,3 +90,17 @@ def test_classes(spark):
     rows = [("a", " ".join(base), None, 0, 0), ("b", " ".join([*base[:57], "x", "y", "z"]), None, 0, 0), ("c", " ".join(base), None, 0, 0), ("d", " ".join(f"u{i}" for i in range(60)), None, 0, 0)]
     got = {r["chunk_id"]: (r["class_id"], r["links"]) for r in neardup.duplicate_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got["a"] == got["b"] == got["c"] and got["a"][1] == 1 and got["d"][1] == 0 and got["d"][0] != got["a"][0]
+
+
+def test_join_rows_do_not_depend_on_the_partitions(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [rng.choice("abcdefghij") + str(rng.randint(0, 300)) for _ in range(80)]
+    rows = [("x", " ".join(base)), ("y", " ".join([*base[:40], "new", *base[41:]]))] * 50
+    counts = []
+    for n in (1, 4, 16):
+        texts = spark.createDataFrame(rows, "chunk_id string, text string").withColumn("tid", F.xxhash64("text")).repartition(n)
+        keys = neardup.distinct_texts(texts).mapInPandas(neardup._key_rows(3, 30), neardup._KEYS)
+        counts.append(neardup.shared_keys(keys).count())
+    assert counts[0] == counts[1] == counts[2] > 0
+    monkeypatch.setattr(neardup, "HOT_KEY", 1)  # every key of both texts is crowded: joined in blocks
+    assert neardup.shared_keys(keys).count() == counts[0]
