@@ -51,6 +51,16 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _filled(low: np.ndarray) -> np.ndarray:
+    """Empty bins take the value of the next full one to the right, mixed with the way to
+    it, so that two short texts do not agree just where both have nothing."""
+    n, bins = low.shape
+    at = np.where(low == np.iinfo(np.uint64).max, 4 * bins, np.arange(bins))
+    at = np.minimum.accumulate(np.append(at, at + bins, axis=1)[:, ::-1], axis=1)[:, ::-1][:, :bins]
+    way = (at - np.arange(bins)).astype(np.uint64)
+    return mix(np.take_along_axis(low, at % bins, axis=1) + way * seeds("way", 1)[0])
+
+
 def _fingerprints(tids: list[int], texts: list[list[int]], k: int) -> pd.DataFrame:
     """Keys of a batch of texts, given as lists of word hashes."""
     sizes = np.array([len(t) for t in texts])
@@ -74,7 +84,7 @@ def _fingerprints(tids: list[int], texts: list[list[int]], k: int) -> pd.DataFra
     def word(bits: np.ndarray) -> np.ndarray:
         return np.bitwise_or.reduce((bits & np.uint64(1)) << np.arange(bits.shape[1], dtype=np.uint64), axis=1).view(np.int64)
 
-    sketch = smallest(mix(shingle ^ seeds("sketch", 1)[0]), s_doc, 64)
+    sketch = _filled(smallest(mix(shingle ^ seeds("sketch", 1)[0]), s_doc, 64))
     sketch_low, sketch_high = word(sketch), word(sketch >> np.uint64(1))
     tid = np.array(tids, dtype=np.int64)
     out = []
@@ -148,10 +158,15 @@ def distinct_texts(texts: DataFrame, *more: Column) -> DataFrame:
 def shared_keys(keys: DataFrame) -> DataFrame:
     """``a, b`` with a < b: pairs of texts that share a key and have near sketches, once for
     each such key. keys: ``key, tid, low, high``, each (key, tid) once."""
-    keys = keys.repartition("key")
-    crowded = F.broadcast(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT_KEY))  # at most rows / HOT_KEY
-    single = keys.join(crowded, "key", "left_anti").withColumn("block", F.lit(0))
-    hot = keys.join(crowded, "key").withColumn("blocks", F.ceil(F.col("n") / HOT_KEY).cast("int"))
+    # the join asks for no nulls and for all columns; asked for here too, all uses below share one shuffle
+    keys = keys.where("key is not null and tid is not null and low is not null and high is not null").repartition("key")
+    seen = F.bit_or(F.col("tid").bitwiseOR(F.col("low")).bitwiseOR(F.col("high")))
+    counts = keys.groupBy("key").agg(F.count("*").alias("n"), seen.alias("seen"))
+    crowded = F.broadcast(counts.where((F.col("n") > HOT_KEY) & F.col("seen").isNotNull()).select("key", "n"))  # at most rows / HOT_KEY
+    # a left join, since an anti join would be moved before the shuffle and so make it another one
+    known = keys.join(crowded, "key", "left")
+    single = known.where("n is null").select("key", "tid", "low", "high")
+    hot = known.where("n is not null").withColumn("blocks", F.ceil(F.col("n") / HOT_KEY).cast("int"))
     one = hot.withColumn("block", F.pmod(F.xxhash64("tid"), "blocks").cast("int")).select("key", "tid", "low", "high", "block")
     all_ = hot.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "tid", "low", "high", "block")
 
