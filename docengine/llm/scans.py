@@ -1,24 +1,30 @@
 """Repairing text from scanned pages: running lines, broken words, misread characters.
 
-Method. Words are counted over all pages. The frequent ones form a vocabulary trie; every
-other distinct word is looked up by intersecting its generalized Levenshtein automaton
-(edits are the usual misreadings, one or two characters for one or two) with the trie,
-which gives all candidates within two edits. Candidates are ranked by how often they occur
-and whether they stand beside the word elsewhere, once for all places of a word; pairs of
-words are not counted. A word is misread if its best
-candidate is far more frequent than the word itself. Blanks inside words are found the
-same way: the joined word is frequent, the pair of pieces is not. A word that is not frequent
-enough for that, as the names of one file, is sought among the words of its own file: those
-of the same confusion class, within two edits, and FILE_RATIO times as frequent there. A running line
-recurs, up to misreadings, at the edge of several pages of its file, or has the form of
-such lines in other files; a page-number line shows the page's own number. What is left is
+Method. Words are counted over all pages. The frequent ones form a vocabulary trie, and
+the Levenshtein automaton of every other distinct word is intersected with it
+(``automaton``), which gives all words of the vocabulary within two edits: insertions,
+deletions, substitutions, swaps and the scanners' usual misreadings, one or two characters
+for one or two. Candidates are weighed as in a noisy channel: by how often they occur, over
+12 for each misreading and over GENERIC times as much for any other edit, since scanners
+misread in few ways. A word is misread if a candidate outweighs it by RATIO. Where several
+do, or one by an edit that is no usual misreading, each place of the word is ranked by its
+context: the weight times the counts of the candidate's pairs with the word to the left and
+to the right, over all pages; an unusual edit needs such a pair. Blanks inside words are
+found the same way: the joined word is frequent, the pair of pieces is not. A word that is
+not frequent enough for that, as the names of one file, is sought among the words of its own
+file: those of the same confusion class, within two misreadings, and FILE_RATIO times as
+frequent there. A running line recurs, up to misreadings, at the edge of several pages of
+its file, or has the form of such lines in other files; a page-number line shows the page's
+own number. Up to EDGE lines at either edge of a page are looked at. What is left is
 reflowed into paragraphs.
 
 Scale: pages are never gathered by file. Word counts, edge lines and suspicious words are
 small derived tables that are grouped and joined by key; each distinct suspicious word is
 looked up once. Only the vocabulary travels to the tasks; a word must make up VOCABULARY
-of all words to be in it, so it has at most 1 / VOCABULARY entries. The words of a file are
-not broadcast; they are joined by file and confusion class.
+of all words to be in it, so it has at most 1 / VOCABULARY entries. The pairs to be counted
+travel as a set of at most PAIR_BITS hashes; where they are more, more pairs are counted
+than asked for. The words of a file are not broadcast; they are joined by file and
+confusion class.
 """
 
 from __future__ import annotations
@@ -27,16 +33,20 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docengine.llm.automaton import Automata
 from docengine.session import checkpoint
 
 EDGE = 4
 VOCABULARY, COMMON = 2e-6, 2e-5
 RATIO, SPLIT_RATIO, FILE_RATIO = 20, 20, 3
+GENERIC = 100  # how much rarer an edit is that is no usual misreading
+PAIR_BITS = 1 << 22
 LINKS = ("and", "or", "to")  # after a suspended hyphen ("short- and") unless they complete a word
 HYPHENS = "-¬­‐"
 # What scanners read (left) for what is printed (right).
@@ -71,7 +81,7 @@ def fold(line: str) -> str:
 def template(line: str) -> str:
     """The form of a line: digits as 0, capitalized words as N."""
     line = re.sub(r"\d+", "0", " ".join(line.split()))
-    return re.sub(r"\bN(?: N)+\b", "N", re.sub(r"\b[A-Z][a-z@!015]\w*", "N", line))[:80]
+    return re.sub(r"\b(?:N|[A-Z][a-z@!015]\w*)(?: (?:N\b|[A-Z][a-z@!015]\w*))*", "N", line)
 
 
 def _roman(n: int) -> str:
@@ -109,28 +119,29 @@ def running_part(line: str, page_no: int) -> tuple[str, bool]:
     return line, False
 
 
-def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for doc, page, lines in pdf[["doc_id", "page_no", "raw_lines"]].itertuples(index=False):
-            full = [i for i, x in enumerate(lines) if x and x.strip()]
-            for zone, some in (("top", full[:EDGE]), ("end", full[: -EDGE - 1 : -1])):
-                for k, i in enumerate(some):
-                    base, number = running_part(lines[i], page)
-                    first = lines[i].split()[0]
-                    number = number and (not base or len(base) < 60)
-                    out.append((doc, page, zone, k, i, fold(base) if k < 3 else "", template(base) if k < 3 else "", number, first if zone == "top" else None))
-        yield pd.DataFrame(out, columns=["doc_id", "page_no", "zone", "k", "line_no", "form", "template", "number", "first"])
+def _hash(text: str) -> int | None:
+    """Hash of a form or template as a signed number; none of an empty one."""
+    h = xxhash.xxh64_intdigest(text)
+    return (h - (1 << 64) if h >> 63 else h) if text else None
+
 
+def _edges(doc: str, page: int, lines: list[str]) -> Iterator[tuple]:
+    full = [i for i, x in enumerate(lines) if x and x.strip()]
+    for zone, some in (("top", full[:EDGE]), ("end", full[: -EDGE - 1 : -1])):
+        for k, i in enumerate(some):
+            base, number = running_part(lines[i], page)
+            number = number and (not base or len(base) < 60)
+            form, kind = (_hash(fold(base)), _hash(template(base))) if k < EDGE - 1 else (None, None)
+            yield doc, page, zone, k, i, form, kind, number, lines[i].split()[0] if zone == "top" else None, None, None, None
 
-_EDGES = "doc_id string, page_no int, zone string, k int, line_no int, form string, template string, number boolean, first string"
 
+_SEEN = "doc_id string, page_no int, zone string, k int, line_no int, form long, template long, number boolean, first string, words array<string>, ns array<long>, keys array<long>"
 
-def edge_lines(pages: DataFrame) -> DataFrame:
+
+def edge_lines(edges: DataFrame) -> DataFrame:
     """The first and last EDGE non-blank lines of every page with ``furniture``."""
-    edges = checkpoint(pages.select("doc_id", "page_no", "raw_lines").mapInPandas(_edges, _EDGES))
-    size = pages.groupBy("doc_id").agg(F.count_distinct("page_no").alias("pages"))
-    named = edges.where("form <> '' and k < 3")
+    size = edges.where("zone = 'top' and k = 0").groupBy("doc_id").agg(F.count_distinct("page_no").alias("pages"))
+    named = edges.where("form is not null")
     forms = named.groupBy("doc_id", "zone", "form", "template").agg(F.count_distinct("page_no").alias("n")).join(size, "doc_id")
     whole = Window.partitionBy("doc_id", "zone", "form")
     forms = forms.withColumn("n_form", F.sum("n").over(whole))
@@ -147,7 +158,7 @@ def edge_lines(pages: DataFrame) -> DataFrame:
         "is", F.coalesce("runs", F.lit(False)) | F.col("number")
     )
     # a heading may stand above the running line, so that furniture need not begin at the very edge
-    return marked.withColumn("furniture", F.col("is") & (F.col("k") < 3)).select("doc_id", "page_no", "zone", "k", "line_no", "furniture", "first")
+    return marked.withColumn("furniture", F.col("is") & (F.col("k") < EDGE - 1)).select("doc_id", "page_no", "zone", "k", "line_no", "furniture", "first")
 
 
 def broken_word(line: str) -> str:
@@ -171,15 +182,17 @@ def _tokens(lines: list[str]) -> Iterator[tuple[int, list[tuple[str, bool]]]]:
         carried = broken
 
 
-def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edge lines of each page (``zone`` set) and the words of each file in a batch."""
+    names = [c.split()[0] for c in _SEEN.split(", ")]
     for pdf in batches:
+        out: list[tuple] = []
         total: dict[str, Counter[str]] = {}
-        for doc, lines in zip(pdf["doc_id"], pdf["raw_lines"], strict=True):
-            if lines is not None:
-                mine = total.setdefault(doc, Counter())
-                for _, words in _tokens(lines):
-                    mine.update([w for w, piece in words if not piece])
-        out = []
+        for doc, page, lines in pdf[["doc_id", "page_no", "raw_lines"]].itertuples(index=False):
+            out += _edges(doc, page, lines)
+            mine = total.setdefault(doc, Counter())
+            for _, words in _tokens(lines):
+                mine.update([w for w, piece in words if not piece])
         parts: dict[str, list[str]] = {}
         keys: dict[str, int] = {}
         for doc, mine in total.items():
@@ -192,8 +205,11 @@ def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for word in cores.keys() - keys.keys():
                 key = xxhash.xxh64_intdigest(word.translate(_CLASS), 42)  # as Spark's xxhash64
                 keys[word] = key - (1 << 64) if key >> 63 else key
-            out.append((doc, list(cores.keys()), list(cores.values()), [keys[word] for word in cores]))
-        yield pd.DataFrame(out, columns=["doc_id", "words", "ns", "keys"])
+            out.append((doc, None, None, None, None, None, None, None, None, list(cores.keys()), list(cores.values()), [keys[word] for word in cores]))
+        pdf = pd.DataFrame(out, columns=names)
+        for c in ("page_no", "k", "line_no", "form", "template"):
+            pdf[c] = pdf[c].astype("Int64")
+        yield pdf
 
 
 def confusion_class(word: Column) -> Column:
@@ -274,88 +290,162 @@ def _suspects(vocabulary: dict[str, int], common: int, dubious: set[str]):
             return False
         return n >= common or (len(low) < 2) or ("-" in low and all(len(p) < 2 or vocabulary.get(p, 0) >= common or not p.isalpha() and not _odd(p) for p in low.split("-")))
 
-    cache: dict[str, tuple[str, str] | None] = {}
+    # what is asked of a token: kind and text of a suspicion, core, beginning and end in lower case, and these as they stand
+    cache: dict[str, tuple] = {}
+    heads = {w[:i] for w in vocabulary for i in range(1, len(w))}
 
-    def judge(token: str) -> tuple[str, str] | None:
-        if token in cache:
-            return cache[token]
+    def judged(token: str) -> tuple:
         core = token.strip(_PUNCT)
-        verdict = None
+        kind, text = "", ""
         if core and not known(core):
             if (fixed := misread_number(core)) is not None:
-                verdict = ("number", fixed)
+                kind, text = "number", fixed
             elif any(c.isalpha() for c in core) and not _CODE.fullmatch(core) and not _NUMBER.fullmatch(core):
-                verdict = ("word", core)
+                kind, text = "word", core
+        head, tail = token.lstrip(_PUNCT), token.rstrip(_PUNCT)
+        low = head.lower()
+        half = head[-1:] in "0123456789," and "," in head and _HALF_NUMBER.fullmatch(head) is not None and not _NUMBER.fullmatch(head)
         if len(cache) > 500_000:
             cache.clear()
-        cache[token] = verdict
-        return verdict
+        out = cache[token] = (kind, text, core, core.lower(), head, low if head[-1:].isalpha() and low in heads else "", half, tail, tail.lower() if tail[:1].isalpha() else "", tail[:1].isdigit())
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for doc, page, lines in pdf[["doc_id", "page_no", "raw_lines"]].itertuples(index=False):
-                if lines is None:
-                    continue
                 told = list(_tokens(lines))
                 for at, (i, words) in enumerate(told):
-                    before = ""
+                    before = None
                     for j, (token, piece) in enumerate(words):
-                        if piece and j == len(words) - 1 and (part := broken_word(lines[i])):
-                            nxt = [(k, w[0][0].strip(_PUNCT)) for k, w in told[at + 1 : at + 1 + EDGE]]
-                            out.append((doc, page, i, "break", part, "\t".join(f"{k} {w}" for k, w in nxt), ",".join(w for w in LINKS if (part + w).lower() in vocabulary), 0))
-                        elif piece:
-                            pass
-                        elif (verdict := judge(token)) is not None:
-                            after = words[j + 1][0].strip(_PUNCT).lower() if j + 1 < len(words) else ""
-                            kind, core = verdict
-                            out.append((doc, page, i, kind, token.strip(_PUNCT) if kind == "number" else core, core if kind == "number" else before, after, 0))
-                        core = token.strip(_PUNCT).lower()
-                        if before and core and not piece:
-                            a, b = words[j - 1][0].lstrip(_PUNCT), token.rstrip(_PUNCT)
-                            if a[-1:].isalpha() and b[:1].isalpha():
-                                n = vocabulary.get((a + b).lower(), 0)
-                                if n and len(a + b) >= 4:
-                                    out.append((doc, page, i, "pair", a + b, a.lower(), b.lower(), n))
-                            elif a[-1:] in "0123456789," and b[:1].isdigit() and _HALF_NUMBER.fullmatch(a) and "," in a and not _NUMBER.fullmatch(a) and _NUMBER.fullmatch(a + b) and (a[0] in "$€£" or a[-1] != ","):
-                                out.append((doc, page, i, "number", f"{a} {b}", a + b, "", 0))
-                        before = core
+                        it = cache.get(token) or judged(token)
+                        kind, text, core, low, _, _, _, tail, tail_low, figure = it
+                        if piece:
+                            if j == len(words) - 1 and (part := broken_word(lines[i])):
+                                nxt = [(k, w[0][0].strip(_PUNCT)) for k, w in told[at + 1 : at + 1 + EDGE]]
+                                out.append((doc, page, i, "break", part, "\t".join(f"{k} {w}" for k, w in nxt), ",".join(w for w in LINKS if (part + w).lower() in vocabulary), 0))
+                        else:
+                            if kind == "number":
+                                out.append((doc, page, i, kind, core, text, "", 0))
+                            elif kind:
+                                after = words[j + 1][0].strip(_PUNCT).lower() if j + 1 < len(words) else ""
+                                out.append((doc, page, i, kind, core, before[3] if before else "", after, 0))
+                            if before and low and before[3]:
+                                if before[5] and tail_low:
+                                    n = vocabulary.get(before[5] + tail_low, 0)
+                                    if n and len(before[5]) + len(tail_low) >= 4:
+                                        out.append((doc, page, i, "pair", before[4] + tail, before[5], tail_low, n))
+                                elif before[6] and figure and _NUMBER.fullmatch(before[4] + tail) and (before[4][0] in "$€£" or before[4][-1] != ","):
+                                    out.append((doc, page, i, "number", f"{before[4]} {tail}", before[4] + tail, "", 0))
+                        before = it
             yield pd.DataFrame(out, columns=[x.split()[0] for x in _MARKS.split(", ")])
 
     return run
 
 
+_LOOKED = "word string, meant string, told boolean, options array<struct<c string, weight double, generic boolean>>"
+
+
 def _looked_up(vocabulary: dict[str, int], common: int):
-    """For each suspicious word its best candidate, if there is one. A common word has none."""
+    """For each suspicious word its meaning where one candidate alone is good enough, or the
+    options among which its places are to be ranked. A common word has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = Trie(vocabulary)
+        trie, automata = Trie(vocabulary), Automata(vocabulary, MISREAD)
+
+        def asked(part: str) -> bool:
+            n = vocabulary.get(part, 0)
+            return len(part) >= 3 and n < common and (not n or part.isalpha())
+
         for pdf in batches:
+            lows = sorted({p for w in pdf["word"] for p in w.lower().split("-") if asked(p)})
+            near = dict(zip(lows, automata.candidates(lows), strict=True))
             out = []
-            for word, n, lefts, rights in pdf[["word", "n", "lefts", "rights"]].itertuples(index=False):
-                best, odd = "", _odd(word)
-                parts = []
+            for word, n in pdf[["word", "n"]].itertuples(index=False):
+                told, parts, options = False, [], []
+                alone = "-" not in word
                 for part in word.split("-"):
                     low = part.lower()
-                    own = max(vocabulary.get(low, 0), n if len(word) == len(part) else 0)
-                    if len(low) < 3 or (vocabulary.get(low, 0) and not low.isalpha()) or vocabulary.get(low, 0) >= common:
+                    if low not in near:
                         parts.append(part)
                         continue
-                    around = set(lefts) | set(rights)
-                    ranked = sorted(((vocabulary[c] / 12.0**cost * (1 + (c in around)), c) for c, cost in trie.candidates(low).items()), reverse=True)
-                    good = [c for _, c in ranked if not low.isalpha() or vocabulary[c] >= RATIO * own]
-                    parts.append((good[0].capitalize() if part[:1].isupper() else good[0]) if good else part)
-                    if good:
-                        best = "x"
-                if best:
-                    out.append((word, "-".join(parts)))
-                elif odd or any(_odd(p) for p in word.split("-")):
-                    out.append((word, None))
-            yield pd.DataFrame(out, columns=["word", "meant"])
+                    own = max(vocabulary.get(low, 0), n if alone else 0)
+                    usual = trie.candidates(low)
+                    good = [(vocabulary[c] / 12.0**k, c, False) for c, k in usual.items() if not low.isalpha() or vocabulary[c] >= RATIO * own]
+                    if alone and not good:  # a word must be long enough for an unusual edit to say anything
+                        good = [(vocabulary[c] / (12.0 * GENERIC) ** k, c, True) for c, k in near[low].items() if c not in usual and len(low) >= 3 * k + 2 and vocabulary[c] >= RATIO * GENERIC**k * max(1, own)]
+                    good.sort(reverse=True)
+                    if alone:
+                        options = good
+                    parts.append((good[0][1].capitalize() if part[:1].isupper() else good[0][1]) if good and not good[0][2] else part)
+                    told |= bool(good) and not good[0][2]
+                meant = "-".join(parts) if told else None
+                told |= _odd(word) or any(_odd(p) for p in word.split("-"))
+                ranked = [{"c": c.capitalize() if word[:1].isupper() else c, "weight": x, "generic": g} for x, c, g in options] if len(options) > 1 or any(g for _, _, g in options) else None
+                if told or ranked:
+                    out.append((word, meant, told, ranked))
+            yield pd.DataFrame(out, columns=["word", "meant", "told", "options"])
 
     return run
 
 
+def _pair_hash(a: Column, b: Column) -> Column:
+    return F.pmod(F.xxhash64(F.concat_ws("\t", a, b)), F.lit(PAIR_BITS)).cast("int")
+
+
+def _pairs(candidates: set[str], bits: np.ndarray):
+    """Counts of neighbouring words of a line of which one is a candidate, as far as asked for."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cores: dict[str, str] = {}
+        wanted: dict[tuple[str, str], bool] = {}
+        for pdf in batches:
+            count: Counter[tuple[str, str]] = Counter()
+            for lines in pdf["raw_lines"]:
+                for line in lines:
+                    last, held = "", False
+                    for token in (line or "").split():
+                        if (core := cores.get(token)) is None:
+                            if len(cores) > 500_000:
+                                cores.clear()
+                            core = cores[token] = token.strip(_PUNCT).lower()
+                        now = core in candidates
+                        if (held or now) and last and core:
+                            pair = (last, core)
+                            if (yes := wanted.get(pair)) is None:
+                                if len(wanted) > 500_000:
+                                    wanted.clear()
+                                h = xxhash.xxh64_intdigest("\t".join(pair), 42)
+                                yes = wanted[pair] = bool(bits[(h - (1 << 64) if h >> 63 else h) % PAIR_BITS])
+                            if yes:
+                                count[pair] += 1
+                        last, held = core, now
+            yield pd.DataFrame([(a, b, n) for (a, b), n in count.items()], columns=["a", "b", "n"])
+
+    return run
+
+
+def in_context(places: DataFrame, pages: DataFrame) -> DataFrame:
+    """The best option at each place. places: ``left, right, options`` and other columns, which
+    stay; ``meant`` is null where only unusual edits are left and no pair speaks for one."""
+    some = places.withColumn("place", F.xxhash64(*places.drop("options").columns)).withColumn("o", F.explode("options")).withColumn("c", F.lower("o.c"))
+    asked = some.select(F.explode(F.array(F.struct(F.col("left").alias("a"), F.col("c").alias("b")), F.struct(F.col("c").alias("a"), F.col("right").alias("b")))).alias("p")).select("p.*").where("a <> '' and b <> ''").distinct()
+    asked = checkpoint(asked.withColumn("bit", _pair_hash(F.col("a"), F.col("b"))))
+    bits = np.zeros(PAIR_BITS, dtype=bool)
+    for (bit,) in asked.select("bit").distinct().toLocalIterator():
+        bits[bit] = True
+    candidates = {c for (c,) in some.select("c").distinct().toLocalIterator()}  # words of the vocabulary
+    counts = pages.select("raw_lines").mapInPandas(_pairs(candidates, bits), "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).join(asked.select("a", "b"), ["a", "b"], "left_semi")
+    counts = checkpoint(counts)
+    with_left = some.join(counts.select(F.col("a").alias("left"), F.col("b").alias("c"), F.col("n").alias("before")), ["left", "c"], "left")
+    both = with_left.join(counts.select(F.col("a").alias("c"), F.col("b").alias("right"), F.col("n").alias("after")), ["c", "right"], "left")
+    before, after = F.coalesce("before", F.lit(0)), F.coalesce("after", F.lit(0))
+    score = F.when(~F.col("o.generic") | (before + after > 0), F.log("o.weight") + F.log1p(before) + F.log1p(after))
+    best = F.max(F.when(score.isNotNull(), F.struct(score.alias("score"), F.col("o.c").alias("c"))))
+    keep = [c for c in places.columns if c != "options"]
+    return both.groupBy("place", *keep).agg(best.getField("c").alias("meant")).drop("place")
+
+
 def _in_file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each part of a suspicious word its best candidate of the file, if there is one."""
     for pdf in batches:
@@ -397,9 +487,16 @@ def marks(pages: DataFrame) -> DataFrame:
     repeated rows count once; other columns are ignored. A line that ends a file's last
     page is never broken.
     """
+    return _marks_and_rests(pages)[0]
+
+
+def _marks_and_rests(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The marks, and in the same form what joins words broken over pages: ``over`` the first
+    word of the next page for the line that it ends, ``rest`` that word for its own line, and
+    ``fix`` what a misread one means for the line that it begins in."""
     pages = pages.select("doc_id", "page_no", "raw_lines").where("doc_id is not null and page_no is not null and size(raw_lines) > 0")
-    words = pages.select("doc_id", "raw_lines").mapInPandas(_words, "doc_id string, words array<string>, ns array<long>, keys array<long>")
-    words = words.select("doc_id", F.explode(F.arrays_zip("words", "ns", "keys")).alias("w")).select(F.xxhash64("doc_id", "w.keys").alias("class"), F.col("w.words").alias("word"), F.col("w.ns").alias("n"))
+    seen = checkpoint(pages.mapInPandas(_read, _SEEN))
+    words = seen.where("zone is null").select("doc_id", F.explode(F.arrays_zip("words", "ns", "keys")).alias("w")).select(F.xxhash64("doc_id", "w.keys").alias("class"), F.col("w.words").alias("word"), F.col("w.ns").alias("n"))
     file_words = checkpoint(words.repartition("class").groupBy("class", "word").agg(F.sum("n").alias("n")))  # class: file and confusion class
     counts = checkpoint(file_words.groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -412,7 +509,7 @@ def marks(pages: DataFrame) -> DataFrame:
     # common words of whose occurrences half may lie in files that have others FILE_RATIO times as often
     dubious = {w for w, n in vocabulary.items() if n >= common and len(w) >= 3 and 2 * (alike[w.translate(_CLASS)] - n) >= FILE_RATIO * n}
 
-    edges = checkpoint(edge_lines(pages))
+    edges = checkpoint(edge_lines(seen.where("zone is not null").drop("words", "ns", "keys")))
     furniture = edges.where("furniture").select("doc_id", "page_no", "line_no").distinct()
     suspects = checkpoint(pages.mapInPandas(_suspects(vocabulary, common, dubious), _MARKS).join(furniture, ["doc_id", "page_no", "line_no"], "left_anti"))
 
@@ -437,11 +534,16 @@ def marks(pages: DataFrame) -> DataFrame:
 
     whole = joined.select("doc_id", "page_no", "line_no", F.concat("word", F.btrim("next_word", F.lit(_PUNCT))).alias("word"), F.lit("").alias("left"), F.lit("").alias("right"), F.length("word").alias("cut"), "line_2", "page_2")
     words = suspects.where("kind = 'word'").select("doc_id", "page_no", "line_no", "word", "left", "right", F.lit(-1).alias("cut"), F.lit(-1).alias("line_2"), F.col("page_no").alias("page_2")).unionByName(whole)
-    asked = words.groupBy("word").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_set("left")), 1, 50).alias("lefts"), F.slice(F.sort_array(F.collect_set("right")), 1, 50).alias("rights"))
-    meant = asked.mapInPandas(_looked_up(vocabulary, common), "word string, meant string")
-    meant = checkpoint(meant.withColumn("told", F.lit(True)))
-    here = checkpoint(meant_in_file(words.select("doc_id", "word").distinct().join(meant, "word", "left"), file_words, counts))
-    words = words.join(meant, "word", "left").join(here, ["doc_id", "word"], "left").withColumn("meant", F.coalesce("here", "meant")).where("told or meant is not null")
+    asked = words.groupBy("word").agg(F.count("*").alias("n"))
+    meant = checkpoint(asked.mapInPandas(_looked_up(vocabulary, common), _LOOKED))
+    here = checkpoint(meant_in_file(words.select("doc_id", "word").distinct().join(meant.select("word", "meant"), "word", "left"), file_words, counts))
+    one = words.join(meant.where("options is null").select("word", "meant", "told"), "word", "left").drop("left", "right")
+    several = meant.where("options is not null")
+    if several.limit(1).count():
+        places = words.join(several.select("word", "options", "told"), "word")
+        several_words = several.select("word")
+        one = one.join(several_words, "word", "left_anti").unionByName(in_context(places, pages).select(*one.columns))
+    words = one.join(here, ["doc_id", "word"], "left").withColumn("meant", F.coalesce("here", "meant")).where("told or meant is not null")
     # a word broken over lines is misread in the line where it first differs from what was meant
     same = F.expr("aggregate(sequence(1, least(length(word), length(meant))), 0, (a, i) -> if(a = i - 1 and lower(substring(word, i, 1)) = lower(substring(meant, i, 1)), i, a))")
     later = (F.col("cut") >= 0) & (same >= F.col("cut"))
@@ -454,7 +556,12 @@ def marks(pages: DataFrame) -> DataFrame:
 
     lines = furniture.select("doc_id", "page_no", "line_no", F.lit("furniture").alias("kind"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("string").alias("meant"))
     moved = ocr.join(furniture, ["doc_id", "page_no", "line_no"], "left_anti")
-    return lines.unionByName(hyphen).unionByName(moved).unionByName(numbers).unionByName(split).distinct()
+    every = lines.unionByName(hyphen).unionByName(moved).unionByName(numbers).unionByName(split).distinct()
+    turned = joined.where("page_2 <> page_no")
+    over = turned.select("doc_id", "page_no", "line_no", F.lit("over").alias("kind"), "word", F.col("next_word").alias("meant"))
+    rest = turned.select("doc_id", F.col("page_2").alias("page_no"), F.col("line_2").alias("line_no"), F.lit("rest").alias("kind"), F.col("next_word").alias("word"), F.lit(None).cast("string").alias("meant"))
+    fix = words.where("cut >= 0 and page_2 <> page_no and meant is not null").select("doc_id", "page_no", "line_no", F.lit("fix").alias("kind"), "word", "meant")
+    return every, over.unionByName(rest).unionByName(fix).distinct()
 
 
 def _paragraphs(lines: list[str]) -> list[str]:
@@ -488,7 +595,7 @@ def _reflow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, page, lines, told in pdf[["doc_id", "page_no", "raw_lines", "told"]].itertuples(index=False):
             lines = [x or "" for x in (lines if lines is not None else [])]
             repairs = []
-            gone, broken, over = set(), {}, {}
+            gone, broken, over, turned, rests = set(), {}, {}, {}, {}
             for m in sorted(told if told is not None else [], key=lambda m: (m["line_no"], m["kind"], m["word"] or "", m["meant"] or "")):
                 i, kind, word, meant = m["line_no"], m["kind"], m["word"], m["meant"]
                 if i >= len(lines):
@@ -498,6 +605,12 @@ def _reflow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     repairs.append(("section_repair", [i, i], "removed page furniture", lines[i], ""))
                 elif kind == "hyphen":
                     broken[i] = meant
+                elif kind == "over":
+                    turned[i] = meant
+                elif kind == "rest":
+                    rests[i] = word
+                elif kind == "fix":
+                    over[word.lower()] = (word, meant)
                 elif kind == "ocr" and meant and re.search(re.escape(word), lines[i], re.I):
                     new = re.sub(re.escape(word), lambda _, x=meant: x, lines[i], count=1, flags=re.I)
                     repairs.append(("section_repair", [i, i], "misread characters", word, meant))
@@ -512,18 +625,25 @@ def _reflow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 piece = lines[i].rstrip()[:-1]
                 own = lines[i].rstrip()[-1] == "-" and broken[i] is not None and "-" in broken[i]
                 if nxt is not None:
-                    first, _, rest = lines[nxt].strip().partition(" ")
-                    whole = piece + ("-" if own else "") + first
-                    lines[nxt] = rest
-                    last = whole.split()[-1].strip(_PUNCT)
-                    if last.lower() in over:
-                        word, meant = over[last.lower()]
-                        whole = whole[: whole.rindex(last)] + meant + whole[whole.rindex(last) + len(last) :]
-                        repairs.append(("section_repair", [i, nxt], "misread characters", word, meant))
-                else:  # it goes on in the next page
+                    first, _, lines[nxt] = lines[nxt].strip().partition(" ")
+                elif i in turned:  # it goes on in the next page
+                    first = turned[i]
+                else:
                     continue
-                repairs.append(("section_repair", [i, nxt if nxt is not None else i], "joined a broken word", lines[i].split()[-1], whole.split()[-1]))
+                to = nxt if nxt is not None else i
+                whole = piece + ("-" if own else "") + first
+                last = whole.split()[-1].strip(_PUNCT)
+                if last.lower() in over:
+                    word, meant = over[last.lower()]
+                    whole = whole[: whole.rindex(last)] + meant + whole[whole.rindex(last) + len(last) :]
+                    repairs.append(("section_repair", [i, to], "misread characters", word, meant))
+                repairs.append(("section_repair", [i, to], "joined a broken word", lines[i].split()[-1], whole.split()[-1]))
                 lines[i] = whole
+            for i, word in rests.items():
+                first, _, after = lines[i].strip().partition(" ")
+                if first == word:
+                    lines[i] = after
+                    repairs.append(("section_repair", [i, i], "joined a broken word to the page before", first, ""))
             out.append((doc, page, "\n\n".join(_paragraphs([lines[i] for i in text])), [dict(zip(("repair_type", "location", "reason", "original", "repaired"), x, strict=True)) for x in repairs]))
         yield pd.DataFrame(out, columns=["doc_id", "page_no", "content", "repair_applied"])
 
@@ -532,10 +652,10 @@ def repaired_pages(pages: DataFrame) -> DataFrame:
     """``doc_id, page_no, content, repair_applied``: the pages' lines without furniture,
     with broken words joined, misread words replaced and paragraphs reflowed.
 
-    One row per page with lines; of repeated rows one stands. The pieces of a word broken
-    over a page break stay on their pages.
+    One row per page with lines; of repeated rows one stands. A word broken over a page
+    break ends its first page.
     """
-    told = marks(pages)
+    told = DataFrame.unionByName(*_marks_and_rests(pages))
     each = told.groupBy("doc_id", "page_no").agg(F.collect_set(F.struct("line_no", "kind", "word", "meant")).alias("told"))
     once = pages.select("doc_id", "page_no", "raw_lines").where("doc_id is not null and page_no is not null and size(raw_lines) > 0").groupBy("doc_id", "page_no").agg(F.max("raw_lines").alias("raw_lines"))
     return once.join(each, ["doc_id", "page_no"], "left").mapInPandas(_reflow, f"doc_id string, page_no int, content string, repair_applied {_REPAIR}")

@@ -81,3 +81,19 @@ def test_misread_words_broken_over_pages_and_furniture(spark):
     assert got == {("z", 1, 2, "hyphen"), ("z", 2, 0, "ocr"), ("y", 1, 4, "hyphen"), ("y", 1, 5, "ocr"), ("w", 1, 2, "hyphen"), ("w", 1, 2, "ocr")}
     row = scans.repaired_pages(pages).where("doc_id = 'y'").first()
     assert "he asked the borrower to agree" in row["content"]
+    content = {r["page_no"]: r["content"] for r in scans.repaired_pages(pages).where("doc_id in ('w', 'z')").select("doc_id", "page_no", "content").collect() if r["doc_id"] == "w"}
+    assert "he bought inventory" in content[1] and content[2].startswith("and the line")
+
+
+def test_any_edit_is_found_and_ranked_in_context(spark):
+    some = [f"the {w} of the {v} unit" for w, v in (("company", "first"), ("covenant", "lender"))]
+    extra = [("c", p, [*some * 2100], "x", 7) for p in range(1, 3)] + [("z", 1, ["a line of text", "the compny of the first unit", "the zompany stays", "he has a compny"], "x", 7)]
+    got = {(r["line_no"], r["word"], r["meant"]) for r in scans.marks(_pages(spark, extra)).where("doc_id = 'z' and kind = 'ocr'").collect()}
+    assert got == {(1, "compny", "company"), (2, "zompany", "company")}  # without a known neighbour nothing is said
+
+
+def test_several_candidates_are_ranked_in_context(spark):
+    body = ["the tax fell due", "a fox ran off"] * 60
+    extra = [("c", 1, body, "x", 7), ("z", 1, ["the !ine", "the t@x fell due", "a f0x ran off"], "x", 7)]
+    words = {(r["word"], r["meant"]) for r in scans.marks(_pages(spark, extra)).where("doc_id = 'z' and kind = 'ocr'").collect()}
+    assert {("t@x", "tax"), ("f0x", "fox")} <= words
