@@ -9,7 +9,11 @@ cheapest reachable text wins if it beats the passage as it stands by MARGIN.
 
 Scale: one pass counts contexts (each task sends at most 4 * TABLE counts, however many
 documents it reads), a second repairs; nothing else is shuffled. The plausibility table
-has a fixed size. A passage is searched if a character stands in an uncommon context, if it
+has a fixed size, 4 MB; letters of scripts without case count as one class in contexts, so
+that these scripts take a few places for each character and not one for each triple, and a
+table of which more than half is in use warns. A search opens at most MAX_STATES states of
+at most DEPTH edges; a document in which one came to that bound is marked ``unfinished``
+and has the best text seen up to then. A passage is searched if a character stands in an uncommon context, if it
 decodes as UTF-8 in part, or if one single-byte edge makes it cheaper by MARGIN: the counts
 hold the garbled rows too, so that what is often garbled in one way stands in common contexts.
 """
@@ -20,6 +24,7 @@ import html
 import heapq
 import math
 import re
+import warnings
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,9 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TABLE = 1 << 15
+TABLE = 1 << 18
 EDGE, MARGIN, SLACK, COMMON = 1.0, 2.0, 2.0, 6.5
-MAX_STATES = 200
+MAX_STATES, DEPTH = 5000, 4
 CHARSETS = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "latin-1", "iso8859-2", "iso8859-15", "cp1254")
 _TO_SINGLE = ("cp1252", "mac_roman", "cp437", "cp850")
 _PASSAGE = re.compile(r"[^\n]*?[.!?][\"'”’)]*(?:\s+|$)|[^\n]+\n?|\n")
@@ -114,14 +119,14 @@ def neighbours(text: str) -> Iterator[list[str]]:
 
 
 def _class(c: str) -> str:
-    return "0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else " " if c.isspace() else c
+    return "0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else " " if c.isspace() else "x" if c.isalpha() else c
 
 
 def _slots(before: str, c: str, after: str) -> tuple[int, ...]:
     """Places of a character's narrow context (its neighbours, letter case folded) and of
     its wide one (their classes, case kept) in the table, two for each: a collision would
     have to strike both."""
-    near = lambda x: "0" if x.isdigit() else " " if x.isspace() else x.lower()
+    near = lambda x: "0" if x.isdigit() else " " if x.isspace() else "x" if x.isalpha() and x.lower() == x.upper() else x.lower()
     narrow = xxhash.xxh64_intdigest(f"{near(before)}\t{c.lower()}\t{near(after)}")
     wide = xxhash.xxh64_intdigest(f"{_class(before)}\t{c}\t{_class(after)}\t")
     return narrow % TABLE, TABLE + (narrow >> 32) % TABLE, 2 * TABLE + wide % TABLE, 3 * TABLE + (wide >> 32) % TABLE
@@ -137,11 +142,16 @@ class Plausibility:
     """Surprisal of characters in their contexts, from a count table."""
 
     def __init__(self, counts: np.ndarray):
-        self.counts = counts
+        self.counts = counts.astype(np.float32)
         self.total = max(1.0, float(counts[:TABLE].sum()))
         self.known: dict[tuple[str, str, str], float] = {}
         self.gained: dict[tuple[str, str, str], np.ndarray] = {}
         self.decodes: dict[str, bool] = {}
+        self.unfinished = False  # whether a search since this was last reset came to its bound
+
+    def load(self) -> float:
+        """Share of the table's places in use, in the fullest of its four parts."""
+        return max(np.count_nonzero(self.counts[i * TABLE : (i + 1) * TABLE]) for i in range(4)) / TABLE
 
     def of(self, context: tuple[str, str, str]) -> float:
         if (cost := self.known.get(context)) is None:
@@ -204,9 +214,16 @@ def restore(passage: str, model: Plausibility) -> str:
     queue = [(start, 0, passage)]
     seen = {xxhash.xxh64_intdigest(passage)}
     best, best_cost = passage, start
-    while queue and len(seen) < MAX_STATES:
+    opened = 0
+    while queue:
         cost, depth, text = heapq.heappop(queue)
-        if depth == 4 or (depth and not model.doubtful(text)):
+        if depth and not model.doubtful(text):
+            break
+        if depth == DEPTH:
+            model.unfinished = True
+            continue
+        if (opened := opened + 1) > MAX_STATES:
+            model.unfinished = True
             break
         for group in neighbours(text):
             cheaper = False
@@ -266,18 +283,22 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def plausibility(docs: DataFrame) -> Plausibility:
     """Context counts over all documents; at most 4 * TABLE rows come to the driver."""
-    counts = np.zeros(4 * TABLE)
+    counts = np.zeros(4 * TABLE, dtype=np.float32)
     got = docs.select("text").mapInPandas(_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     for slot, n in got.toLocalIterator():
         counts[slot] = n
-    return Plausibility(counts)
+    model = Plausibility(counts)
+    if model.load() > 0.5:
+        warnings.warn(f"{model.load():.0%} of the context table is in use; enlarge TABLE", stacklevel=2)
+    return model
 
 
 def garbled_documents(docs: DataFrame) -> DataFrame:
-    """Documents with wrongly decoded text: ``doc_id, restored, lost``.
+    """Documents with wrongly decoded text: ``doc_id, restored, lost, unfinished``.
 
     ``restored`` is the text with every passage that could be restored; ``lost`` says that
-    characters are missing from it for good (replacement or control characters are left).
+    characters are missing from it for good (replacement or control characters are left);
+    ``unfinished`` that a search came to its bound of states or edges.
     Sound, null and empty texts and ASCII texts that hide no garbled ones in entities give no rows; repeated rows give repeated rows;
     other columns of docs are ignored.
     """
@@ -289,10 +310,11 @@ def garbled_documents(docs: DataFrame) -> DataFrame:
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 if text is None or (text.isascii() and "&" not in text):
                     continue
+                model.unfinished = False
                 fixed, lost = repair(text, model)
                 if lost or fixed != text:
-                    out.append((doc, fixed, lost))
-            yield pd.DataFrame(out, columns=["doc_id", "restored", "lost"])
+                    out.append((doc, fixed, lost, model.unfinished))
+            yield pd.DataFrame(out, columns=["doc_id", "restored", "lost", "unfinished"])
 
     named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # a nullable long comes to pandas as a float
-    return named.mapInPandas(run, "doc_id string, restored string, lost boolean").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return named.mapInPandas(run, "doc_id string, restored string, lost boolean, unfinished boolean").withColumn("doc_id", F.col("doc_id").cast("long"))

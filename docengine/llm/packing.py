@@ -1,16 +1,20 @@
 """Filling containers of fixed capacity with documents.
 
-Method: lexical retrieval packing. Documents are spread over shards of bounded size. Each
-shard builds a BM25 inverted index over its items; the largest unused item opens a
+Method: lexical retrieval packing. Documents are spread over shards of bounded size, those
+with rare words in common together: a document's key is the smallest hash of its RARE rarest
+words, rarity being counted over all documents, and a shard holds all items of its keys.
+Each shard builds a BM25 inverted index over its items; the largest unused item opens a
 container as its seed, the index ranks the unused items by their score for the seed, and
 the ranked neighbours that still fit are put in greedily. What is then left of the window
 is closed by best fit: the largest unused item that fits, again and again. Only items
 above the capacity are split, into full parts and one rest; full parts are containers of
 their own and the rest is packed like any item.
 
-Scale: the shard of an item is a hash, so that no source or language makes a hot shard;
-one shard holds about SHARD_ITEMS items of at most one container's text each, whatever
-the collection's size. One shuffle.
+Scale: word counts come to the driver in a table of fixed size. A key of more than
+SHARD_ITEMS items (a hot group of copies) is cut by a hash of the document id, and keys are
+spread over the shards by hash, so that a shard holds a small multiple of SHARD_ITEMS items
+of at most one container's text each, whatever the collection's size. The items' texts are
+shuffled once. Nothing depends on the partitioning of the input.
 """
 
 from __future__ import annotations
@@ -23,28 +27,58 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docengine.session import partitions_for
+from docengine.llm.words import WordIds, mix
+from docengine.session import checkpoint, partitions_for
 
 CAPACITY = 1024
 SHARD_ITEMS = 2048
+RARE = 6
+TABLE = 1 << 18  # places of the word counts
 K1, B = 1.2, 0.75
 _TOKEN = re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]+")
-_ITEMS = "doc_id string, part int, parts int, tokens int, start int, stop int, salt long, text string"
+_ITEMS = "doc_id string, part int, parts int, tokens int, start int, stop int, key long, text string"
 _PACKED = "container string, doc_id string, part int, parts int, tokens int, start int, stop int"
 
 
-def _items(capacity: int):
+def _ids(text: str, ids: WordIds) -> np.ndarray:
+    return np.array([ids[w] for w in set(text.lower().split())], dtype=np.uint64)
+
+
+def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many documents hold the words of each place of the table."""
+    ids, total = WordIds(), np.zeros(TABLE, dtype=np.int64)
+    for pdf in batches:
+        for text in pdf["text"]:
+            if text:
+                np.add.at(total, (_ids(text, ids) % np.uint64(TABLE)).astype(np.int64), 1)
+    at = np.flatnonzero(total)
+    yield pd.DataFrame({"slot": at, "n": total[at]})
+
+
+def _lexical_key(text: str, ids: WordIds, counts: np.ndarray) -> int:
+    """The smallest hash among the rarest words that other documents hold too (of all words
+    where there is none)."""
+    w = _ids(text, ids)
+    if not len(w):
+        return 0
+    n = counts[(w % np.uint64(TABLE)).astype(np.int64)]
+    if (n > 1).any():
+        w, n = w[n > 1], n[n > 1]
+    rare = w[np.lexsort((w, n))[:RARE]]
+    return int(mix(rare).min().astype(np.int64))
+
+
+def _items(capacity: int, counts: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        row = 0
+        ids = WordIds()
         for pdf in batches:
             out = []
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                row += 1
                 text = text or ""
                 spans = [m.span() for m in _TOKEN.finditer(text)] if len(text) > capacity else None
                 n = len(spans) if spans is not None else len(_TOKEN.findall(text))
                 if n <= capacity:
-                    out.append((doc, 0, 1, n, 0, len(text), row, text))
+                    out.append((doc, 0, 1, n, 0, len(text), _lexical_key(text, ids, counts), text))
                     continue
                 parts = -(-n // capacity)
                 for p in range(parts):
@@ -52,8 +86,8 @@ def _items(capacity: int):
                     a = spans[first][0] if p else 0
                     b = spans[last + 1][0] if last + 1 < n else len(text)
                     full = last - first + 1 == capacity
-                    out.append((doc, p, parts, last - first + 1, a, b, row, None if full else text[a:b]))
-            yield pd.DataFrame(out, columns=["doc_id", "part", "parts", "tokens", "start", "stop", "salt", "text"])
+                    out.append((doc, p, parts, last - first + 1, a, b, 0 if full else _lexical_key(text[a:b], ids, counts), None if full else text[a:b]))
+            yield pd.DataFrame(out, columns=["doc_id", "part", "parts", "tokens", "start", "stop", "key", "text"])
 
     return run
 
@@ -149,28 +183,30 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Repeated rows are packed as often as they occur.
     """
     spark = docs.sparkSession
-    shards = partitions_for(spark, docs.count(), SHARD_ITEMS)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "part", "salt"], kind="stable")
-        number = pack(pdf["text"].tolist(), pdf["tokens"].to_numpy(), capacity)
-        return pdf.assign(container=[f"{s}-{k}" for s, k in zip(pdf["shard"], number, strict=True)])[["container", "doc_id", "part", "parts", "tokens", "start", "stop"]]
-
     named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # a nullable long comes to pandas as a float
-    items = named.mapInPandas(_items(capacity), _ITEMS)
-    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part", "salt"), F.lit(shards)).cast("int"))
-    # full parts and empty texts go the same way as the others, so that texts are tokenized once
+    counts = np.zeros(TABLE, dtype=np.int64)
+    for slot, n in named.select("text").mapInPandas(_word_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[slot] = n
+    items = checkpoint(named.mapInPandas(_items(capacity, counts), _ITEMS))
+    # full parts and empty texts are packed already; they are spread by their id
     whole = (F.col("tokens") == capacity) | (F.col("tokens") == 0)
+    keys = items.where(~whole).groupBy("key").agg(F.count("*").alias("n"))
+    hot = F.broadcast(keys.where(F.col("n") > SHARD_ITEMS).select("key", F.ceil(F.col("n") / SHARD_ITEMS).alias("cuts")))  # at most rows / SHARD_ITEMS
+    shards = partitions_for(spark, items.count(), SHARD_ITEMS)
+    cut = F.when(F.col("cuts").isNotNull() | whole, F.pmod(F.xxhash64("doc_id", "part"), F.coalesce("cuts", F.lit(shards)))).otherwise(0)
+    placed = items.join(hot, "key", "left").withColumn("shard", F.pmod(F.xxhash64("key", cut), F.lit(shards)).cast("int")).drop("cuts", "key")
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["doc_id", "part", "parts", "tokens", "start", "text"], kind="stable", na_position="first").reset_index(drop=True)
         full, none = pdf["tokens"] == capacity, pdf["tokens"] == 0
-        rest = run(pdf[~full & ~none])
-        pdf = pdf[full | none]
-        alone = [None if t == 0 else f"{d}.{p}.{s}" for t, d, p, s in zip(pdf["tokens"], pdf["doc_id"], pdf["part"], pdf["salt"], strict=True)]
-        return pd.concat([rest, pdf.assign(container=alone)[rest.columns]])
-
-    slim = items.withColumn("text", F.when(~whole, F.col("text")))
-    return slim.groupBy("shard").applyInPandas(shard, _PACKED).withColumn("doc_id", F.col("doc_id").cast("long"))
+        rest = pdf[~full & ~none]
+        number = pack(rest["text"].tolist(), rest["tokens"].to_numpy(), capacity)
+        container = pd.Series(None, index=pdf.index, dtype=object)
+        container[rest.index] = [f"{s}-{k}" for s, k in zip(rest["shard"], number, strict=True)]
+        container[full] = [f"{s}-full-{k}" for k, s in enumerate(pdf["shard"][full])]
+        return pdf.assign(container=container)[["container", "doc_id", "part", "parts", "tokens", "start", "stop"]]
+
+    return placed.groupBy("shard").applyInPandas(shard, _PACKED).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def container_fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -52,3 +52,15 @@ def test_garbled_and_escaped(spark):
     docs = _docs(spark, [(i, t, None, None) for i, t in extra])
     got = {r["doc_id"]: r["restored"] for r in m.garbled_documents(docs).collect()}
     assert got == {1000: sound, 1001: sound, 1002: sound, 1003: "Größe & Co. " + sound}
+
+
+def test_a_search_at_its_bound_says_so(spark, monkeypatch):
+    text = CLEAN[0]
+    for _ in range(2):
+        text = text.encode("utf-8").decode("cp1252", "replace")
+    docs = _docs(spark, [(1000, text, None, None)])
+    assert m.plausibility(docs).load() < 0.01
+    model = m.plausibility(docs)
+    monkeypatch.setattr(m, "MAX_STATES", 0)
+    m.repair(text, model)
+    assert model.unfinished

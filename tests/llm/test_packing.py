@@ -52,3 +52,28 @@ def test_documents_round_trip(spark):
     assert {r["doc_id"] for r in got if r["parts"] > 1} == {d for d, t, _ in rows if len(packing._TOKEN.findall(t or "")) > 64}
     assert {r["doc_id"] for r in got} == set(text)
     assert packing.pack_documents(df.limit(0), 64).count() == 0
+
+
+def test_packing_does_not_depend_on_the_partitions_and_cuts_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 50)
+    rng = random.Random(3)
+    rows = [(i, "one hot text of a copied record" if i % 3 == 0 else " ".join(rng.choice(("loan", "bank", "rate", "fee", "term")) for _ in range(rng.randint(1, 20)))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = ({(r["container"], r["doc_id"]) for r in packing.pack_documents(df.repartition(n), 64).collect()} for n in (1, 7))
+    assert a == b
+    shards: dict = {}
+    for container, doc in a:
+        if doc % 3 == 0:
+            shards[container.split("-")[0]] = shards.get(container.split("-")[0], 0) + 1
+    assert max(shards.values()) <= 4 * 50
+
+
+def test_rare_words_bring_documents_together():
+    from docengine.llm.words import WordIds
+
+    ids, counts = WordIds(), np.zeros(packing.TABLE, dtype=np.int64)
+    texts = [f"the common words of all and tractor{i % 5} plough{i % 5} harrow{i % 5} alone{i}" for i in range(50)]
+    for t in texts:
+        np.add.at(counts, (packing._ids(t, ids) % np.uint64(packing.TABLE)).astype(np.int64), 1)
+    keys = [packing._lexical_key(t, ids, counts) for t in texts]
+    assert all((keys[i] == keys[j]) == (i % 5 == j % 5) for i in range(50) for j in range(50))
