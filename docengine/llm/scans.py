@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm.automaton import Automata
@@ -132,29 +132,29 @@ def _edges(doc: str, page: int, lines: list[str]) -> Iterator[tuple]:
             base, number = running_part(lines[i], page)
             number = number and (not base or len(base) < 60)
             form, kind = (_hash(fold(base)), _hash(template(base))) if k < EDGE - 1 else (None, None)
-            yield doc, page, zone, k, i, form, kind, number, lines[i].split()[0] if zone == "top" else None, None, None, None
+            yield doc, page, zone, k, i, form, kind, number, lines[i].split()[0] if zone == "top" else None
 
 
-_SEEN = "doc_id string, page_no int, zone string, k int, line_no int, form long, template long, number boolean, first string, words array<string>, ns array<long>, keys array<long>"
+_SEEN = "doc_id string, page_no int, zone string, k int, line_no int, form long, template long, number boolean, first string, word string, n long, key long"
 
 
 def edge_lines(edges: DataFrame) -> DataFrame:
     """The first and last EDGE non-blank lines of every page with ``furniture``."""
     size = edges.where("zone = 'top' and k = 0").groupBy("doc_id").agg(F.count_distinct("page_no").alias("pages"))
     named = edges.where("form is not null")
-    forms = named.groupBy("doc_id", "zone", "form", "template").agg(F.count_distinct("page_no").alias("n")).join(size, "doc_id")
-    whole = Window.partitionBy("doc_id", "zone", "form")
-    forms = forms.withColumn("n_form", F.sum("n").over(whole))
-    recurs = (F.col("n_form") >= 2) & (F.col("n_form") >= 0.3 * F.col("pages"))
-    known = (
-        forms.groupBy("zone", "template")
-        .agg(F.sum(F.when(recurs, F.col("n")).otherwise(0)).alias("in_running"), F.sum("n").alias("all"), F.count_distinct(F.when(recurs, F.col("doc_id"))).alias("docs"))
-        .select("zone", "template", (F.col("in_running") / F.col("all")).alias("share"), "docs")
-    )
-    told = forms.join(known, ["zone", "template"]).groupBy("doc_id", "zone", "form").agg(F.max("n_form").alias("n"), F.max("pages").alias("pages"), F.max("share").alias("share"), F.max(F.when(F.col("share") >= 0.4, F.col("docs"))).alias("docs"))
+    # one shuffle: pages count once for each form of a file
+    named = named.select("doc_id", "zone", "form", "page_no", "template").repartition("doc_id", "zone", "form")
+    forms = named.groupBy("doc_id", "zone", "form", "page_no").agg(F.min("template").alias("template")).groupBy("doc_id", "zone", "form").agg(F.count("*").alias("n"), F.min("template").alias("template"))
     often = (F.col("n") >= 2) & (F.col("n") >= 0.3 * F.col("pages"))
-    told = told.withColumn("runs", (often & ((F.col("share") >= 0.4) | ((F.col("n") >= 4) & (F.col("n") >= 0.8 * F.col("pages"))))) | ((F.col("share") >= 0.5) & (F.col("docs") >= 4)))
-    marked = edges.drop("template").join(told.where("runs").select("doc_id", "zone", "form", "runs"), ["doc_id", "zone", "form"], "left").withColumn(
+    forms = forms.join(size, "doc_id").withColumn("often", often)
+    share = forms.groupBy("zone", "template").agg((F.sum(F.when(F.col("often"), F.col("n")).otherwise(0)) / F.sum("n")).alias("share")).where("share >= 0.4")
+    docs = forms.where("often").groupBy("zone", "template").agg(F.count_distinct("doc_id").alias("docs"))
+    known = share.join(docs, ["zone", "template"])
+    told = forms.join(known, ["zone", "template"], "left")
+    told = told.where(
+        (F.col("often") & (F.col("share").isNotNull() | ((F.col("n") >= 4) & (F.col("n") >= 0.8 * F.col("pages"))))) | ((F.col("share") >= 0.5) & (F.col("docs") >= 4))
+    ).withColumn("runs", F.lit(True))
+    marked = edges.drop("template").join(told.select("doc_id", "zone", "form", "runs"), ["doc_id", "zone", "form"], "left").withColumn(
         "is", F.coalesce("runs", F.lit(False)) | F.col("number")
     )
     # a heading may stand above the running line, so that furniture need not begin at the very edge
@@ -169,47 +169,88 @@ def broken_word(line: str) -> str:
     return s[:-1].split()[-1].lstrip(_PUNCT)
 
 
-def _tokens(lines: list[str]) -> Iterator[tuple[int, list[tuple[str, bool]]]]:
-    """Words of each line with whether they are a piece of a word broken over lines."""
-    carried = False
-    for i, line in enumerate(lines):
-        words = (line or "").split()
-        if not words:
-            continue
-        broken = bool(broken_word(line))
-        last = len(words) - 1
-        yield i, [(w, (carried and j == 0 and w[0].islower()) or (broken and j == last)) for j, w in enumerate(words)]
-        carried = broken
+class Numbers(dict):
+    """token -> number in order of appearance, starting anew after LIMIT tokens."""
+
+    LIMIT = 1 << 19
+
+    def __init__(self):
+        self.tokens: list[str] = []
+
+    def __missing__(self, token: str) -> int:
+        self[token] = n = len(self.tokens)
+        self.tokens.append(token)
+        return n
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        if len(self) > self.LIMIT:
+            self.clear()
+            self.tokens.clear()
+        return np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+
+
+class Flat:
+    """The tokens of a batch of pages one after another. Of each non-blank line: its row, its
+    number, whether its last word is broken, and the place of its first token (the total at
+    the end); of each token its line and whether it is a piece of a word broken over lines."""
+
+    def __init__(self, texts: list[list[str]]):
+        tokens: list[str] = []
+        row, number, broken, first = [], [], [], []
+        for r, lines in enumerate(texts):
+            for i, line in enumerate(lines):
+                if line and (words := line.split()):
+                    row.append(r)
+                    number.append(i)
+                    broken.append(words[-1][-1] in HYPHENS and bool(broken_word(line)))
+                    first.append(len(tokens))
+                    tokens += words
+        self.tokens, self.row, self.number, self.broken = tokens, np.array(row, np.int64), np.array(number, np.int64), np.array(broken, bool)
+        self.first = np.append(np.array(first, np.int64), len(tokens))
+        self.line = np.repeat(np.arange(len(row)), np.diff(self.first))
+        self.piece = np.zeros(len(tokens), dtype=bool)
+        if len(row):
+            self.piece[self.first[1:][self.broken] - 1] = True
+            for k in np.flatnonzero(self.broken[:-1] & (self.row[:-1] == self.row[1:])) + 1:
+                self.piece[first[k]] |= tokens[first[k]][0].islower()
+
+
+def _cores(token: str) -> list[str]:
+    return [x for x in token.strip(_PUNCT).lower().split("-") if len(x) > 1 and x.isalpha()]
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Edge lines of each page (``zone`` set) and the words of each file in a batch."""
     names = [c.split()[0] for c in _SEEN.split(", ")]
+    numbers, cores = Numbers(), Numbers()
+    parts: dict[str, list[int]] = {}
     for pdf in batches:
-        out: list[tuple] = []
-        total: dict[str, Counter[str]] = {}
-        for doc, page, lines in pdf[["doc_id", "page_no", "raw_lines"]].itertuples(index=False):
-            out += _edges(doc, page, lines)
-            mine = total.setdefault(doc, Counter())
-            for _, words in _tokens(lines):
-                mine.update([w for w, piece in words if not piece])
-        parts: dict[str, list[str]] = {}
-        keys: dict[str, int] = {}
-        for doc, mine in total.items():
-            cores: Counter[str] = Counter()
-            for word, n in mine.items():
-                if (some := parts.get(word)) is None:
-                    some = parts[word] = [x for x in word.strip(_PUNCT).lower().split("-") if len(x) > 1 and x.isalpha()]
-                for part in some:
-                    cores[part] += n
-            for word in cores.keys() - keys.keys():
-                key = xxhash.xxh64_intdigest(word.translate(_CLASS), 42)  # as Spark's xxhash64
-                keys[word] = key - (1 << 64) if key >> 63 else key
-            out.append((doc, None, None, None, None, None, None, None, None, list(cores.keys()), list(cores.values()), [keys[word] for word in cores]))
-        pdf = pd.DataFrame(out, columns=names)
-        for c in ("page_no", "k", "line_no", "form", "template"):
-            pdf[c] = pdf[c].astype("Int64")
-        yield pdf
+        texts = [[x or "" for x in lines] for lines in pdf["raw_lines"]]
+        edges = [e for doc, page, lines in zip(pdf["doc_id"], pdf["page_no"], texts, strict=True) for e in _edges(doc, page, lines)]
+        yield pd.DataFrame(edges, columns=names[:9], dtype=object).assign(word=None, n=None, key=None)
+        flat = Flat(texts)
+        file, docs = pd.factorize(pdf["doc_id"])
+        at = numbers.of(flat.tokens)
+        width = max(1, len(numbers.tokens))
+        pair, n = np.unique((file[flat.row[flat.line]] * width + at)[~flat.piece], return_counts=True)
+        if len(cores) > cores.LIMIT:
+            cores, parts = Numbers(), {}
+        of = {}
+        for t in np.unique(pair % width).tolist():
+            token = numbers.tokens[t]
+            if (some := parts.get(token)) is None:
+                some = parts[token] = [cores[c] for c in _cores(token)]
+            of[t] = some
+        held = [of[t] for t in (pair % width).tolist()]
+        times = np.fromiter(map(len, held), np.int64, len(held))
+        core = np.fromiter((c for some in held for c in some), np.int64, times.sum())
+        width = max(1, len(cores.tokens))
+        both, back = np.unique(np.repeat(pair // max(1, len(numbers.tokens)), times) * width + core, return_inverse=True)
+        count = np.bincount(back, weights=np.repeat(n, times), minlength=len(both)).astype(np.int64)
+        words = [cores.tokens[c] for c in (both % width).tolist()]
+        keys = {w: xxhash.xxh64_intdigest(w.translate(_CLASS), 42) for w in set(words)}  # as Spark's xxhash64
+        key = np.fromiter((keys[w] for w in words), np.uint64, len(words)).view(np.int64)
+        yield pd.DataFrame({"doc_id": docs.to_numpy(dtype=object)[both // width], "word": words, "n": count, "key": key}, dtype=object).assign(**dict.fromkeys(names[1:9]))[names]
 
 
 def confusion_class(word: Column) -> Column:
@@ -290,54 +331,68 @@ def _suspects(vocabulary: dict[str, int], common: int, dubious: set[str]):
             return False
         return n >= common or (len(low) < 2) or ("-" in low and all(len(p) < 2 or vocabulary.get(p, 0) >= common or not p.isalpha() and not _odd(p) for p in low.split("-")))
 
-    # what is asked of a token: kind and text of a suspicion, core, beginning and end in lower case, and these as they stand
-    cache: dict[str, tuple] = {}
-    heads = {w[:i] for w in vocabulary for i in range(1, len(w))}
-
-    def judged(token: str) -> tuple:
+    head_of: dict[str, int] = {}  # proper beginnings and ends of vocabulary words, numbered
+    tail_of: dict[str, int] = {}
+    splits: dict[int, int] = {}
+    for w, n in vocabulary.items():
+        for i in range(1, len(w)) if len(w) >= 4 else ():
+            splits[head_of.setdefault(w[:i], len(head_of)) << 32 | tail_of.setdefault(w[i:], len(tail_of))] = n
+    ways = np.array(sorted(splits), dtype=np.int64)
+
+    def judged(token: str) -> tuple[str, str, int, int, bool, bool]:
+        """Kind and text of a suspicion, the numbers of the token as the beginning and as the
+        end of a word (-1: none), whether it may be the first or the second half of a number."""
         core = token.strip(_PUNCT)
         kind, text = "", ""
-        if core and not known(core):
+        head, tail = token.lstrip(_PUNCT), token.rstrip(_PUNCT)
+        if core and not core.islower() and _NUMBER.fullmatch(core):  # sound
+            pass
+        elif core and not known(core):
             if (fixed := misread_number(core)) is not None:
                 kind, text = "number", fixed
-            elif any(c.isalpha() for c in core) and not _CODE.fullmatch(core) and not _NUMBER.fullmatch(core):
+            elif any(map(str.isalpha, core)) and not _CODE.fullmatch(core) and not _NUMBER.fullmatch(core):
                 kind, text = "word", core
-        head, tail = token.lstrip(_PUNCT), token.rstrip(_PUNCT)
-        low = head.lower()
         half = head[-1:] in "0123456789," and "," in head and _HALF_NUMBER.fullmatch(head) is not None and not _NUMBER.fullmatch(head)
-        if len(cache) > 500_000:
-            cache.clear()
-        out = cache[token] = (kind, text, core, core.lower(), head, low if head[-1:].isalpha() and low in heads else "", half, tail, tail.lower() if tail[:1].isalpha() else "", tail[:1].isdigit())
-        return out
+        return kind, text, head_of.get(head.lower(), -1) if core and head[-1:].isalpha() else -1, tail_of.get(tail.lower(), -1) if core and tail[:1].isalpha() else -1, half and bool(core), tail[:1].isdigit() and bool(core)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = Numbers()
+        verdicts: list[tuple] = []
         for pdf in batches:
-            out = []
-            for doc, page, lines in pdf[["doc_id", "page_no", "raw_lines"]].itertuples(index=False):
-                told = list(_tokens(lines))
-                for at, (i, words) in enumerate(told):
-                    before = None
-                    for j, (token, piece) in enumerate(words):
-                        it = cache.get(token) or judged(token)
-                        kind, text, core, low, _, _, _, tail, tail_low, figure = it
-                        if piece:
-                            if j == len(words) - 1 and (part := broken_word(lines[i])):
-                                nxt = [(k, w[0][0].strip(_PUNCT)) for k, w in told[at + 1 : at + 1 + EDGE]]
-                                out.append((doc, page, i, "break", part, "\t".join(f"{k} {w}" for k, w in nxt), ",".join(w for w in LINKS if (part + w).lower() in vocabulary), 0))
-                        else:
-                            if kind == "number":
-                                out.append((doc, page, i, kind, core, text, "", 0))
-                            elif kind:
-                                after = words[j + 1][0].strip(_PUNCT).lower() if j + 1 < len(words) else ""
-                                out.append((doc, page, i, kind, core, before[3] if before else "", after, 0))
-                            if before and low and before[3]:
-                                if before[5] and tail_low:
-                                    n = vocabulary.get(before[5] + tail_low, 0)
-                                    if n and len(before[5]) + len(tail_low) >= 4:
-                                        out.append((doc, page, i, "pair", before[4] + tail, before[5], tail_low, n))
-                                elif before[6] and figure and _NUMBER.fullmatch(before[4] + tail) and (before[4][0] in "$€£" or before[4][-1] != ","):
-                                    out.append((doc, page, i, "number", f"{before[4]} {tail}", before[4] + tail, "", 0))
-                        before = it
+            flat = Flat(pdf["raw_lines"].tolist())
+            at, tokens = numbers.of(flat.tokens), flat.tokens
+            if len(verdicts) > len(numbers.tokens):
+                verdicts = []
+            verdicts += [judged(t) for t in numbers.tokens[len(verdicts) :]]
+            docs, pages, lines = pdf["doc_id"].tolist(), pdf["page_no"].tolist(), pdf["raw_lines"].tolist()
+            odd, head, tail, half, figure = (np.array([c(v) for v in verdicts]) for c in (lambda v: v[0] != "", lambda v: v[2], lambda v: v[3], lambda v: v[4], lambda v: v[5]))
+            out: list[tuple] = []
+            core = lambda i: tokens[i].strip(_PUNCT)
+            where = lambda k: (docs[flat.row[k]], pages[flat.row[k]], int(flat.number[k]))
+            first, line = flat.first, flat.line
+            for i in np.flatnonzero(odd[at] & ~flat.piece).tolist() if len(at) else ():
+                kind, text = verdicts[at[i]][:2]
+                k = line[i]
+                if kind == "number":
+                    out.append((*where(k), kind, core(i), text, "", 0))
+                else:
+                    out.append((*where(k), kind, text, core(i - 1).lower() if i > first[k] else "", core(i + 1).lower() if i + 1 < first[k + 1] else "", 0))
+            follows = (line[1:] == line[:-1]) & ~flat.piece[1:]
+            a, b = at[:-1], at[1:]
+            way = np.where(follows & (head[a] >= 0) & (tail[b] >= 0), head[a] << 32 | tail[b], -1) if len(at) else np.zeros(0, np.int64)
+            hit = np.flatnonzero(way >= 0)
+            for i in hit[np.isin(way[hit], ways)].tolist():
+                left, right = tokens[i].lstrip(_PUNCT), tokens[i + 1].rstrip(_PUNCT)
+                out.append((*where(line[i]), "pair", left + right, left.lower(), right.lower(), splits[int(way[i])]))
+            for i in np.flatnonzero(follows & half[a] & figure[b]).tolist() if len(at) else ():
+                left, right = tokens[i].lstrip(_PUNCT), tokens[i + 1].rstrip(_PUNCT)
+                if _NUMBER.fullmatch(left + right) and (left[0] in "$€£" or left[-1] != ","):
+                    out.append((*where(line[i]), "number", f"{left} {right}", left + right, "", 0))
+            for k in np.flatnonzero(flat.broken).tolist():
+                part = broken_word(lines[flat.row[k]][flat.number[k]])
+                below = [j for j in range(k + 1, min(k + 1 + EDGE, len(flat.row))) if flat.row[j] == flat.row[k]]
+                nxt = "\t".join(f"{flat.number[j]} {core(first[j])}" for j in below)
+                out.append((*where(k), "break", part, nxt, ",".join(w for w in LINKS if (part + w).lower() in vocabulary), 0))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in _MARKS.split(", ")])
 
     return run
@@ -397,30 +452,27 @@ def _pairs(candidates: set[str], bits: np.ndarray):
     """Counts of neighbouring words of a line of which one is a candidate, as far as asked for."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cores: dict[str, str] = {}
-        wanted: dict[tuple[str, str], bool] = {}
+        numbers, core = Numbers(), Numbers()
+        of: list[int] = []
         for pdf in batches:
-            count: Counter[tuple[str, str]] = Counter()
-            for lines in pdf["raw_lines"]:
-                for line in lines:
-                    last, held = "", False
-                    for token in (line or "").split():
-                        if (core := cores.get(token)) is None:
-                            if len(cores) > 500_000:
-                                cores.clear()
-                            core = cores[token] = token.strip(_PUNCT).lower()
-                        now = core in candidates
-                        if (held or now) and last and core:
-                            pair = (last, core)
-                            if (yes := wanted.get(pair)) is None:
-                                if len(wanted) > 500_000:
-                                    wanted.clear()
-                                h = xxhash.xxh64_intdigest("\t".join(pair), 42)
-                                yes = wanted[pair] = bool(bits[(h - (1 << 64) if h >> 63 else h) % PAIR_BITS])
-                            if yes:
-                                count[pair] += 1
-                        last, held = core, now
-            yield pd.DataFrame([(a, b, n) for (a, b), n in count.items()], columns=["a", "b", "n"])
+            flat = Flat(pdf["raw_lines"].tolist())
+            at = numbers.of(flat.tokens)
+            if len(of) > len(numbers.tokens):
+                of, core = [], Numbers()
+            of += [core[t.strip(_PUNCT).lower()] for t in numbers.tokens[len(of) :]]
+            word = np.array(of, dtype=np.int64)[at]
+            asked = np.array([c in candidates for c in core.tokens], dtype=bool)
+            full = np.array([c != "" for c in core.tokens], dtype=bool)
+            a, b = word[:-1], word[1:]
+            keep = (flat.line[1:] == flat.line[:-1]) & (asked[a] | asked[b]) & full[a] & full[b] if len(word) else np.zeros(0, bool)
+            pair, n = np.unique(a[keep] << 32 | b[keep], return_counts=True)
+            out = []
+            for p, m in zip(pair.tolist(), n.tolist(), strict=True):
+                x, y = core.tokens[p >> 32], core.tokens[p & 0xFFFFFFFF]
+                h = xxhash.xxh64_intdigest(f"{x}\t{y}", 42)
+                if bits[(h - (1 << 64) if h >> 63 else h) % PAIR_BITS]:
+                    out.append((x, y, m))
+            yield pd.DataFrame(out, columns=["a", "b", "n"])
 
     return run
 
@@ -496,7 +548,7 @@ def _marks_and_rests(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``fix`` what a misread one means for the line that it begins in."""
     pages = pages.select("doc_id", "page_no", "raw_lines").where("doc_id is not null and page_no is not null and size(raw_lines) > 0")
     seen = checkpoint(pages.mapInPandas(_read, _SEEN))
-    words = seen.where("zone is null").select("doc_id", F.explode(F.arrays_zip("words", "ns", "keys")).alias("w")).select(F.xxhash64("doc_id", "w.keys").alias("class"), F.col("w.words").alias("word"), F.col("w.ns").alias("n"))
+    words = seen.where("zone is null").select(F.xxhash64("doc_id", "key").alias("class"), "word", "n")
     file_words = checkpoint(words.repartition("class").groupBy("class", "word").agg(F.sum("n").alias("n")))  # class: file and confusion class
     counts = checkpoint(file_words.groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -509,7 +561,7 @@ def _marks_and_rests(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     # common words of whose occurrences half may lie in files that have others FILE_RATIO times as often
     dubious = {w for w, n in vocabulary.items() if n >= common and len(w) >= 3 and 2 * (alike[w.translate(_CLASS)] - n) >= FILE_RATIO * n}
 
-    edges = checkpoint(edge_lines(seen.where("zone is not null").drop("words", "ns", "keys")))
+    edges = checkpoint(edge_lines(seen.where("zone is not null").drop("word", "n", "key")))
     furniture = edges.where("furniture").select("doc_id", "page_no", "line_no").distinct()
     suspects = checkpoint(pages.mapInPandas(_suspects(vocabulary, common, dubious), _MARKS).join(furniture, ["doc_id", "page_no", "line_no"], "left_anti"))
 
