@@ -11,6 +11,11 @@ from docengine.functions import text as T
 from docengine.operators.shapes import greedy_pairs, pack_fill, runs, slice_starts
 
 
+# Prose kinds, and how a list line begins.
+PROSE = ("paragraph", "heading", "customheader")
+LIST_START = r"^([-*+]|[0-9]+\.)\s+"
+
+
 def lines(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
     """One row per line: ``*key, line_no, line``; null texts give none."""
     return df.where(F.col(text).isNotNull()).select(*key, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
@@ -28,32 +33,35 @@ def page_blocks(line_rows: DataFrame, doc: str) -> DataFrame:
     )
 
 
-def may_continue(last_line: Column, first_line: Column) -> Column:
-    """Whether a page's text runs on in the next page: prose without an end mark, a list
-    of the same indent, a table of about as many columns, or an open image block."""
-    a, b = F.trim(last_line), F.trim(first_line)
-    kind_a, kind_b = T.line_kind(last_line), T.line_kind(first_line)
-    indent = lambda s: F.length(s) - F.length(F.ltrim(s))
-    prose = (kind_a == "text") & (kind_b == "text") & ~a.rlike(r"[.!?:;]$")
-    lists = (kind_a == "list") & (kind_b == "list") & (F.abs(indent(last_line) - indent(first_line)) <= 2)
-    pipes = lambda s: F.length(s) - F.length(F.replace(s, F.lit("|"), F.lit("")))
-    tables = (kind_a == "table") & (kind_b == "table") & (F.abs(pipes(a) - pipes(b)) <= 1)
-    image = a.startswith("[IMAGE]") & ~a.contains("[/IMAGE]")
-    return prose | lists | tables | image
-
-
-def merge_continued_pages(pages: DataFrame) -> DataFrame:
+def may_continue(lines: Column, next_lines: Column, aggressiveness: str = "medium") -> Column:
+    """Whether a page's lines run on in the next page's: prose without . ! or ? at its end
+    (not with ``low``), a list, a table of about as many columns, an image block left open,
+    or, with ``high``, images on both pages. Pages without text never do."""
+    s, t = F.trim(F.try_element_at(lines, F.lit(-1))), F.trim(F.try_element_at(next_lines, F.lit(1)))
+    body, next_body = F.array_join(lines, "\n", ""), F.array_join(next_lines, "\n", "")
+    cells = lambda x: F.size(F.split(x, r"\|", -1))
+    out = s.rlike(LIST_START) & t.rlike(LIST_START)
+    out = out | (s.contains("|") & t.contains("|") & ~t.rlike(r"^[\s|:-]+$") & (F.abs(cells(s) - cells(t)) <= 1))
+    tags = lambda x, tag: F.size(F.split(x, tag, -1))
+    out = out | (tags(body, r"\[IMAGE\]") > tags(body, r"\[/IMAGE\]"))
+    if aggressiveness != "low":
+        out = out | ((s != "") & ~s.rlike(r"[.!?]$") & (t != "") & ~t.rlike(r"^[#*|\[-]"))
+    if aggressiveness == "high":
+        out = out | (body.contains("[IMAGE]") & next_body.contains("[IMAGE]"))
+    return F.coalesce((F.size(lines) > 0) & (F.size(next_lines) > 0) & (F.btrim(body, F.lit(" \t\n")) != "") & (F.btrim(next_body, F.lit(" \t\n")) != "") & out, F.lit(False))
+
+
+def merge_continued_pages(pages: DataFrame, aggressiveness: str = "medium") -> DataFrame:
     """Pairs of successive pages whose text runs on, merged: ``doc_id, merge_group,
-    page_nos, structure_confidence, n_lines``. pages: ``doc_id, page_no, raw_lines,
-    structure_confidence``, one row per page."""
-    full = F.filter("raw_lines", lambda x: F.trim(x) != "")
-    rows = pages.select("doc_id", "page_no", "structure_confidence", F.size("raw_lines").alias("n"), F.get(full, F.lit(0)).alias("first"), F.get(full, F.size(full) - 1).alias("last"))
+    page_nos, structure_confidence, n_lines``; page_nos is the range from the first page to
+    the last. pages: ``doc_id, page_no, raw_lines, structure_confidence``, one row per page."""
     w = Window.partitionBy("doc_id").orderBy("page_no")
-    ok = may_continue(F.col("last"), F.lead("first").over(w)) & (F.lead("page_no").over(w) == F.col("page_no") + 1)
+    rows = pages.select("doc_id", "page_no", "structure_confidence", "raw_lines", F.size("raw_lines").alias("n"))
+    ok = may_continue(F.col("raw_lines"), F.lead("raw_lines").over(w), aggressiveness)
     return (
         greedy_pairs(rows, ["doc_id"], ["page_no"], ok)
         .groupBy("doc_id", "merge_group")
-        .agg(F.sort_array(F.collect_list("page_no")).alias("page_nos"), F.round(F.avg("structure_confidence"), 6).alias("structure_confidence"), F.sum("n").alias("n_lines"))
+        .agg(F.sequence(F.min("page_no"), F.max("page_no")).alias("page_nos"), F.round(F.avg("structure_confidence"), 6).alias("structure_confidence"), F.sum("n").alias("n_lines"))
     )
 
 
@@ -70,13 +78,15 @@ def homogeneous(kind: Column) -> Column:
 
 
 def can_merge(w: Window, least: int = 100, most: int = 2048) -> Column:
-    """Whether a chunk may merge with the next: pages near, both small enough, kinds that
-    agree, and one of them tiny. Uses ``tokens, first_page, last_page, element_type``."""
+    """Whether a tiny chunk may merge with the next: first pages near, together small enough,
+    and kinds that agree; a tiny chunk agrees with any prose. Uses ``tokens, first_page,
+    element_type``."""
     nxt = lambda c: F.lead(c).over(w)
     tiny = (F.col("tokens") < least) | (nxt("tokens") < least)
-    near = nxt("first_page") - F.col("last_page") <= F.when(tiny, 2).otherwise(1)
-    prose = F.col("element_type").isin("paragraph", "heading") & nxt("element_type").isin("paragraph", "heading")
-    agree = (F.col("element_type") == "mixed") | (nxt("element_type") == "mixed") | (F.col("element_type") == nxt("element_type")) | prose
+    near = F.abs(F.col("first_page") - nxt("first_page")) <= F.when(tiny, 2).otherwise(1)
+    kind, other = F.lower("element_type"), F.lower(nxt("element_type"))
+    prose, other_prose = kind.isin(*PROSE), other.isin(*PROSE)
+    agree = (kind == "mixed") | (other == "mixed") | (kind == other) | (prose & other_prose) | (tiny & (prose | other_prose))
     return (F.col("tokens") < least) & near & (F.col("tokens") + nxt("tokens") <= most) & agree
 
 

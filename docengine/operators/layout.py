@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,18 +128,6 @@ def clean_tables(lines: DataFrame, by: Sequence[str], name: str = "table") -> Da
     return told.select(*by, F.array_join(F.concat(F.slice("_rows", 1, 1), F.array(rule), F.slice("_rows", F.lit(2), F.size("_rows"))), "\n").alias(name))
 
 
-def missing_rules(lines: DataFrame, by: Sequence[str], order: str = "line_no", line: str = "line") -> DataFrame:
-    """Runs of two or more pipe rows whose second row is no rule: ``*by, line_no, columns``
-    of the row to put a rule after."""
-    w = Window.partitionBy(*by).orderBy(order)
-    pipe = F.col(line).contains("|")
-    rule = F.trim(F.col(line)).rlike(r"^\|?[ :|-]*-[ :|-]*\|?$")
-    rows = lines.withColumn("_p", pipe).withColumn("_r", rule)
-    first = F.col("_p") & ~F.coalesce(F.lag("_p").over(w), F.lit(False))
-    rows = rows.withColumn("_first", first & F.coalesce(F.lead("_p").over(w), F.lit(False)) & ~F.coalesce(F.lead("_r").over(w), F.lit(False)) & ~F.col("_r"))
-    return rows.where("_first").select(*by, order, F.size(table_cells(F.col(line))).alias("columns"))
-
-
 def mergeable_tables(header_a: Column, header_b: Column, title_b: Column) -> Column:
     """Whether the second table continues the first: it says so, or their headers agree."""
     says = F.lower(title_b).rlike(r"\((continued|cont\.|续|续表)\)")
@@ -153,9 +143,30 @@ def merge_tables(tables: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     return rows.groupBy(*by, "merge_group").agg(F.min_by("header", order).alias("header"), F.sum("n_rows").alias("n_rows"), F.count("*").alias("parts"))
 
 
-def page_strategy(native: Column, seen: Column, limit: float = 0.6) -> Column:
-    """HI_RES where the native text covers too little of what is seen on the page."""
-    return F.when(F.coalesce(native / F.nullif(seen, F.lit(0.0)), F.lit(1.0)) < limit, "HI_RES").otherwise("FAST")
+def _covered(pdf: pd.DataFrame) -> tuple[int, int]:
+    """Pixels in the boxes of both sides, and in those of either."""
+    xs, ys = (np.unique(pdf[[f"{c}0", f"{c}1"]].to_numpy()) for c in "xy")
+    masks = np.zeros((2, max(1, len(xs) - 1), max(1, len(ys) - 1)), dtype=bool)
+    for side, x0, x1, y0, y1 in zip(pdf["side"], *(np.searchsorted(v, pdf[c]) for v, c in ((xs, "x0"), (xs, "x1"), (ys, "y0"), (ys, "y1"))), strict=True):
+        masks[side, x0:x1, y0:y1] = True
+    area = np.outer(np.diff(xs), np.diff(ys)) if len(xs) > 1 and len(ys) > 1 else np.zeros(masks.shape[1:])
+    return int(area[masks.all(axis=0)].sum()), int(area[masks.any(axis=0)].sum())
+
+
+def page_strategies(native: DataFrame, seen: DataFrame, by: Sequence[str], pixels: int = 1000, limit: float = 0.6) -> DataFrame:
+    """``*by, common, covered, strategy``: HI_RES where the places that native text and seen
+    text both cover are less than ``limit`` of those that either covers, on a raster of
+    ``pixels`` for a unit. Pages on which nothing was seen are FAST."""
+    pixel = [F.floor(F.col(c) * pixels).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    both = native.select(*by, *pixel, F.lit(0).alias("side")).unionByName(seen.select(*by, *pixel, F.lit(1).alias("side")))
+    types = ", ".join(f"{n} {t}" for n, t in both.select(*by).dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        common, covered = _covered(pdf)
+        hi = (pdf["side"] == 1).any() and common < limit * covered
+        return pdf[list(by)].head(1).assign(common=common, covered=covered, strategy="HI_RES" if hi or (covered == 0 and (pdf["side"] == 1).any()) else "FAST")
+
+    return both.groupBy(*by).applyInPandas(run, f"{types}, common long, covered long, strategy string")
 
 
 def document_strategy(strategy: Column, limit: float = 0.2) -> Column:

@@ -1,4 +1,4 @@
-"""Markdown: rendering of blocks, repair of lists and sections, cleaning of model output."""
+"""Markdown: rendering of blocks, cleaning of model output."""
 
 from __future__ import annotations
 
@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from docengine.operators.shapes import runs
 
-_BULLET, _NUMBER = r"^[ \t]*[-*+] ", r"^[ \t]*[0-9]+[.)] "
-
-
 def render_block(kind: Column, level: Column, text: Column) -> Column:
     """One block: titles with their level's marks (at most six), lists item by item, code
     in a fence, images in brackets, the rest as it is."""
@@ -34,27 +31,6 @@ def document_markdown(pages: DataFrame, doc: str, page: str, text: str) -> DataF
     return full.groupBy(doc).agg(F.count("*").alias("pages"), F.array_join(F.transform(every, lambda x: x["t"]), "\n\n").alias("markdown"))
 
 
-def repaired_lists(lines: DataFrame, by: Sequence[str], order: str = "line_no", line: str = "line") -> DataFrame:
-    """Lines of list runs whose marker is of another kind than the run's first: adds
-    ``repaired``. Bullets and numbers are the kinds, so 1., 2., 3. agree."""
-    kind = F.when(F.col(line).rlike(_BULLET), "bullet").when(F.col(line).rlike(_NUMBER), "number")
-    w = Window.partitionBy(*by).orderBy(order)
-    rows = lines.withColumn("_kind", kind)
-    rows = runs(rows, by, [order], F.col("_kind").isNull() | F.lag("_kind").over(w).isNull(), "_run")
-    within = Window.partitionBy(*by, "_run").orderBy(order)
-    rows = rows.withColumn("_first", F.first("_kind").over(within)).where("_kind is not null and _kind <> _first")
-    mark = F.when(F.col("_first") == "bullet", "- ").otherwise("1. ")
-    return rows.withColumn("repaired", F.concat(mark, F.regexp_replace(line, r"^[ \t]*([-*+]|[0-9]+[.)]) ", ""))).drop("_kind", "_run", "_first")
-
-
-def section_breaks(lines: DataFrame, by: Sequence[str], order: str = "line_no", line: str = "line") -> DataFrame:
-    """Lines ``Title Case:`` below a line of text, before which a blank line is missing."""
-    w = Window.partitionBy(*by).orderBy(order)
-    before = F.trim(F.lag(line).over(w))
-    rows = lines.withColumn("_missing", F.trim(line).rlike(r"^[A-Z][A-Za-z]*( [A-Z][A-Za-z]*)*:$") & (before != "") & ~before.startswith("#"))
-    return rows.where("_missing").drop("_missing")
-
-
 def clean_model_markdown(text: Column) -> Column:
     """Model output as plain Markdown: fences and table placeholders away, the first
     [HEADER] hoisted to the top, runs of blank lines cut to one."""

@@ -118,9 +118,10 @@ def chunk_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 _SIZES = """sz as (select chunk_id, doc_id, element_type, section_label, header_path, line_start, line_end, page_span[1] first_page, page_span[2] last_page, coalesce(line_start, line_end, 0) ord,
  raw_md_fragment text, cast(ceil(length(raw_md_fragment) / 4.0) as integer) tokens from cur where raw_md_fragment is not null)"""
-_CAN = """cm as (select *, row_number() over w rn, tokens < 100 and lead(first_page) over w - last_page <= case when tokens < 100 or lead(tokens) over w < 100 then 2 else 1 end
-  and tokens + lead(tokens) over w <= 2048 and (element_type = 'mixed' or lead(element_type) over w = 'mixed' or element_type = lead(element_type) over w
-  or (element_type in ('paragraph', 'heading') and lead(element_type) over w in ('paragraph', 'heading'))) ok from sz window w as (partition by doc_id order by ord, chunk_id))"""
+_CAN = """nx as (select *, lead(tokens) over w nt, lead(first_page) over w np, lower(element_type) k, lower(lead(element_type) over w) nk, row_number() over w rn from sz window w as (partition by doc_id order by ord, chunk_id)),
+cm as (select *, tokens < 100 and abs(np - first_page) <= case when tokens < 100 or nt < 100 then 2 else 1 end and tokens + nt <= 2048
+  and (k = 'mixed' or nk = 'mixed' or k = nk or (k in ('paragraph', 'heading', 'customheader') and nk in ('paragraph', 'heading', 'customheader'))
+  or ((tokens < 100 or nt < 100) and (k in ('paragraph', 'heading', 'customheader') or nk in ('paragraph', 'heading', 'customheader')))) ok from nx)"""
 # the greedy pass itself, row by row
 _GREEDY = """gr as (select doc_id, chunk_id, ord, tokens, element_type, rn, ok, 1 grp, false swallowed from cm where rn = 1
   union all select c.doc_id, c.chunk_id, c.ord, c.tokens, c.element_type, c.rn, c.ok, g.grp + case when coalesce(g.ok, false) and not g.swallowed then 0 else 1 end, coalesce(g.ok, false) and not g.swallowed
@@ -139,20 +140,20 @@ def tiny_merge(spark: SparkSession, d: str) -> DataFrame:
     return C.merge_tiny(chunk_sizes(spark, d)).withColumn("merged_from", F.array_join("merged_from", ","))
 
 
-_FULL = "list_filter(raw_lines, lambda l: trim(l) <> '')"
+_TEXT = "array_to_string({}, chr(10))"
 
 
-@query(rf"""with recursive {_PAGES}, e as (select doc_id, page_no, structure_confidence, len(raw_lines) n, {_FULL}[1] a, {_FULL}[-1] b from pg),
-f as (select *, lead(a) over w nx, lead(page_no) over w np, row_number() over w rn from e window w as (partition by doc_id order by page_no)),
-k as (select *, {_KIND.replace('line', 'b')} kb, {_KIND.replace('line', 'nx')} kn from f),
-cm as (select *, np = page_no + 1 and ((kb = 'text' and kn = 'text' and not regexp_matches(trim(b), '[.!?:;]$'))
-  or (kb = 'list' and kn = 'list' and abs((length(b) - length(ltrim(b))) - (length(nx) - length(ltrim(nx)))) <= 2)
-  or (kb = 'table' and kn = 'table' and abs((length(trim(b)) - length(replace(trim(b), '|', ''))) - (length(trim(nx)) - length(replace(trim(nx), '|', '')))) <= 1)
-  or (starts_with(trim(b), '[IMAGE]') and not contains(trim(b), '[/IMAGE]'))) ok from k),
+@query(rf"""with recursive {_PAGES}, e as (select doc_id, page_no, structure_confidence, len(raw_lines) n, trim(raw_lines[-1]) b, trim(raw_lines[1]) a, {_TEXT.format("raw_lines")} t from pg),
+k as (select *, lead(a) over w nx, lead(t) over w nt, row_number() over w rn from e window w as (partition by doc_id order by page_no)),
+cm as (select *, trim(t, e' \t\n') <> '' and trim(nt, e' \t\n') <> '' and (
+  (b <> '' and not regexp_matches(b, '[.!?]$') and nx <> '' and not regexp_matches(nx, '^[#*|\[-]'))
+  or (regexp_matches(b, '^([-*+]|[0-9]+\.)\s+') and regexp_matches(nx, '^([-*+]|[0-9]+\.)\s+'))
+  or (contains(b, '|') and contains(nx, '|') and not regexp_matches(nx, '^[\s|:-]+$') and abs(len(string_split(b, '|')) - len(string_split(nx, '|'))) <= 1)
+  or len(string_split(t, '[IMAGE]')) > len(string_split(t, '[/IMAGE]'))) ok from k),
 gr as (select doc_id, page_no, n, structure_confidence, rn, ok, 1 grp, false swallowed from cm where rn = 1
   union all select c.doc_id, c.page_no, c.n, c.structure_confidence, c.rn, c.ok, g.grp + case when coalesce(g.ok, false) and not g.swallowed then 0 else 1 end, coalesce(g.ok, false) and not g.swallowed
   from gr g join cm c on c.doc_id = g.doc_id and c.rn = g.rn + 1)
-select doc_id, cast(grp as bigint) merge_group, string_agg(cast(page_no as varchar), ',' order by page_no) page_nos, round(avg(structure_confidence), 6) structure_confidence, cast(sum(n) as bigint) n_lines from gr group by 1, 2""")
+select doc_id, cast(grp as bigint) merge_group, array_to_string(range(min(page_no), max(page_no) + 1), ',') page_nos, round(avg(structure_confidence), 6) structure_confidence, cast(sum(n) as bigint) n_lines from gr group by 1, 2""")
 def continuation_merge(spark: SparkSession, d: str) -> DataFrame:
     return C.merge_continued_pages(pages(spark, d)).withColumn("page_nos", F.array_join(F.col("page_nos").cast("array<string>"), ","))
 

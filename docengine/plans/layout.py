@@ -112,18 +112,26 @@ def table_grid(spark: SparkSession, d: str) -> DataFrame:
     return L.grid_rows(boxes(spark, d), ["page"], "id")
 
 
-_STRATEGY = f"{_B}, st as (select page, id, case when coalesce((x1 - x0) / nullif(y1 - y0, 0), 1.0) < 0.6 then 'HI_RES' else 'FAST' end strategy from b)"
+# the even boxes are native text, the odd ones what a detector saw; on a raster of 1000 pixels
+_COVER = f"""{_B}, px as (select page, id % 2 side, cast(floor(x0 * 1000) as integer) x0, cast(floor(y0 * 1000) as integer) y0, cast(floor(x1 * 1000) as integer) x1, cast(floor(y1 * 1000) as integer) y1 from b),
+xs as (select page, v, lead(v) over (partition by page order by v) w from (select distinct page, v from (select page, x0 v from px union all select page, x1 from px))),
+ys as (select page, v, lead(v) over (partition by page order by v) w from (select distinct page, v from (select page, y0 v from px union all select page, y1 from px))),
+ce as (select xs.page, xs.v x, ys.v y, (xs.w - xs.v) * (ys.w - ys.v) area, bool_or(px.side = 0) n, bool_or(px.side = 1) s from xs join ys on xs.page = ys.page join px on px.page = xs.page and px.x0 <= xs.v and px.x1 >= xs.w and px.y0 <= ys.v and px.y1 >= ys.w where xs.w is not null and ys.w is not null group by all),
+st as (select page, cast(coalesce(sum(area) filter (n and s), 0) as bigint) common, cast(sum(area) as bigint) covered from ce group by 1)"""
 
 
-@query(f"with {_STRATEGY} select id, strategy from st")
+@query(f"with {_COVER} select page, common, covered, case when common / covered < 0.6 then 'HI_RES' else 'FAST' end strategy from st")
 def page_strategy(spark: SparkSession, d: str) -> DataFrame:
-    return boxes(spark, d).select("id", L.page_strategy(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")).alias("strategy"))
+    """Pages on which native and seen text do not cover the same places."""
+    b = boxes(spark, d)
+    return L.page_strategies(b.where("id % 2 = 0"), b.where("id % 2 = 1"), ["page"])
 
 
-@query(f"with {_STRATEGY} select page, case when avg(case when strategy = 'HI_RES' then 1.0 else 0.0 end) > 0.2 then 'HI_RES' else 'FAST' end strategy from st group by 1")
+@query(f"with {_COVER}, pg as (select page % 7 doc, case when common / covered < 0.6 then 'HI_RES' else 'FAST' end strategy from st) select doc, case when avg(case when strategy = 'HI_RES' then 1.0 else 0.0 end) > 0.2 then 'HI_RES' else 'FAST' end strategy from pg group by 1")
 def doc_strategy(spark: SparkSession, d: str) -> DataFrame:
-    rows = boxes(spark, d).withColumn("strategy", L.page_strategy(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
-    return rows.groupBy("page").agg(L.document_strategy(F.col("strategy")).alias("strategy"))
+    b = boxes(spark, d)
+    rows = L.page_strategies(b.where("id % 2 = 0"), b.where("id % 2 = 1"), ["page"]).withColumn("doc", F.col("page") % 7)
+    return rows.groupBy("doc").agg(L.document_strategy(F.col("strategy")).alias("strategy"))
 
 
 @query("""select l_orderkey, '| line | quantity | flag |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || l_linenumber || ' | ' || cast(l_quantity as integer) || ' | ' || l_returnflag || ' |', chr(10) order by l_linenumber, cast(l_quantity as integer), l_returnflag, l_partkey) as "table" from lineitem group by 1""")
@@ -176,11 +184,3 @@ def table_merge(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy(F.coalesce("line_start", "line_end", F.lit(0)), "chunk_id")
     rows = rows.select("doc_id", F.row_number().over(w).alias("ord"), F.split("metadata.table_header", " \\| ").alias("header"), F.lit(None).cast("string").alias("title"), F.coalesce("metadata.table_rows", F.lit(0)).alias("n_rows"))
     return L.merge_tables(rows, ["doc_id"], "ord").withColumn("header", F.array_join("header", " | "))
-
-
-@query(rf"""with {CURRENT}, {_LINES}, p as (select *, contains(line, '|') p, regexp_matches(trim(line), '^\|?[ :|-]*-[ :|-]*\|?$') r from ln),
-q as (select *, lag(p) over w pp, lead(p) over w np, lead(r) over w nr from p window w as (partition by chunk_id order by line_no))
-select chunk_id, line_no, cast(len(string_split(regexp_replace(trim(line), '^\||\|$', '', 'g'), '|')) as integer) columns from q where p and not coalesce(pp, false) and coalesce(np, false) and not coalesce(nr, false) and not r""")
-def table_repair(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of pipe tables after which the rule is missing."""
-    return L.missing_rules(lines(R.current_chunks(table(spark, d, "chunks")), ["chunk_id"], "raw_md_fragment"), ["chunk_id"])

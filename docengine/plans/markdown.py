@@ -47,20 +47,6 @@ def blocks_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", M.render_block(kind, F.lit(2), text).alias("md"))
 
 
-@query(rf"""with {CURRENT}, {_LINES}, k as (select *, case when regexp_matches(line, '^[ \t]*[-*+] ') then 'bullet' when regexp_matches(line, '^[ \t]*[0-9]+[.)] ') then 'number' end kind from ln),
-s as (select *, case when kind is null or lag(kind) over (partition by chunk_id order by line_no) is null then 1 else 0 end st from k),
-r as (select *, sum(st) over (partition by chunk_id order by line_no rows unbounded preceding) run from s),
-f as (select *, first_value(kind) over (partition by chunk_id, run order by line_no) fk from r)
-select chunk_id, line_no, case when fk = 'bullet' then '- ' else '1. ' end || regexp_replace(line, '^[ \t]*([-*+]|[0-9]+[.)]) ', '') repaired from f where kind is not null and kind <> fk""")
-def list_repair(spark: SparkSession, d: str) -> DataFrame:
-    return M.repaired_lists(chunk_lines(spark, d), ["chunk_id"]).select("chunk_id", "line_no", "repaired")
-
-
-@query(rf"""with {CURRENT}, {_LINES} select chunk_id, line_no from (select *, trim(lag(line) over (partition by chunk_id order by line_no)) b from ln) where regexp_matches(trim(line), '^[A-Z][A-Za-z]*( [A-Z][A-Za-z]*)*:$') and b <> '' and not starts_with(b, '#')""")
-def section_repair(spark: SparkSession, d: str) -> DataFrame:
-    return M.section_breaks(chunk_lines(spark, d), ["chunk_id"]).select("chunk_id", "line_no")
-
-
 @query(r"""select doc_id, case when text = '' then 0 else len(regexp_extract_all(text, '[.!?][ \t\r\n]+')) + 1 - case when regexp_matches(text, '[.!?][ \t\r\n]+$') then 1 else 0 end end sentences from documents where text is not null""")
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("sentences"))

@@ -83,13 +83,25 @@ def html_blocks(df: DataFrame, key: str, html: str, keep_blank: bool = False) ->
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of CSV files as string cells in column order, the header as row 0."""
+    """Rows of a CSV file as string cells in column order, the header first: ``cells,
+    is_row, place``; place (start of the row's split, number within it) orders the rows as
+    the file does, and no row moves for it."""
     df = spark.read.csv(path, header=True, inferSchema=False)
-    cells = df.select(F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in df.columns]).alias("cells"), F.lit(1).alias("is_row"))
-    head = spark.createDataFrame([(list(df.columns), 0)], "cells array<string>, is_row int")
+    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    cells = df.select(F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in df.columns]).alias("cells"), F.lit(1).alias("is_row"), place.alias("place"))
+    head = spark.createDataFrame([(list(df.columns), 0, (-1, -1))], "cells array<string>, is_row int, place struct<start: long, row: long>")
     return head.unionByName(cells)
 
 
+def read_csv_table(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file as one table block, whose cells are gathered in one row; ``read_csv`` keeps
+    the rows of large files apart."""
+    table = read_csv(spark, path).groupBy().agg(F.array_sort(F.collect_list(F.struct("place", "cells"))).alias("rows"))
+    cells = F.transform("rows", lambda r: r["cells"])
+    none = F.lit(None)
+    return table.select(F.lit(path).alias("path"), F.lit(0).alias("page_index"), F.lit(0).alias("block_ord"), F.lit("table").alias("block_type"), none.cast("int").alias("level"), none.cast("string").alias("text"), cells.alias("cells"))
+
+
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines; blank lines are skipped."""
     return spark.read.json(path)
@@ -212,10 +224,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     if suffix in ("txt", "md"):
         return read_text(spark, path)
     if suffix == "csv":
-        table = read_csv(spark, path).groupBy().agg(F.sort_array(F.collect_list(F.struct("is_row", "cells"))).alias("rows"))
-        cells = F.transform("rows", lambda r: r["cells"])
-        none = F.lit(None)
-        return table.select(F.lit(path).alias("path"), F.lit(0).alias("page_index"), F.lit(0).alias("block_ord"), F.lit("table").alias("block_type"), none.cast("int").alias("level"), none.cast("string").alias("text"), cells.alias("cells"))
+        return read_csv_table(spark, path)
     if suffix in ("jsonl", "json"):
         return read_jsonl(spark, path)
     raise ValueError(f"no reader for .{suffix}")

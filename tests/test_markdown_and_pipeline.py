@@ -12,13 +12,6 @@ def _lines(spark, text):
     return C.lines(spark.createDataFrame([("k", text)], "k string, text string"), ["k"], "text")
 
 
-def test_list_and_section_repair(spark):
-    got = M.repaired_lists(_lines(spark, "- a\n1. b\n* c\ntext\n1. x\n2. y\n- z"), ["k"]).collect()
-    assert sorted((r["line_no"], r["repaired"]) for r in got) == [(1, "- b"), (6, "1. z")]
-    got = M.section_breaks(_lines(spark, "text\nKey Terms:\n\nOther:\n# H\nAfter:"), ["k"]).collect()
-    assert [r["line_no"] for r in got] == [1]
-
-
 def test_model_markdown(spark):
     raw = "```markdown\n[TABLE]a\n\n\n\nb [HEADER]Head[/HEADER]\n[/TABLE]\n```"
     row = spark.range(1).select(M.clean_model_markdown(F.lit(raw)).alias("x")).first()

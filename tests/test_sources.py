@@ -29,6 +29,13 @@ def test_text_and_csv(spark, tmp_path):
     assert got == [("text", None, "para one more"), ("title", 1, "Head"), ("text", None, "text"), ("text", None, "last")]
     (tmp_path / "b.csv").write_text("x,y\n1,\n")
     assert readers.read(spark, str(tmp_path / "b.csv")).first()["cells"] == [["x", "y"], ["1", ""]]
+    names = ["zeta", "alpha", "mid", *(f"r{i * 7919 % 1000}" for i in range(3000))]
+    (tmp_path / "c.csv").write_text("name\n" + "\n".join(names) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert [c[0] for c in readers.read(spark, str(tmp_path / "c.csv")).first()["cells"]] == ["name", *names]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_upsert_and_stream(spark, tmp_path):
