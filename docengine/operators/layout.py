@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.functions.geometry import Box, box, iou, overlap_ratio
+from docengine.functions.geometry import box, overlap_ratio
 from docengine.functions.text import sanitize_cell
-from docengine.operators.shapes import greedy_pairs
+from docengine.operators.shapes import anchored_groups, greedy_pairs
 
 
 def cleaned_boxes(df: DataFrame, scale: float = 1.0) -> DataFrame:
@@ -19,23 +19,26 @@ def cleaned_boxes(df: DataFrame, scale: float = 1.0) -> DataFrame:
     return df.where("x0 < x1 and y0 < y1").withColumns({c: F.col(c) * scale for c in ("x0", "y0", "x1", "y1")})
 
 
-def _struct_box(s: Column) -> Box:
-    return Box(s["x0"], s["y0"], s["x1"], s["y1"])
-
-
 def suppress(boxes: DataFrame, by: Sequence[str], key: str, limit: float = 0.9) -> DataFrame:
     """Greedy non-maximum suppression per page: best score first, a box is kept if its IoU
     with every kept one is at most ``limit``. Ties go to the smaller key."""
-    fields = F.struct((-F.col("score")).alias("s"), F.col(key).alias("k"), "x0", "y0", "x1", "y1")
-    pages = boxes.groupBy(*by).agg(F.array_sort(F.collect_list(fields)).alias("boxes"))
-    none = F.slice("boxes", 1, 0)
+    types = dict(boxes.dtypes)
+    names = [*by, key, "score", "x0", "y0", "x1", "y1"]
 
-    def step(kept: Column, x: Column) -> Column:
-        hit = F.exists(kept, lambda y: iou(_struct_box(x), _struct_box(y)) > limit)
-        return F.when(hit, kept).otherwise(F.concat(kept, F.array(x)))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["score", key], ascending=[False, True])
+        x0, y0, x1, y1 = (pdf[c].to_numpy(dtype=float) for c in ("x0", "y0", "x1", "y1"))
+        area = np.maximum(x1 - x0, 0) * np.maximum(y1 - y0, 0)
+        left, keep = np.arange(len(pdf)), []
+        while len(left):
+            best, rest = left[0], left[1:]
+            keep.append(best)
+            common = np.maximum(np.minimum(x1[rest], x1[best]) - np.maximum(x0[rest], x0[best]), 0) * np.maximum(np.minimum(y1[rest], y1[best]) - np.maximum(y0[rest], y0[best]), 0)
+            union = area[rest] + area[best] - common
+            left = rest[~(np.divide(common, union, out=np.zeros(len(rest)), where=union > 0) > limit)]
+        return pdf.iloc[keep]
 
-    kept = pages.select(*by, F.explode(F.aggregate("boxes", none, step)).alias("b"))
-    return kept.select(*by, F.col("b.k").alias(key), (-F.col("b.s")).alias("score"), *[F.col(f"b.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    return boxes.select(*names).groupBy(*by).applyInPandas(run, ", ".join(f"{c} {types[c]}" for c in names))
 
 
 def bands(df: DataFrame, by: Sequence[str], lo: str, hi: str, name: str, key: str) -> DataFrame:
@@ -65,14 +68,7 @@ def grid_rows(df: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     n = F.size(gaps)
     median = F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
     pages = pages.withColumn("_least", 0.5 * median)
-    zero = F.struct(F.get("t", F.lit(0))["y"].alias("anchor"), F.lit(0).alias("row"), F.array().cast("array<int>").alias("rows"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = (F.size(acc["rows"]) > 0) & (x["y"] - acc["anchor"] >= F.col("_least"))
-        row = F.when(new, acc["row"] + 1).otherwise(acc["row"])
-        return F.struct(F.when(new, x["y"]).otherwise(acc["anchor"]).alias("anchor"), row.alias("row"), F.concat(acc["rows"], F.array(row)).alias("rows"))
-
-    pages = pages.withColumn("rows", F.aggregate("t", zero, step, lambda a: a["rows"]))
+    pages = pages.withColumn("rows", anchored_groups(F.transform("t", lambda x: x["y"]), F.col("_least")))
     flat = pages.select(*by, F.explode(F.arrays_zip("t", "rows")).alias("z")).select(*by, F.col("z.t.k").alias(key), F.col("z.rows").alias("row"), F.col("z.t.x0").alias("_x"))
     return flat.withColumn("column", F.row_number().over(Window.partitionBy(*by, "row").orderBy("_x", key)) - 1).drop("_x")
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.operators.shapes import runs
+from docengine.operators.shapes import anchored_groups
 
 def render_block(kind: Column, level: Column, text: Column) -> Column:
     """One block: titles with their level's marks (at most six), lists item by item, code
@@ -57,12 +57,6 @@ def page_windows(rows: DataFrame, by: Sequence[str], size: int = 3) -> DataFrame
     """Groups of rows ``page, key`` whose page lies less than ``size`` pages after the
     group's first one: ``*by, group, first_page, last_page, members``."""
     every = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("page", "key"))).alias("items"))
-    zero = F.struct(F.get("items", F.lit(0))["page"].alias("anchor"), F.lit(1).alias("group"), F.array().cast("array<int>").alias("groups"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = x["page"] - acc["anchor"] >= size
-        group = F.when(new, acc["group"] + 1).otherwise(acc["group"])
-        return F.struct(F.when(new, x["page"]).otherwise(acc["anchor"]).alias("anchor"), group.alias("group"), F.concat(acc["groups"], F.array(group)).alias("groups"))
-
-    placed = every.select(*by, F.explode(F.arrays_zip("items", F.aggregate("items", zero, step, lambda a: a["groups"]).alias("g"))).alias("z"))
-    return placed.groupBy(*by, F.col("z.g").alias("group")).agg(F.min("z.items.page").alias("first_page"), F.max("z.items.page").alias("last_page"), F.count("*").alias("members"))
+    group = anchored_groups(F.transform("items", lambda x: x["page"].cast("double")), F.lit(size))
+    placed = every.withColumn("groups", group).select(*by, F.explode(F.arrays_zip("items", "groups")).alias("z"))
+    return placed.groupBy(*by, (F.col("z.groups") + 1).alias("group")).agg(F.min("z.items.page").alias("first_page"), F.max("z.items.page").alias("last_page"), F.count("*").alias("members"))

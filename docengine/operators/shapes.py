@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,29 +62,64 @@ def slice_starts(n: Column, size: int, overlap: int) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
 
 
-def skip_fill(items: Column, budget: int, forced: int = 0) -> Column:
+def _fold(returns: str, step) -> object:
+    """A pandas UDF over arrays: one pass over each, whose state is a few numbers."""
+
+    @F.pandas_udf(returns)
+    def run(sizes: pd.Series, always: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else step(x, y) for x, y in zip(sizes, always, strict=True)], dtype=object)
+
+    return run
+
+
+def skip_fill(items: Column, budget: int, forced: int = 0, always: Column | None = None) -> Column:
     """Which items of an ordered ``array<struct<size: int, ...>>`` fit a budget, skipping
-    what doesn't fit: ``array<boolean>``. The first ``forced`` items always go in."""
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("keep"))
+    what doesn't fit: ``array<boolean>``. The first ``forced`` items always go in, and those
+    marked in ``always``, an ``array<boolean>``. A null size is 0."""
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = (F.size(acc["keep"]) < forced) | (acc["used"] + x["size"] <= budget)
-        return F.struct(F.when(fits, acc["used"] + x["size"]).otherwise(acc["used"]).alias("used"), F.concat(acc["keep"], F.array(fits)).alias("keep"))
+    def step(sizes: np.ndarray, sure: np.ndarray) -> list[bool]:
+        used, keep = 0, []
+        for size, must in zip(sizes, sure, strict=True):
+            fits = bool(must) or used + size <= budget
+            used += size if fits else 0
+            keep.append(fits)
+        return keep
 
-    return F.aggregate(items, zero, step, lambda acc: acc["keep"])
+    sizes = F.transform(items, lambda x: F.coalesce(x["size"].cast("long"), F.lit(0)))
+    first = F.transform(items, lambda x, i: i < forced)
+    return _fold("array<boolean>", step)(sizes, first if always is None else F.zip_with(first, always, lambda a, b: a | F.coalesce(b, F.lit(False))))
 
 
 def pack_fill(sizes: Column, target: int) -> Column:
     """Pack numbers of an ordered ``array<int>``: a new pack begins where the next item
     would take the current, non-empty one above ``target``."""
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("pack"), F.array().cast("array<int>").alias("packs"))
 
-    def step(acc: Column, x: Column) -> Column:
-        over = (acc["used"] > 0) & (acc["used"] + x > target)
-        pack = F.when(over, acc["pack"] + 1).otherwise(acc["pack"])
-        return F.struct(F.when(over, x.cast("long")).otherwise(acc["used"] + x).alias("used"), pack.alias("pack"), F.concat(acc["packs"], F.array(pack)).alias("packs"))
+    def step(values: np.ndarray, _: np.ndarray) -> list[int]:
+        used, pack, packs = 0, 0, []
+        for size in values:
+            if used > 0 and used + size > target:
+                pack, used = pack + 1, 0
+            used += int(size)
+            packs.append(pack)
+        return packs
+
+    values = F.transform(sizes, lambda x: F.coalesce(x.cast("long"), F.lit(0)))
+    return _fold("array<int>", step)(values, F.array().cast("array<boolean>"))
+
+
+def anchored_groups(values: Column, reach: Column) -> Column:
+    """Group numbers of an ordered ``array<double>``: a value ``reach`` or more above its
+    group's first one opens the next group (no reach: one group)."""
+
+    def step(xs: np.ndarray, reach: np.ndarray) -> list[int]:
+        anchor, group, groups = None, -1, []
+        for x in xs:
+            if anchor is None or (reach[0] is not None and reach[0] == reach[0] and x - anchor >= reach[0]):
+                anchor, group = x, group + 1
+            groups.append(group)
+        return groups
 
-    return F.aggregate(sizes, zero, step, lambda acc: acc["packs"])
+    return _fold("array<int>", step)(values, F.array(reach.cast("double")))
 
 
 def latest(df: DataFrame, key: Sequence[str], *order: Column) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docengine.functions import text as T
+from docengine.operators import context as X
 from docengine.operators import retrieval as R
 from docengine.operators.shapes import latest, top_k
 from docengine.session import table
@@ -189,3 +191,68 @@ def index_projection(spark: SparkSession, d: str) -> DataFrame:
         "chunk_id", "doc_id", F.coalesce(F.col("page_span")[0], F.lit(0)).alias("page_span_start"), F.coalesce(F.col("page_span")[1], F.lit(0)).alias("page_span_end"),
         F.coalesce("metadata.structure_confidence", F.lit(1.0)).alias("structure_confidence"),
     )
+
+
+# chunks and parents as context assembly takes them; hits are the five best known chunks of each run and field
+_POOL = f"""{CURRENT}, ch as (select chunk_id, doc_id, nullif(lower(trim(parent_id)), '') parent_id, coalesce(line_start, line_end, 0) ord, page_span[1] first_page, page_span[2] last_page, element_type,
+ cast(ceil(length(text_for_embedding) / 4.0) as integer) tokens from cur where text_for_embedding is not null),
+par as (select chunk_id, cast(ceil(length(text_for_embedding) / 4.0) as integer) tokens from parent_chunks where text_for_embedding is not null and chunk_id is not null qualify row_number() over (partition by chunk_id order by ingested_at desc nulls last, line_end desc nulls last) = 1),
+hit as (select run_id, field_id, k chunk_id, row_number() over (partition by run_id, field_id order by s desc nulls last, k) rnk
+ from (select run_id, field_id, lower(trim(chunk_id)) k, max(score) s from candidates where lower(trim(chunk_id)) in (select chunk_id from ch) group by 1, 2, 3) qualify rnk <= 5)"""
+
+
+def pool(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = R.current_chunks(table(spark, d, "chunks")).where("text_for_embedding is not null")
+    chunks = rows.select("chunk_id", "doc_id", R.clean_id("parent_id").alias("parent_id"), F.coalesce("line_start", "line_end", F.lit(0)).alias("ord"), F.col("page_span")[0].alias("first_page"), F.col("page_span")[1].alias("last_page"), "element_type", F.col("text_for_embedding").alias("text"), T.tokens(F.col("text_for_embedding")).alias("tokens"))
+    parents = R.current_chunks(table(spark, d, "parent_chunks").where("text_for_embedding is not null")).select("chunk_id", F.col("text_for_embedding").alias("text"), T.tokens(F.col("text_for_embedding")).alias("tokens"))
+    hits = table(spark, d, "candidates").select("run_id", "field_id", F.lower(F.trim("chunk_id")).alias("chunk_id"), "score")
+    return X.primaries(hits, chunks, ["run_id", "field_id"], "score", 5), chunks, parents
+
+
+@query(f"with {_POOL} select run_id, field_id, chunk_id, cast(rnk as integer) as rank from hit")
+def primary_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The best known chunks of each run and field."""
+    return pool(spark, d)[0]
+
+
+@query(f"with {_POOL} select ch.chunk_id, ch.parent_id, par.tokens parent_tokens from ch left join par on par.chunk_id = ch.parent_id")
+def parent_hydrate(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with their parents' texts, where there are such."""
+    _, chunks, parents = pool(spark, d)
+    return X.with_parents(chunks, parents).select("chunk_id", "parent_id", "parent_tokens")
+
+
+_PACK = f"""{_POOL}, p as (select run_id, field_id, rnk, ch.* from hit join ch using (chunk_id)),
+sib as (select chunk_id, lag(chunk_id) over w a, lead(chunk_id) over w b from ch where parent_id is not null window w as (partition by parent_id order by ord, chunk_id)),
+x as (select a.chunk_id, b.chunk_id n, 1 side, a.element_type = b.element_type same, b.ord from ch a join ch b on a.doc_id = b.doc_id and b.last_page = a.first_page - 1
+  union all select a.chunk_id, b.chunk_id, 2, a.element_type = b.element_type, b.ord from ch a join ch b on a.doc_id = b.doc_id and b.first_page = a.last_page + 1),
+cro as (select chunk_id, n, side, row_number() over (partition by chunk_id, side order by cast(same as int) desc nulls last, ord, n) nth from x where chunk_id <> n qualify nth <= 2),
+r as (select run_id, field_id, chunk_id, tokens, 0 c1, rnk c2, 0 c3, 0 c4, 'primary' kind from p
+  union all select run_id, field_id, parent_id, par.tokens, 0, rnk, 1, 0, 'parent' from p join par on par.chunk_id = p.parent_id
+  union all select run_id, field_id, ch.chunk_id, ch.tokens, 1, rnk, 0, -1, 'sibling' from p join sib on sib.chunk_id = p.chunk_id join ch on ch.chunk_id = sib.a
+  union all select run_id, field_id, ch.chunk_id, ch.tokens, 1, rnk, 0, 1, 'sibling' from p join sib on sib.chunk_id = p.chunk_id join ch on ch.chunk_id = sib.b
+  union all select p.run_id, p.field_id, ch.chunk_id, ch.tokens, case when o.parent_id is not null then 1 else 2 end, p.rnk, side, nth, case when o.parent_id is not null then 'sibling' else 'cross_page' end
+   from p join cro on cro.chunk_id = p.chunk_id join ch on ch.chunk_id = cro.n left join (select distinct run_id, field_id, parent_id from p where parent_id is not null) o on o.run_id = p.run_id and o.field_id = p.field_id and o.parent_id = ch.parent_id),
+u as (select run_id, field_id, chunk_id, tokens, kind, row_number() over (partition by run_id, field_id order by c1, c2, c3, c4, chunk_id) rn from (select * from r qualify row_number() over (partition by run_id, field_id, chunk_id order by c1, c2, c3, c4, kind, tokens) = 1)),
+v as (select *, kind = 'primary' and count(*) filter (kind = 'primary') over (partition by run_id, field_id order by rn) <= 3 sure from u),
+f as (select run_id, field_id, rn, chunk_id, kind, tokens, sure or tokens <= 800 kept, case when sure or tokens <= 800 then tokens else 0 end used from v where rn = 1
+  union all select v.run_id, v.field_id, v.rn, v.chunk_id, v.kind, v.tokens, v.sure or f.used + v.tokens <= 800, f.used + case when v.sure or f.used + v.tokens <= 800 then v.tokens else 0 end from f join v on v.run_id = f.run_id and v.field_id = f.field_id and v.rn = f.rn + 1)"""
+
+
+def _packs(spark: SparkSession, d: str) -> DataFrame:
+    hits, chunks, parents = pool(spark, d)
+    return X.assemble(hits, chunks, parents, ["run_id", "field_id"], budget=800)
+
+
+@query(f"with recursive {_PACK} select run_id, field_id, cast(rn - 1 as integer) place, kind, chunk_id, tokens, kept from f")
+def context_assembly(spark: SparkSession, d: str) -> DataFrame:
+    """Packs of 800 tokens: primaries with their parents, siblings, neighbours of other pages."""
+    return _packs(spark, d)
+
+
+@query(f"""with recursive {_PACK} select run_id, field_id, cast(sum(case when kept then tokens else 0 end) as bigint) final_tokens, coalesce(string_agg(kind || ':' || chunk_id, ',' order by rn) filter (kind <> 'primary'), '') added,
+coalesce(string_agg(chunk_id, ',' order by rn) filter (not kept), '') dropped from f group by 1, 2""")
+def context_trace(spark: SparkSession, d: str) -> DataFrame:
+    """What was added to each pack and what did not fit."""
+    rows = X.context_trace(_packs(spark, d), ["run_id", "field_id"])
+    return rows.withColumn("added", F.array_join("added", ",")).withColumn("dropped", F.array_join("dropped", ","))
