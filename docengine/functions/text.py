@@ -147,3 +147,69 @@ def fenced_json(text: Column) -> Column:
     the last one."""
     inside = F.coalesce(F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1), F.lit("")), text)
     return F.regexp_extract(inside, r"(?s)([\[{].*[\]}])", 1)
+
+
+def serialized(kind: Column, prefix: Column, text: Column, items: Column, header: Column, rows: Column, signature: Column, row_range: Column) -> Column:
+    """A chunk's text for embedding by its kind: prose as it is, lists below ``List Items:``,
+    tables as a header and rows with their signature and range, images within their marks."""
+    gap = F.lit("\n\n")
+    span = F.concat(row_range[0].cast("string"), F.lit("-"), row_range[1].cast("string"))
+    table_prefix = F.concat_ws(" | ", prefix, F.concat(F.lit("Table: "), signature), F.concat(F.lit("Rows: "), span))
+    body = F.concat(F.when(F.coalesce(header, F.lit("")) != "", F.array(F.concat(F.lit("Header: "), header))).otherwise(F.array().cast("array<string>")), F.transform(rows, lambda r: F.concat(F.lit("Row: "), r)))
+    return (
+        F.when(kind == "list", F.concat(prefix, gap, F.lit("List Items:\n"), F.array_join(items, "\n")))
+        .when(kind == "table", F.concat(table_prefix, gap, F.array_join(body, "\n")))
+        .when(kind == "image", F.concat(prefix, gap, F.lit("[IMAGE]\n"), text, F.lit("\n[/IMAGE]")))
+        .otherwise(F.concat(prefix, gap, text))
+    )
+
+
+def citation_with_ranges(doc: Column, first: Column, last: Column, path: Column, label: Column, rows: Column, items: Column) -> Column:
+    """``Doc: d | Page: p | Section: s | Rows: a-b | Items: a-b``; what is null is left out."""
+    span = lambda name, x: F.when(x.isNotNull(), F.concat(F.lit(f"{name}: "), x[0].cast("string"), F.lit("-"), x[1].cast("string")))
+    return F.concat_ws(" | ", citation(doc, first, last, path, label), span("Rows", rows), span("Items", items))
+
+
+def evidence(doc: Column, first: Column, last: Column) -> Column:
+    """The short form of a citation, ``Doc: d | Pa-b``; ``Unknown source`` without a file."""
+    return F.when(doc.isNull(), "Unknown source").otherwise(F.concat(F.lit("Doc: "), doc, F.lit(" | P"), first.cast("string"), F.lit("-"), last.cast("string")))
+
+
+def kind_label(kind: Column, heading: Column, path: Column, text: Column, items: Column, header: Column, page: Column) -> Column:
+    """Section label of an element of any kind: a heading's text or the path as they are;
+    else the first sentence of more than 10 characters or the first 50 (prose), the first
+    three items (lists), the header (tables) or the first 50 characters (images), without
+    emphasis and at most 60 characters."""
+    first = F.split(text, r"\.", 2)[0]
+    prose = F.when(F.length(first) > 10, F.trim(first)).otherwise(F.trim(F.substring(text, 1, 50)))
+    own = (
+        F.when(kind == "list", F.coalesce(F.nullif(F.array_join(F.slice(items, 1, 3), " | "), F.lit("")), F.lit("List")))
+        .when(kind == "table", F.coalesce(F.nullif(header, F.lit("")), F.lit("Table")))
+        .when(kind == "image", F.coalesce(F.nullif(F.substring(text, 1, 50), F.lit("")), F.lit("Image")))
+        .otherwise(prose)
+    )
+    for pattern in (r"\*\*([^*]+)\*\*", r"\*([^*]+)\*", r"`([^`]+)`"):
+        own = F.regexp_replace(own, pattern, "$1")
+    own = F.trim(own)
+    cut = F.when(F.length(own) > 60, F.concat(F.substring(own, 1, 57), F.lit("..."))).otherwise(own)
+    fallback = F.concat(F.initcap(kind), F.lit(" (page "), page.cast("string"), F.lit(")"))
+    return F.coalesce(F.nullif(F.trim(heading), F.lit("")), F.nullif(path, F.lit("")), F.nullif(cut, F.lit("")), fallback)
+
+
+def image_tag(description: Column, alt: Column, caption: Column) -> Column:
+    """``[IMAGE_DESCRIPTION: d]``, the description being the given one, else alt text, else caption."""
+    known = [F.nullif(c, F.lit("")) for c in (description, alt, caption)]
+    return F.concat(F.lit("[IMAGE_DESCRIPTION: "), F.coalesce(*known, F.lit("Image")), F.lit("]"))
+
+
+def merged_maps(a: Column, b: Column) -> Column:
+    """Two maps as one; where both have a key, the second's value stands."""
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+
+def same_value(a: Column, b: Column) -> Column:
+    """Whether two values, as text, say the same: as numbers where both are numbers
+    (thousands may be parted by commas), else as trimmed text. Null with a null."""
+    number = lambda x: F.replace(F.trim(x), F.lit(","), F.lit("")).try_cast("double")
+    x, y = number(a), number(b)
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(x.isNotNull() & y.isNotNull(), F.abs(x - y) < 1e-9).otherwise(F.trim(a) == F.trim(b))

@@ -159,3 +159,22 @@ def structure_confidence(repairs: Column, tables: Column, lists: Column, section
     to .3 for their number and by their kinds, a little more with headings."""
     score = 1.0 - F.least(F.lit(0.3), 0.1 * repairs) - 0.15 * tables - 0.1 * lists - 0.05 * sections + F.when(headings, 0.1).otherwise(0.0)
     return F.when(repairs == 0, 1.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 6))
+
+
+def located(blocks: DataFrame, points: DataFrame, by: Sequence[str], at: str) -> DataFrame:
+    """Points by the block whose lines hold them: a join on ``by`` and a range."""
+    p = points.withColumnRenamed(at, "_at")
+    return blocks.join(p, list(by)).where((F.col("_at") >= F.col("start_line")) & (F.col("_at") <= F.col("end_line"))).withColumnRenamed("_at", at)
+
+
+def page_batches(pages: DataFrame, by: Sequence[str], page: str, size: int = 3) -> DataFrame:
+    """Pages, counted from 1, in batches of ``size``: ``*by, batch, pages``."""
+    return pages.groupBy(*by, F.floor((F.col(page) - 1) / size).alias("batch")).agg(F.sort_array(F.collect_set(page)).alias("pages"))
+
+
+def image_pieces(df: DataFrame, key: Sequence[str], text: str, least: int = 4096) -> DataFrame:
+    """Texts of images within their marks; one of ``least`` tokens or more is cut at blank
+    lines: ``*key, nth, piece``."""
+    parts = F.when(T.tokens(F.col(text)) >= least, F.split(text, "\n\n", -1)).otherwise(F.array(text))
+    rows = df.where(F.col(text).isNotNull()).select(*key, F.posexplode(parts).alias("nth", "_p"))
+    return rows.select(*key, "nth", F.concat(F.lit("[IMAGE]\n"), "_p", F.lit("\n[/IMAGE]")).alias("piece"))

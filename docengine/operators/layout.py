@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docengine.functions import tables as B
+from docengine.functions import text as T
 from docengine.functions.geometry import box, overlap_ratio
 from docengine.functions.text import sanitize_cell
-from docengine.operators.shapes import anchored_groups, greedy_pairs
+from docengine.operators.shapes import anchored_groups, greedy_pairs, runs
+
+
+#: How a table says that it goes on.
+CONTINUED = r"\((continued|cont\.|续|续表)\)"
 
 
 def cleaned_boxes(df: DataFrame, scale: float = 1.0) -> DataFrame:
@@ -126,7 +133,7 @@ def clean_tables(lines: DataFrame, by: Sequence[str], name: str = "table") -> Da
 
 def mergeable_tables(header_a: Column, header_b: Column, title_b: Column) -> Column:
     """Whether the second table continues the first: it says so, or their headers agree."""
-    says = F.lower(title_b).rlike(r"\((continued|cont\.|续|续表)\)")
+    says = F.lower(title_b).rlike(CONTINUED)
     return F.coalesce(says, F.lit(False)) | F.coalesce(header_a == header_b, F.lit(False))
 
 
@@ -168,3 +175,70 @@ def page_strategies(native: DataFrame, seen: DataFrame, by: Sequence[str], pixel
 def document_strategy(strategy: Column, limit: float = 0.2) -> Column:
     """Aggregate: HI_RES where more than ``limit`` of the pages are."""
     return F.when(F.avg((strategy == "HI_RES").cast("double")) > limit, "HI_RES").otherwise("FAST")
+
+
+def merge_table_cells(tables: DataFrame, by: Sequence[str], order: str, most: int = 5) -> DataFrame:
+    """Greedy merging of successive tables ``cells, title`` that say they go on or share
+    their first rows: ``*by, merge_group, cells, parts``; the rows that the second repeats
+    from the first fall away."""
+    w = Window.partitionBy(*by).orderBy(order)
+    head = B.common_head(F.col("cells"), F.lead("cells").over(w), most)
+    says = F.coalesce(F.lower(F.lead("title").over(w)).rlike(CONTINUED), F.lit(False))
+    rows = tables.withColumn("_skip", F.coalesce(B.common_head(F.lag("cells").over(w), F.col("cells"), most), F.lit(0)))
+    rows = greedy_pairs(rows, by, [order], says | (F.coalesce(head, F.lit(0)) > 0))
+    first = F.row_number().over(Window.partitionBy(*by, "merge_group").orderBy(order)) == 1
+    rest = F.when(first, F.col("cells")).otherwise(F.slice("cells", F.col("_skip") + 1, F.greatest(F.lit(0), F.size("cells") - F.col("_skip"))))
+    rows = rows.withColumn("_rest", rest)
+    every = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, "_rest"))), lambda x: x["_rest"]))
+    return rows.groupBy(*by, "merge_group").agg(every.alias("cells"), F.count("*").alias("parts"))
+
+
+def merge_paragraphs(blocks: DataFrame, by: Sequence[str], order: str, kind: str, text: str) -> DataFrame:
+    """Greedy merging of successive text blocks in pairs, neither of which is a list or an
+    index: ``*by, merge_group, text, parts``."""
+    w = Window.partitionBy(*by).orderBy(order)
+    plain = (F.col(kind) == "text") & ~T.is_list_block(F.col(text)) & ~T.is_index_block(F.col(text))
+    rows = blocks.withColumn("_plain", F.coalesce(plain, F.lit(False)))
+    rows = greedy_pairs(rows, by, [order], F.col("_plain") & F.lead("_plain").over(w))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.coalesce(text, F.lit("")).alias("t")))), lambda x: x["t"]), " ")
+    return rows.groupBy(*by, "merge_group").agg(joined.alias("text"), F.count("*").alias("parts"))
+
+
+def text_lines(spans: DataFrame, by: Sequence[str], key: str, gap: float = 0.02) -> DataFrame:
+    """Native text objects as lines: from the top, one that begins ``gap`` or more below the
+    one before it opens the next line: ``*by, line, text, x0, y0, x1, y1``, the texts joined
+    in the order of y0. spans: ``*by, key, text, x0, y0, x1, y1``."""
+    w = Window.partitionBy(*by).orderBy("y0", "x0", key)
+    rows = runs(spans, by, ["y0", "x0", key], F.lag("y0").over(w).isNull() | (F.abs(F.col("y0") - F.lag("y0").over(w)) >= gap), "line")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", key, F.col("text").alias("t")))), lambda s: s["t"]), " ")
+    return rows.groupBy(*by, "line").agg(joined.alias("text"), *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
+
+
+def table_texts(tables: DataFrame, spans: DataFrame, by: Sequence[str], key: str, least: float = 0.3, whole: float = 0.7) -> DataFrame:
+    """Cells from the texts over a table: texts that overlap it by more than ``least`` of
+    their own area; one that lies in it by more than ``whole`` is split at wide gaps into
+    cells of equal width, another is one cell: ``*by, table_id, key, nth, cell, x0, x1``.
+    tables: ``*by, table_id`` and box; spans: ``*by, key, text`` and box."""
+    t, s = tables.alias("t"), spans.alias("s")
+    cond = [F.col(f"t.{c}") == F.col(f"s.{c}") for c in by]
+    w = F.least("t.x1", "s.x1") - F.greatest("t.x0", "s.x0")
+    h = F.least("t.y1", "s.y1") - F.greatest("t.y0", "s.y0")
+    share = F.when((w > 0) & (h > 0), w * h / ((F.col("s.x1") - F.col("s.x0")) * (F.col("s.y1") - F.col("s.y0")))).otherwise(0.0)
+    both = t.join(s, reduce(lambda a, b: a & b, cond) & (F.col("s.x0") < F.col("t.x1")) & (F.col("s.x1") > F.col("t.x0")) & (F.col("s.y0") < F.col("t.y1")) & (F.col("s.y1") > F.col("t.y0")))
+    both = both.withColumn("share", share).where(F.col("share") > least)
+    cells = F.when(F.col("share") > whole, B.split_cells(F.col("s.text"))).otherwise(F.array(F.trim("s.text")))
+    rows = both.select(*[F.col(f"t.{c}") for c in by], "t.table_id", F.col(f"s.{key}"), F.col("s.x0"), F.col("s.x1"), F.size(cells).alias("_n"), F.posexplode(cells).alias("nth", "cell"))
+    width = (F.col("x1") - F.col("x0")) / F.col("_n")
+    return rows.select(*by, "table_id", key, "nth", "cell", (F.col("x0") + F.col("nth") * width).alias("x0"), (F.col("x0") + (F.col("nth") + 1) * width).alias("x1"))
+
+
+def with_default_strategy(pages: DataFrame, strategies: DataFrame, by: Sequence[str], default: str = "FAST") -> DataFrame:
+    """Every page with its strategy, the default where none was told."""
+    return pages.join(strategies.select(*by, "strategy"), list(by), "left").withColumn("strategy", F.coalesce("strategy", F.lit(default)))
+
+
+def described(images: DataFrame, descriptions: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """Images and their descriptions joined by their places; images beyond the descriptions
+    keep a null one."""
+    nth = lambda df: df.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+    return nth(images).join(nth(descriptions).select(*by, "_nth", "description"), [*by, "_nth"], "left").drop("_nth")

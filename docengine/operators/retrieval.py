@@ -114,3 +114,54 @@ def upsert(stored: DataFrame, new: DataFrame, key: Sequence[str], version: str)
     """Stored and new rows, the last version of each key; a new row wins a tie."""
     both = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     return latest(both, key, F.desc_nulls_last(version), F.desc("_new")).drop("_new")
+
+
+def lookup_one(chunks: DataFrame, doc_id: str, chunk_id: str) -> DataFrame:
+    """The chunk of a file and id; no row where it is not stored. Over a store partitioned
+    by file only that file is read."""
+    return chunks.where((F.col("doc_id") == doc_id) & (F.col("chunk_id") == chunk_id))
+
+
+def known_doc(doc: Column) -> Column:
+    """A file id; null for an empty one and ``unknown``."""
+    return F.when(~doc.isin("", "unknown"), doc)
+
+
+def chunk_pool(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """Children and parents in one table with ``kind``; columns that only one has are null
+    in the other's rows, and of two types of a column neither is kept."""
+    a, b = dict(children.dtypes), dict(parents.dtypes)
+    keep = lambda own, other: [c for c, t in own.items() if other.get(c, t) == t]
+    return children.select(*keep(a, b)).withColumn("kind", F.lit("child")).unionByName(parents.select(*keep(b, a)).withColumn("kind", F.lit("parent")), allowMissingColumns=True)
+
+
+def all_doc_ids(*tables: DataFrame) -> DataFrame:
+    """Every known file id of the tables."""
+    every = tables[0].select("doc_id")
+    for t in tables[1:]:
+        every = every.unionByName(t.select("doc_id"))
+    return every.select(known_doc(F.col("doc_id")).alias("doc_id")).where("doc_id is not null").distinct()
+
+
+def compare_id_sets(a: DataFrame, b: DataFrame, by: str, key: str) -> DataFrame:
+    """The ids of both tables per group: ``by, ids, only_a, same`` (number in either, number
+    in a alone, whether both hold the same). Only counts are shuffled on, no sets."""
+    side = lambda df, name: df.select(F.col(by), clean_id(key).alias("_k"), F.lit(1).alias(name)).where("_k is not null").distinct()
+    both = side(a, "_a").join(side(b, "_b"), [by, "_k"], "full")
+    return both.groupBy(by).agg(F.count("*").alias("ids"), F.count(F.when(F.col("_b").isNull(), 1)).alias("only_a"), (F.count("_a") + F.count("_b") == 2 * F.count("*")).alias("same"))
+
+
+def ingest_stats(children: DataFrame, parents: DataFrame) -> DataFrame:
+    """One row: ``children, parents, avg_tokens`` (0 for no chunks)."""
+    a = children.agg(F.count("*").alias("children"), F.coalesce(F.round(F.avg("token_count"), 4), F.lit(0.0)).alias("avg_tokens"))
+    return a.join(parents.agg(F.count("*").alias("parents")), F.lit(True)).select("children", "parents", "avg_tokens")  # one row each
+
+
+def to_dicts(chunks: DataFrame) -> DataFrame:
+    """Chunks as JSON objects: ``chunk``."""
+    return chunks.select(F.to_json(F.struct(*chunks.columns)).alias("chunk"))
+
+
+def from_dicts(rows: DataFrame, schema) -> DataFrame:
+    """JSON objects as chunks; what the schema does not know is dropped."""
+    return rows.select(F.from_json("chunk", schema).alias("c")).select("c.*")

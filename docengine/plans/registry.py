@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("integrity", "retrieval", "chunking", "layout", "quality", "markdown", "repair")
+MODULES = ("integrity", "retrieval", "chunking", "layout", "quality", "markdown", "repair", "documents")
 
 
 def queries() -> dict:
