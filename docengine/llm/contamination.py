@@ -9,9 +9,12 @@ of the items; a second pass joins the documents' shingles with the prefixes, app
 length and positional bounds (the window must lie within the document) and verifies the
 window word by word.
 
-Scale: the items are a stated query set and are taken in blocks of at most BLOCK_CHARS
-characters, each block against all documents; only a block travels to the tasks. Documents are not
-shuffled; each task sends on counts per shingle and matches.
+Scale: two passes over the documents, however many items there are. The tasks know the
+items only as a bitmap of BITS places, of 2 MB; a shingle whose place is set is sent on, so
+that of items with far more shingles than BITS more is sent than needed, and nothing is
+lost. Counts are summed within a task first. Prefixes and documents meet in a join by
+shingle, with no more of the document than the words around the place; items are joined to
+what is left.
 """
 
 from __future__ import annotations
@@ -21,14 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docengine.llm.words import mix, seeds
+from docengine.functions import bitmaps
+from docengine.llm.words import WordIds, mix, seeds
 
 MIN_RUN = 20
 SHINGLE = 5
-BLOCK_CHARS = 4_000_000
+SPAN = MIN_RUN - SHINGLE  # how far the last shingle of a window lies behind the first
+BITS = 1 << 24
 BATCH_WORDS = 1 << 19
 _WORD = re.compile(r"[^\W_]+")
 
@@ -39,120 +44,100 @@ def words(text: str | None) -> list[str]:
 
 
 def _shingles(ids: np.ndarray) -> np.ndarray:
-    """Hash of the SHINGLE ids from each position on; 0 where an unknown word (id 0) or
-    the end stands among them."""
+    """Hash of the SHINGLE words from each position on, the last ones left out."""
     n = len(ids) - SHINGLE + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    h, known = np.zeros(n, dtype=np.uint64), np.ones(n, dtype=bool)
+    h = np.zeros(n, dtype=np.uint64)
     for i, m in enumerate(seeds("run", SHINGLE)):
-        part = ids[i : i + n]
-        h += mix(part.astype(np.uint64) ^ m)
-        h = mix(h)
-        known &= part > 0
-    return np.where(known, h | np.uint64(1), np.uint64(0))
-
-
-class Block:
-    """Windows of a block of items. ``rare`` is set once the counts are known."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.vocabulary: dict[str, int] = {}
-        runs, owner = [], []
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            for s in range(len(ids) - MIN_RUN + 1):
-                runs.append(ids[s : s + MIN_RUN])
-                owner.append(item)
-        self.runs = np.array(runs, dtype=np.int32).reshape(-1, MIN_RUN)
-        self.owner = np.array(owner, dtype=np.int64)
-        flat = _shingles(np.append(self.runs, np.zeros((len(self.runs), 1), np.int32), axis=1).ravel()) if runs else np.zeros(0, np.uint64)
-        width = MIN_RUN + 1
-        self.sets = np.append(flat, np.zeros(len(self.runs) * width - len(flat), np.uint64)).reshape(-1, width)[:, : MIN_RUN - SHINGLE + 1]
-        self.known = np.unique(self.sets)
-
-    def choose(self, counts: dict[int, int]) -> None:
-        """Take each window's rarest shingle as its prefix."""
-        n = np.array([counts.get(int(x), 0) for x in self.known.view(np.int64)], dtype=np.int64)
-        seen = n[np.searchsorted(self.known, self.sets)]
-        self.offset = seen.argmin(axis=1)
-        prefix = self.sets[np.arange(len(self.sets)), self.offset]
-        held = seen.min(axis=1) > 0  # a window with a shingle that no document holds can't occur
-        order = np.argsort(prefix, kind="stable")
-        self.order = order[held[order]]
-        self.prefix = prefix[self.order]
-
-
-def _batches(block: Block, rows: Iterator[pd.DataFrame]):
-    """(doc ids, start of each document's words, word ids with a 0 after each document)."""
-    get = block.vocabulary.get
-    docs, ids, starts = [], [], []
+        h = mix(h + mix(ids[i : i + n] ^ m))
+    return h
+
+
+def _item_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ids = WordIds()
+    for pdf in batches:
+        out = []
+        for item, text in zip(pdf["item_id"], pdf["text"], strict=True):
+            found = words(text)
+            if len(found) >= MIN_RUN:
+                out.append((item, found, _shingles(np.array([ids[w] for w in found], dtype=np.uint64)).view(np.int64)))
+        yield pd.DataFrame(out, columns=["item_id", "words", "shingles"])
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """The places of ``h`` as packed bits; it comes to the driver in at most BITS / 65,536 containers."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"high": pdf["high"].head(1), "bits": [bitmaps.encode(np.unique(pdf["low"].to_numpy()))]})
+
+    place = F.col("h").bitwiseAND(F.lit(BITS - 1))
+    rows = hashes.select(F.shiftright(place, 16).cast("int").alias("high"), place.bitwiseAND(F.lit(bitmaps.SPAN - 1)).cast("int").alias("low")).distinct()
+    bits = np.zeros(BITS, dtype=bool)
+    for high, part in rows.groupBy("high").applyInPandas(run, "high int, bits binary").toLocalIterator():
+        bits[high * bitmaps.SPAN + bitmaps.decode(bytes(part))] = True
+    return np.packbits(bits)
+
+
+def _held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = (h & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return np.flatnonzero(bits[place >> 3] >> (7 - (place & 7)) & 1)
+
+
+def _batches(rows: Iterator[pd.DataFrame]):
+    """(doc ids, words, hash of each word, start of each document's words)."""
+    ids = WordIds()
+    get = ids.__getitem__
+    docs, flat, starts = [], [], []
     for pdf in rows:
         for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
             found = words(text)
             if len(found) < MIN_RUN:
                 continue
             docs.append(doc)
-            starts.append(len(ids))
-            ids.extend([get(w, 0) for w in found])
-            ids.append(0)
-            if len(ids) >= BATCH_WORDS:
-                yield np.array(docs, dtype=object), np.array(starts), np.array(ids, dtype=np.int32)
-                docs, ids, starts = [], [], []
+            starts.append(len(flat))
+            flat += found
+            if len(flat) >= BATCH_WORDS:
+                yield docs, flat, np.fromiter(map(get, flat), np.uint64, len(flat)), np.array(starts)
+                docs, flat, starts = [], [], []
     if docs:
-        yield np.array(docs, dtype=object), np.array(starts), np.array(ids, dtype=np.int32)
+        yield docs, flat, np.fromiter(map(get, flat), np.uint64, len(flat)), np.array(starts)
+
 
+def _hits(bits: np.ndarray, rows: Iterator[pd.DataFrame]):
+    """For each batch: document ids, words, starts, ends; of each held shingle its place, hash and document."""
+    for docs, flat, ids, starts in _batches(rows):
+        ends = np.append(starts[1:], len(flat))
+        h = _shingles(ids)
+        at = _held(bits, h)
+        doc = np.searchsorted(starts, at, side="right") - 1
+        inside = at + SHINGLE <= ends[doc]
+        yield docs, flat, starts, ends, at[inside], h[at[inside]], doc[inside]
 
-def _counts(block: Block):
+
+def _counts(bits: np.ndarray):
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(block.known), dtype=np.int64)
-        for _docs, starts, ids in _batches(block, rows):
-            h = _shingles(ids)
-            at = np.flatnonzero(h)
-            where = np.searchsorted(block.known, h[at])
-            where[where == len(block.known)] = 0
-            hit = block.known[where] == h[at]
-            doc = np.searchsorted(starts, at[hit], side="right")
-            total += np.bincount(np.unique(doc * len(block.known) + where[hit]) % len(block.known), minlength=len(block.known))
-        some = total > 0
-        yield pd.DataFrame({"shingle": block.known[some].view(np.int64), "n": total[some]})
+        for _docs, _flat, _starts, _ends, _at, h, doc in _hits(bits, rows):
+            once = np.unique(np.stack([h, doc.astype(np.uint64)], axis=1), axis=0)[:, 0]
+            shingle, n = np.unique(once, return_counts=True)
+            yield pd.DataFrame({"h": shingle.view(np.int64), "n": n})
 
     return run
 
 
-def _matches(block: Block):
+def _places(bits: np.ndarray):
+    """Where a document holds a prefix: the words from SPAN before it to MIN_RUN behind its
+    beginning, as far as the document goes; ``lead`` of them stand before it."""
+
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for docs, starts, ids in _batches(block, rows):
-            h = _shingles(ids)
-            at = np.flatnonzero(h)
-            lo, hi = np.searchsorted(block.prefix, h[at], side="left"), np.searchsorted(block.prefix, h[at], side="right")
-            many = hi - lo
-            at, lo, many = at[many > 0], lo[many > 0], many[many > 0]
-            which = block.order[np.repeat(lo - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())]
-            begin = np.repeat(at, many) - block.offset[which]
-            doc = np.searchsorted(starts, np.repeat(at, many), side="right") - 1
-            fits = (begin >= starts[doc]) & (begin + MIN_RUN < np.append(starts[1:], len(ids))[doc])
-            begin, doc, which = begin[fits], doc[fits], which[fits]
-            for part in np.array_split(np.arange(len(begin)), max(1, len(begin) // 100_000)):
-                same = (ids[begin[part, None] + np.arange(MIN_RUN)] == block.runs[which[part]]).all(axis=1)
-                p = part[same]
-                yield pd.DataFrame({"doc_id": docs[doc[p]], "item_id": block.owner[which[p]], "at": begin[p] - starts[doc[p]]}).drop_duplicates()
+        for docs, flat, starts, ends, at, h, doc in _hits(bits, rows):
+            lo, hi = np.maximum(starts[doc], at - SPAN), np.minimum(ends[doc], at + MIN_RUN)
+            around = [flat[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+            yield pd.DataFrame({"h": h.view(np.int64), "doc_id": [docs[i] for i in doc.tolist()], "at": at - starts[doc], "lead": at - lo, "around": around})
 
     return run
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    block, size = [], 0
-    for item, text in items.select("item_id", "text").where("text is not null and item_id is not null").toLocalIterator():
-        block.append((item, text))
-        size += len(text)
-        if size >= BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, windows``: documents that hold at least MIN_RUN successive words
     of an item, and how many of the document's word positions start such a run.
@@ -161,15 +146,20 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     blank texts and texts of fewer words match nothing; repeated rows count once; no
     items give no rows.
     """
-    schema = "doc_id string, item_id long, at long"
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # a nullable long comes to pandas as a float
-    out = docs.sparkSession.createDataFrame([], schema)
-    for part in _blocks(items):
-        block = Block(part)
-        if not len(block.runs):
-            continue
-        counts = docs.mapInPandas(_counts(block), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-        block.choose({s: n for s, n in counts.toLocalIterator()})
-        if len(block.order):
-            out = out.unionByName(docs.mapInPandas(_matches(block), schema))
-    return out.withColumn("doc_id", F.col("doc_id").cast("long")).groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("windows"))
+    asked = items.select("item_id", "text").where("text is not null and item_id is not null").distinct()
+    # an id with several texts stands for each of them
+    asked = asked.mapInPandas(_item_rows, "item_id long, words array<string>, shingles array<long>").withColumn("text_no", F.xxhash64("words"))
+    shingles = asked.select("item_id", "text_no", F.size("shingles").alias("size"), F.posexplode("shingles").alias("pos", "h"))
+    counts = docs.mapInPandas(_counts(_bitmap(shingles)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    # the rarest shingle of each window; one with a shingle that no document holds can't occur
+    ahead = Window.partitionBy("item_id", "text_no").orderBy("pos").rowsBetween(0, SPAN)
+    known = shingles.join(counts, "h", "left").withColumn("least", F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pos", "h")).over(ahead))
+    prefixes = known.where(F.col("pos") + SPAN < F.col("size")).where("least.n > 0").select("item_id", "text_no", F.col("pos").alias("begin"), (F.col("least.pos") - F.col("pos")).alias("offset"), F.col("least.h").alias("h"))
+    places = docs.mapInPandas(_places(_bitmap(prefixes.select("h"))), "h long, doc_id string, at int, lead int, around array<string>")
+    # positional bound: enough words before and behind the prefix
+    met = places.join(prefixes, "h").where((F.col("lead") >= F.col("offset")) & (F.size("around") - F.col("lead") >= MIN_RUN - F.col("offset")))
+    full = met.join(asked.select("item_id", "text_no", "words"), ["item_id", "text_no"])
+    same = F.expr(f"slice(around, lead - offset + 1, {MIN_RUN}) = slice(words, begin + 1, {MIN_RUN})")
+    found = full.where(same).select("doc_id", "item_id", (F.col("at") - F.col("offset")).alias("at"))
+    return found.withColumn("doc_id", F.col("doc_id").cast("long")).groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("windows"))
