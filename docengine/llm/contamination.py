@@ -133,7 +133,7 @@ def _places(bits: np.ndarray):
         for docs, flat, starts, ends, at, h, doc in _hits(bits, rows):
             lo, hi = np.maximum(starts[doc], at - SPAN), np.minimum(ends[doc], at + MIN_RUN)
             around = [flat[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-            yield pd.DataFrame({"h": h.view(np.int64), "doc_id": [docs[i] for i in doc.tolist()], "at": at - starts[doc], "lead": at - lo, "around": around})
+            yield pd.DataFrame({"h": h.view(np.int64), "doc_id": pd.Series([docs[i] for i in doc.tolist()], dtype=object), "at": at - starts[doc], "lead": at - lo, "around": pd.Series(around, dtype=object)})
 
     return run
 
