@@ -65,6 +65,21 @@ def reading_order(df: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     return out.withColumn("place", F.row_number().over(w))
 
 
+def xy_cut(df: DataFrame, by: Sequence[str], key: str, depth: int = 4) -> DataFrame:
+    """Reading order by recursive cuts: bands of y from the top, in each band columns of x,
+    in each column bands of y again, and so on ``depth`` times; what no cut parts is read
+    from the top. Adds ``place``. Unlike ``reading_order`` it reads a column to its end
+    before the next, however its lines stand to those beside them."""
+    out, path = df, []
+    for k in range(depth):
+        for axis in "yx":
+            name = f"_{axis}{k}"
+            out = bands(out, [*by, *path], f"{axis}0", f"{axis}1", name, key)
+            path.append(name)
+    w = Window.partitionBy(*by).orderBy(*path, "y0", "x0", key)
+    return out.withColumn("place", F.row_number().over(w)).drop(*path)
+
+
 def grid_rows(df: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     """Table rows from the y-centres of texts: a text that lies half the median gap or more
     below its row's first text opens the next row. Adds ``row, column`` from 0."""
@@ -80,25 +95,75 @@ def grid_rows(df: DataFrame, by: Sequence[str], key: str) -> DataFrame:
     return flat.withColumn("column", F.row_number().over(Window.partitionBy(*by, "row").orderBy("_x", key)) - 1).drop("_x")
 
 
-def spatial_pairs(a: DataFrame, b: DataFrame, by: Sequence[str], least: float) -> DataFrame:
-    """Pairs of boxes of one page with an overlap ratio above ``least``; the boxes of a and
-    b come as ``a.*`` and ``b.*``. Boxes meet in the cells of a 4 x 4 raster of the unit
-    page, so that pages of many boxes are not compared pair by pair."""
-    cell = lambda v: F.greatest(F.lit(0), F.least(F.lit(3), F.floor(v * 4).cast("int")))
+RASTER = 64  # cells of a page at most, to either side
+
+
+def touching_pairs(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Pairs of boxes of one page that meet; the boxes of a and b come as ``a.*`` and ``b.*``.
+    Boxes meet in the cells of a raster whose cells are as large as the page's boxes are on
+    average, in whatever unit, so that pages of many boxes are not compared pair by pair."""
+    corners = ["x0", "y0", "x1", "y1"]
+    size = (
+        a.select(*by, *corners).unionByName(b.select(*by, *corners)).groupBy(*by)
+        .agg(F.min("x0").alias("_left"), F.min("y0").alias("_top"), *[F.greatest(F.avg(F.col(f"{c}1") - F.col(f"{c}0")), (F.max(f"{c}1") - F.min(f"{c}0")) / RASTER, F.lit(1e-9)).alias(f"_w{c}") for c in "xy"])
+    )
+    cell = lambda v, c, side="": F.floor((v - F.col(side + ("_left" if c == "x" else "_top"))) / F.col(f"{side}_w{c}")).cast("int")
 
     def rastered(df: DataFrame) -> DataFrame:
-        return df.withColumn("_cx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1"))))).withColumn("_cy", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1")))))
+        rows = df.join(size, list(by)).where("x0 <= x1 and y0 <= y1")
+        for c in "xy":
+            rows = rows.withColumn(f"_c{c}", F.explode(F.sequence(cell(F.col(f"{c}0"), c), cell(F.col(f"{c}1"), c))))
+        return rows
 
     x, y = rastered(a).alias("a"), rastered(b).alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*by, "_cx", "_cy")]
+    cond = (F.col("a.x0") <= F.col("b.x1")) & (F.col("b.x0") <= F.col("a.x1")) & (F.col("a.y0") <= F.col("b.y1")) & (F.col("b.y0") <= F.col("a.y1"))
     # a pair is counted in the cell that holds the corner of its intersection
-    first = (F.col("a._cx") == cell(F.greatest("a.x0", "b.x0"))) & (F.col("a._cy") == cell(F.greatest("a.y0", "b.y0")))
-    cond = first & (overlap_ratio(box("a."), box("b.")) > least)
-    for c in same:
-        cond = cond & c
+    for c in "xy":
+        cond = cond & (F.col(f"a._c{c}") == cell(F.greatest(f"a.{c}0", f"b.{c}0"), c, "a."))
+    for c in (*by, "_cx", "_cy"):
+        cond = cond & (F.col(f"a.{c}") == F.col(f"b.{c}"))
     return x.join(y, cond)
 
 
+def spatial_pairs(a: DataFrame, b: DataFrame, by: Sequence[str], least: float) -> DataFrame:
+    """Pairs of boxes of one page with an overlap ratio above ``least``, as ``a.*`` and ``b.*``."""
+    return touching_pairs(a, b, by).where(overlap_ratio(box("a."), box("b.")) > least)
+
+
+def filled_blocks(blocks: DataFrame, spans: DataFrame, by: Sequence[str], key: str, least: float = 0.3) -> DataFrame:
+    """Every block with the texts that overlap it, best overlap first, then from the top:
+    ``*by, key, filled`` (null for a block without texts). A text may fill several blocks.
+    blocks: ``*by, key`` and box; spans: ``*by, text`` and box."""
+    pairs = spatial_pairs(blocks, spans, by, least)
+    order = F.struct((-overlap_ratio(box("a."), box("b."))).alias("o"), F.col("b.y0").alias("y"), F.col("b.x0").alias("x"), F.col("b.text").alias("t"))
+    told = pairs.select(*[F.col(f"a.{c}") for c in (*by, key)], order.alias("s")).groupBy(*by, key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["t"]), " ").alias("filled"))
+    return blocks.select(*by, key).join(told, [*by, key], "left")
+
+
+def texts_in_blocks(blocks: DataFrame, texts: DataFrame, by: Sequence[str], key: str, padding: float = 0.1) -> DataFrame:
+    """How many texts have their centre in each block, or where none has, in the block with
+    ``padding`` of its size around it: ``key, texts``."""
+    px, py = padding * (F.col("x1") - F.col("x0")), padding * (F.col("y1") - F.col("y0"))
+    wide = blocks.select(*by, key, *[F.col(c).alias(f"o{c}") for c in ("x0", "y0", "x1", "y1")], (F.col("x0") - px).alias("x0"), (F.col("y0") - py).alias("y0"), (F.col("x1") + px).alias("x1"), (F.col("y1") + py).alias("y1"))
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    points = texts.select(*by, x.alias("x0"), y.alias("y0"), x.alias("x1"), y.alias("y1"))
+    inside = (F.col("b.x0") >= F.col("a.ox0")) & (F.col("b.x0") <= F.col("a.ox1")) & (F.col("b.y0") >= F.col("a.oy0")) & (F.col("b.y0") <= F.col("a.oy1"))
+    near = touching_pairs(wide, points, by).groupBy(F.col(f"a.{key}").alias(key)).agg(F.count(F.when(inside, 1)).alias("inside"), F.count("*").alias("near"))
+    return blocks.select(key).join(near, key, "left").select(key, F.coalesce(F.when(F.col("inside") > 0, F.col("inside")).otherwise(F.col("near")), F.lit(0)).cast("long").alias("texts"))
+
+
+def typed_blocks(detections: DataFrame, kinds: dict[int, str], label: str, score: str, least: float = 0.2) -> DataFrame:
+    """Detections with ``kind``; low scores fall away, an unknown label is text."""
+    known = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    return detections.where(F.col(score) >= least).withColumn("kind", F.coalesce(F.try_element_at(known, F.col(label)), F.lit("text")))
+
+
+def important_image(width: Column, height: Column, least: float = 100, icon: float = 200) -> Column:
+    """Whether an image is worth a description: no side short, and no small square."""
+    ratio = width / height
+    return F.when((width < least) | (height < least), False).when((ratio > 0.8) & (ratio < 1.2) & (width < icon), False).otherwise(True)
+
+
 def markdown_row(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda c: sanitize_cell(F.coalesce(c, F.lit("")))), " | "), F.lit(" |"))
 

@@ -165,3 +165,11 @@ def to_dicts(chunks: DataFrame) -> DataFrame:
 def from_dicts(rows: DataFrame, schema) -> DataFrame:
     """JSON objects as chunks; what the schema does not know is dropped."""
     return rows.select(F.from_json("chunk", schema).alias("c")).select("c.*")
+
+
+def facets(chunks: DataFrame) -> DataFrame:
+    """How many chunks have each page, section and element type: ``facet, value, n``, in one scan."""
+    entry = lambda name, c: F.struct(F.lit(name).alias("facet"), c.cast("string").alias("value"))
+    one = F.array(entry("section", F.coalesce("section_label", F.lit("Unknown"))), entry("element_type", F.col("element_type")))
+    pages = F.transform(F.coalesce("page_nos", F.array().cast("array<int>")), lambda p: entry("page", p))
+    return chunks.select(F.explode(F.concat(one, pages)).alias("e")).groupBy("e.facet", "e.value").agg(F.count("*").alias("n"))

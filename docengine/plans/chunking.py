@@ -283,12 +283,7 @@ def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
 union all select 'element_type', element_type, count(*) from chunks group by 2""")
 def facets(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks")
-    one = lambda df, name, c: df.groupBy(F.lit(name).alias("facet"), c.cast("string").alias("value")).agg(F.count("*").alias("n"))
-    return (
-        one(chunks.select(F.explode("page_nos").alias("p")), "page", F.col("p"))
-        .unionByName(one(chunks, "section", F.coalesce("section_label", F.lit("Unknown"))))
-        .unionByName(one(chunks, "element_type", F.col("element_type")))
-    )
+    return R.facets(chunks)
 
 
 _REP = """rp as (select doc_id, page_no, cast(len(coalesce(repair_applied, [])) as integer) n, cast(len(list_filter(coalesce(repair_applied, []), lambda r: r.repair_type = 'table_repair')) as integer) t,

@@ -6,16 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docengine import pipeline
-from docengine.functions import geometry as G
 from docengine.functions import providers
 from docengine.functions import text as T
 from docengine.operators import layout as L
 from docengine.operators import markdown as M
 from docengine.operators.shapes import top_k
 from docengine.plans.chunking import _LINES, _SIZES, chunk_lines, chunk_sizes, pages
-from docengine.plans.layout import _B, boxes
+from docengine.plans.layout import _B, _PAIR, boxes
 from docengine.plans.retrieval import CURRENT
-from docengine.session import table
+from docengine.session import checkpoint, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -112,17 +111,15 @@ def template_fill(spark: SparkSession, d: str) -> DataFrame:
 @query("""select p_partkey id, case when p_size < 10 or p_retailprice / 10 < 100 then false when p_size * 10 / (p_retailprice / 10) > 0.8 and p_size * 10 / (p_retailprice / 10) < 1.2 and p_size * 10 < 200 then false else true end important from part""")
 def image_importance(spark: SparkSession, d: str) -> DataFrame:
     """Images of 100 x 100 or more that are not small squares."""
-    w, h = F.col("p_size") * 10, F.col("p_retailprice") / 10
-    ratio = w / h
-    keep = F.when((w < 100) | (h < 100), False).when((ratio > 0.8) & (ratio < 1.2) & (w < 200), False).otherwise(True)
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), keep.alias("important"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), L.important_image(F.col("p_size") * 10, F.col("p_retailprice") / 10).alias("important"))
 
 
-@query(f"""with {_B}, m(cls, kind) as (values (0, 'title'), (1, 'text'), (3, 'image'), (4, 'caption'), (5, 'table'), (6, 'footnote')) select id, kind from b join m on m.cls = b.id % 8 where score / 2000 >= 0.2""")
+@query(f"""with {_B}, m(cls, kind) as (values (0, 'title'), (1, 'text'), (3, 'image'), (4, 'caption'), (5, 'table'), (6, 'footnote')) select id, coalesce(kind, 'text') kind from b left join m on m.cls = b.id % 8 where score / 2000 >= 0.2""")
 def detection_types(spark: SparkSession, d: str) -> DataFrame:
-    """Detections as typed blocks: unknown classes and low scores fall away."""
-    kinds = F.create_map(*[F.lit(x) for pair in {0: "title", 1: "text", 3: "image", 4: "caption", 5: "table", 6: "footnote"}.items() for x in pair])
-    return boxes(spark, d).where(F.col("score") / 2000 >= 0.2).select("id", kinds[(F.col("id") % 8).cast("int")].alias("kind")).where("kind is not null")
+    """Detections as typed blocks: low scores fall away, unknown classes are text."""
+    kinds = {0: "title", 1: "text", 3: "image", 4: "caption", 5: "table", 6: "footnote"}
+    rows = boxes(spark, d).withColumn("score", F.col("score") / 2000).withColumn("label", (F.col("id") % 8).cast("int"))
+    return L.typed_blocks(rows, kinds, "label", "score").select("id", "kind")
 
 
 @query(f"""with {_B}, t as (select id t_id, page, (x0 + x1) / 2 cx, (y0 + y1) / 2 cy from b where id % 2 = 1), a as (select * from b where id % 2 = 0),
@@ -133,14 +130,15 @@ select a.id, cast(coalesce(case when n_in > 0 then n_in else n_near end, 0) as b
 def native_text_fill(spark: SparkSession, d: str) -> DataFrame:
     """Texts inside each block, or where there are none inside it with a tenth of padding."""
     b = boxes(spark, d)
-    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    texts = b.where("id % 2 = 1").select(F.col("page"), x.alias("cx"), y.alias("cy"))
-    blocks = b.where("id % 2 = 0")
-    px, py = 0.1 * (F.col("x1") - F.col("x0")), 0.1 * (F.col("y1") - F.col("y0"))
-    point = G.Box(F.col("cx"), F.col("cy"), F.col("cx"), F.col("cy"))
-    wide = G.Box(F.col("x0") - px, F.col("y0") - py, F.col("x1") + px, F.col("y1") + py)
-    near = blocks.join(texts, "page").where(G.contains(wide, point)).groupBy("id").agg(F.count(F.when(G.contains(G.box(), point), 1)).alias("inside"), F.count("*").alias("near"))
-    return blocks.select("id").join(near, "id", "left").select("id", F.coalesce(F.when(F.col("inside") > 0, F.col("inside")).otherwise(F.col("near")), F.lit(0)).cast("long").alias("texts"))
+    return L.texts_in_blocks(b.where("id % 2 = 0"), b.where("id % 2 = 1"), ["page"], "id")
+
+
+@query(f"""with {_B}, r as (select a.id, b2.id o, {_PAIR} / least((a.x1 - a.x0) * (a.y1 - a.y0), (b2.x1 - b2.x0) * (b2.y1 - b2.y0)) s, b2.y0, b2.x0 from b a join b b2 on a.page = b2.page and a.id % 2 = 0 and b2.id % 2 = 1)
+select b.page, b.id, t.filled from b left join (select id, count(*) n, string_agg('t' || o, ' ' order by s desc, y0, x0, 't' || o) filled from r where s > 0.3 group by 1) t on t.id = b.id where b.id % 2 = 0""")
+def block_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Every block with the texts that overlap it."""
+    b = boxes(spark, d)
+    return L.filled_blocks(b.where("id % 2 = 0"), b.where("id % 2 = 1").withColumn("text", F.concat(F.lit("t"), F.col("id").cast("string"))), ["page"], "id")
 
 
 @query(None)
@@ -151,13 +149,21 @@ def embed_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def pipeline_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """The documents through the chunker."""
-    children, _ = pipeline.chunk(table(spark, d, "documents").select("doc_id", "text"))
-    return children.select("doc_id", "chunk_id", "section_label", "tokens", "element_type")
+    """The documents through repair, elements, sizes and merging."""
+    children, _ = pipeline.process_documents(table(spark, d, "documents").select("doc_id", "text"))
+    return children.select("doc_id", "chunk_id", "parent_id", "section_label", "tokens", "element_type")
+
+
+@query(None)
+def pipeline_parents(spark: SparkSession, d: str) -> DataFrame:
+    """The parents of the documents' chunks."""
+    _, parents = pipeline.process_documents(table(spark, d, "documents").select("doc_id", "text"))
+    return parents.select("doc_id", "parent_id", "parent_type", "child_ids", "page_nos", "tokens")
 
 
 @query(None)
 def pipeline_query(spark: SparkSession, d: str) -> DataFrame:
-    """One question through chunking, indexing, search, reranking and packing."""
-    children, _ = pipeline.chunk(table(spark, d, "documents").select("doc_id", "text"))
-    return pipeline.query(pipeline.index(children), children, "debt service coverage of the borrower").select("rank", "chunk_id", "relevance", "kept")
+    """Questions through chunking, indexing, search, reranking and context assembly."""
+    children, parents = (checkpoint(x) for x in pipeline.process_documents(table(spark, d, "documents").select("doc_id", "text")))
+    questions = spark.createDataFrame([("q1", "debt service coverage of the borrower"), ("q2", "insurance of the collateral")], "question_id string, question string")
+    return pipeline.answer_context(pipeline.index(children), children, parents, questions).select("question_id", "place", "kind", "chunk_id", "tokens", "kept")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from docengine.operators.shapes import latest
-from docengine.session import _shared_folder
+from docengine.session import scratch_folder
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, max_files: int = 16) -> DataFrame:
@@ -29,7 +28,7 @@ def append_batches(stream: DataFrame, path: str, state: str):
 
 def stream_latest(spark: SparkSession, path: str, schema: StructType, key: Sequence[str], version: str) -> DataFrame:
     """Read a folder or file to its end as a stream, and give the last row of each key."""
-    folder = f"{_shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "stream")
     append_batches(file_stream(spark, path, schema), f"{folder}/rows", f"{folder}/state").awaitTermination()
     rows = spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
     return latest(rows, key, F.desc_nulls_last(version), F.desc("batch")).drop("batch")

@@ -57,3 +57,28 @@ def test_model_markdown_query_keeps_brackets_and_backticks(spark, tmp_path):
     got = {r["doc_id"]: r["cleaned_md5"] for r in model_markdown(spark, str(tmp_path)).collect()}
     want = {1: "see [1] and `x`", 2: "a\nselect 1\nb", 3: "a | b | c", 4: "plain"}
     assert got == {i: md5(f"# memo\n\n{t}".encode()).hexdigest() for i, t in want.items()}
+
+
+def test_process_documents(spark):
+    table = ["| n | v |", "| --- | --- |", *[f"| r{i} | {i} |" for i in range(30)]]
+    prose = " ".join(f"Sentence number {i} of the long section says a little." for i in range(80))
+    text = "\n".join(["-- page 1 --", "# Terms", "Short lead.", "", *table, "", "- item a", "* item b", "  and more", "-- page 2 --", "## Risks", prose, "[IMAGE]", "a chart", "", "its note", "[/IMAGE]", "tail"])
+    docs = spark.createDataFrame([("d", text, 1), ("d", text, 1), ("n", None, 2), ("e", "", 3)], "doc_id string, text string, ord int")
+    children, parents = pipeline.process_documents(docs)
+    rows = children.orderBy("ord").collect()
+    kinds = [r["element_type"] for r in rows]
+    tables = [r for r in rows if "| n | v |" in r["text"]]
+    assert len(tables) == 2 and all("| --- | --- |" in r["text"] for r in tables) and "| r18 | 18 |" in tables[0]["text"] and "| r18 | 18 |" in tables[1]["text"]
+    assert sum(r["text"].count("| r5 | 5 |") for r in rows) == 1 and any("- item a\n- item b and more" in r["text"] for r in rows)
+    windows = [r for r in rows if "Sentence number" in r["text"]]
+    assert len(windows) >= 2 and all(r["tokens"] <= 2048 for r in rows) and all(f"Sentence number {i} " in "".join(r["text"] for r in windows) for i in range(80))
+    assert any("[IMAGE]\na chart\n\nits note\n[/IMAGE]" in r["text"] for r in rows) and {"mixed"} <= set(kinds)
+    ids = [r["chunk_id"] for r in rows]
+    held = {r["parent_id"]: r for r in parents.collect()}
+    assert len(set(ids)) == len(ids) and {r["doc_id"] for r in rows} == {"d"}
+    assert sorted(c for p in held.values() for c in p["child_ids"]) == sorted(ids) and all(r["chunk_id"] in held[r["parent_id"]]["child_ids"] for r in rows)
+    assert {p["parent_type"] for p in held.values()} == {"heading_based"}
+    questions = spark.createDataFrame([("q", "a chart and its note")], "question_id string, question string")
+    packs = pipeline.answer_context(pipeline.index(children), children, parents, questions).orderBy("place").collect()
+    assert packs[0]["kind"] == "primary" and any("a chart" in r["text"] for r in packs) and any(r["kind"] == "parent" for r in packs)
+    assert len({r["chunk_id"] for r in packs}) == len(packs)
