@@ -236,9 +236,11 @@ def duplicate_classes(chunks: DataFrame, shingle: int = 3, threshold: float = 0.
     """``chunk_id, class_id, links``: every chunk with a text of at least 2 * min_words - 1
     characters, its class and the number of different texts similar to its own. Chunks of
     one class are joined by a chain of similar texts; a class is named by its smallest
-    text hash. Copies of a text share its row of links."""
+    chunk id. Copies of a text share its row of links."""
     members = chunk_members(chunks, min_words)
     links = checkpoint(similar_texts(members, shingle, threshold, min_words).select("a", "b"))
     count = links.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count("*").alias("links"))
     rows = members.select("chunk_id", "tid").distinct().join(components(links).withColumnRenamed("node", "tid"), "tid", "left").join(count, "tid", "left")
-    return rows.select("chunk_id", F.coalesce("label", "tid").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    rows = rows.select("chunk_id", F.coalesce("label", "tid").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+    names = rows.groupBy("label").agg(F.min("chunk_id").alias("class_id"))
+    return rows.join(names, "label").select("chunk_id", "class_id", "links")

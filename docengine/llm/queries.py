@@ -95,6 +95,13 @@ QUERIES = {
     "p8_restored": p8_restored,
 }
 
+_P1 = r"""
+with c as (select distinct chunk_id, coalesce(raw_md_fragment, regexp_extract(text_for_embedding, '(?s)\A.*?\n[ \t\r]*\n(.*)\z', 1)) t from chunks),
+w as (select chunk_id, regexp_extract_all(lower(t), '[a-z0-9]+') w from c),
+s as (select distinct chunk_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] g from (select chunk_id, w, unnest(range(1, len(w) - 1)) i from w where len(w) >= 30)),
+n as (select chunk_id, count(*) n from s group by 1),
+b as (select x.chunk_id a, y.chunk_id b, count(*) m from s x join s y on x.g = y.g and x.chunk_id < y.chunk_id group by 1, 2)
+select b.a chunk_id_a, b.b chunk_id_b from b join n p on p.chunk_id = b.a join n q on q.chunk_id = b.b where m >= 0.6 * (p.n + q.n - m) - 1e-9"""
 _P7 = r"""
 with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from documents where text is not null),
 i as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from eval_items where text is not null),
@@ -104,13 +111,20 @@ select doc_id, item_id, count(distinct s) windows from dw join iw using (g) grou
 """
 
 ORACLE: dict[str, str] = {
-    "p1_found": r"""
-with c as (select distinct chunk_id, coalesce(raw_md_fragment, regexp_extract(text_for_embedding, '(?s)\A.*?\n[ \t\r]*\n(.*)\z', 1)) t from chunks),
-w as (select chunk_id, regexp_extract_all(lower(t), '[a-z0-9]+') w from c),
-s as (select distinct chunk_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] g from (select chunk_id, w, unnest(range(1, len(w) - 1)) i from w where len(w) >= 30)),
-n as (select chunk_id, count(*) n from s group by 1),
-b as (select x.chunk_id a, y.chunk_id b, count(*) m from s x join s y on x.g = y.g and x.chunk_id < y.chunk_id group by 1, 2)
-select b.a chunk_id_a, b.b chunk_id_b from b join n p on p.chunk_id = b.a join n q on q.chunk_id = b.b where m >= 0.6 * (p.n + q.n - m) - 1e-9""",
+    "p1_found": _P1,
+    "p1_classes": r"""
+with recursive c as (select distinct chunk_id, coalesce(raw_md_fragment, regexp_extract(text_for_embedding, '(?s)\A.*?\n[ \t\r]*\n(.*)\z', 1)) t from chunks where chunk_id is not null),
+d as (select chunk_id, t, min(chunk_id) over (partition by t) rep from c where length(t) >= 59),
+w as (select distinct rep, regexp_extract_all(lower(t), '[a-z0-9]+') w from d),
+s as (select distinct rep, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] g from (select rep, w, unnest(range(1, len(w) - 1)) i from w where len(w) >= 30)),
+n as (select rep, count(*) n from s group by 1),
+b as (select x.rep a, y.rep b, count(*) m from s x join s y on x.g = y.g and x.rep <> y.rep group by 1, 2),
+e as (select b.a, b.b from b join n p on p.rep = b.a join n q on q.rep = b.b where m >= 0.6 * (p.n + q.n - m) - 1e-9),
+r as (select rep a, rep b from d union select r.a, e.b from r join e on e.a = r.b),
+k as (select a rep, min(b) cls from r group by 1),
+l as (select a rep, count(*) links from e group by 1),
+x as (select d.chunk_id, k.cls, coalesce(l.links, 0) links from d join k using (rep) left join l using (rep))
+select distinct chunk_id, min(chunk_id) over (partition by cls) class_id, links from x""",
     "p3_found": """
 with u as (select namespace ns, id, values::double[] v from vector_records where coalesce(id, '') <> '' and len(values) = 64
   and len(list_filter(values, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(values, lambda x: x <> 0)) > 0
