@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docengine.llm.automaton import Automata
@@ -109,6 +109,8 @@ def shows_page(text: str, page_no: int) -> bool:
 def running_part(line: str, page_no: int) -> tuple[str, bool]:
     """A line without its page number, and whether it shows one."""
     line = line.strip()
+    if len(line) > 60 and "   " not in line and "\t" not in line:  # text
+        return line, False
     if shows_page(line, page_no):
         return "", True
     parts = re.split(r"\s{3,}", line)
@@ -406,7 +408,8 @@ def _looked_up(vocabulary: dict[str, int], common: int):
     options among which its places are to be ranked. A common word has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie, automata = Trie(vocabulary), Automata(vocabulary, MISREAD)
+        # a word too rare to outweigh any other by an unusual edit need not be sought by one
+        trie, automata = Trie(vocabulary), Automata([w for w, n in vocabulary.items() if n >= RATIO * GENERIC], MISREAD)
 
         def asked(part: str) -> bool:
             n = vocabulary.get(part, 0)
@@ -549,8 +552,10 @@ def _marks_and_rests(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     pages = pages.select("doc_id", "page_no", "raw_lines").where("doc_id is not null and page_no is not null and size(raw_lines) > 0")
     seen = checkpoint(pages.mapInPandas(_read, _SEEN))
     words = seen.where("zone is null").select(F.xxhash64("doc_id", "key").alias("class"), "word", "n")
-    file_words = checkpoint(words.repartition("class").groupBy("class", "word").agg(F.sum("n").alias("n")))  # class: file and confusion class
-    counts = checkpoint(file_words.groupBy("word").agg(F.sum("n").alias("n")))
+    counts = checkpoint(words.groupBy("word").agg(F.sum("n").alias("n")))
+    # class: file and confusion class; only words that share theirs with another can be meant for each other
+    file_words = words.repartition("class").groupBy("class", "word").agg(F.sum("n").alias("n")).withColumn("rivals", F.count("*").over(Window.partitionBy("class"))).where("rivals > 1")
+    file_words = checkpoint(file_words.select("class", "word", "n"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(3, VOCABULARY * total)
     vocabulary = {r["word"]: r["n"] for r in counts.where(F.col("n") >= least).toLocalIterator()}
