@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from collections.abc import Callable
 
 import numpy as np
@@ -35,3 +37,37 @@ def embed(df: DataFrame, text: str, width: int = 64, name: str = "values") -> Da
     """Adds the vectors; each distinct text goes through the model once."""
     each = df.select(text).where(F.col(text).isNotNull()).distinct().withColumn(name, embedding(F.col(text), width))
     return df.join(each, text, "left")
+
+
+def provided(rows: DataFrame, column: str, call, returns: str = "string", batch: int = 100, retries: int = 3, wait: float = 1.0) -> DataFrame:
+    """The answers of a model to a column, as ``answer``: the seam for text generation,
+    vision, OCR and layout models.
+
+    ``call`` takes a list of values, texts or bytes, and gives as many answers; it is called
+    in the tasks, with at most ``batch`` values. A call that fails is tried again after
+    ``wait`` * 2^k seconds, ``retries`` times; a batch that still fails has null answers and
+    the job goes on. Null values are not asked and have null answers. Equal values of a
+    batch are asked once.
+    """
+
+    def ask(values: list) -> list:
+        for k in range(retries + 1):
+            try:
+                answers = list(call(values))
+                if len(answers) != len(values):
+                    raise ValueError(f"{len(answers)} answers to {len(values)} values")
+                return answers
+            except Exception:  # noqa: BLE001  whatever a model's client raises
+                if k < retries:
+                    time.sleep(wait * 2**k)
+        return [None] * len(values)
+
+    @F.pandas_udf(returns)
+    def run(values: pd.Series) -> pd.Series:
+        known = list(dict.fromkeys(v for v in values if v is not None))
+        told: dict = {}
+        for i in range(0, len(known), batch):
+            told |= dict(zip(known[i : i + batch], ask(known[i : i + batch]), strict=True))
+        return pd.Series([told.get(v) for v in values], dtype=object)
+
+    return rows.withColumn("answer", run.asNondeterministic()(F.col(column)))

@@ -62,3 +62,12 @@ def extraction_queries(fields: DataFrame) -> DataFrame:
 def first_amount(text: Column) -> Column:
     """The first amount of money in a text; null without one."""
     return F.nullif(F.regexp_extract(text, r"([$€£]\s?[0-9][0-9,]*(?:\.[0-9]+)?)", 1), F.lit(""))
+
+
+def extracted(packs: DataFrame, by: Sequence[str], value: Column) -> DataFrame:
+    """The first value that the kept chunks of each pack hold, in the pack's order: ``*by,
+    value, chunk_id``; a pack without one has nulls. packs: ``*by, place, chunk_id, kept`` and
+    what ``value`` reads."""
+    rows = packs.withColumn("_v", F.when(F.col("kept"), value))
+    first = F.min(F.when(F.col("_v").isNotNull(), F.struct("place", "_v", "chunk_id")))
+    return rows.groupBy(*by).agg(first.alias("_f")).select(*by, F.col("_f._v").alias("value"), F.col("_f.chunk_id").alias("chunk_id"))

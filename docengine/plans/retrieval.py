@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docengine.functions import text as T
 from docengine.operators import context as X
 from docengine.operators import retrieval as R
+from docengine.operators import template as E
 from docengine.operators.shapes import latest, top_k
 from docengine.session import table
 
@@ -256,3 +257,13 @@ def context_trace(spark: SparkSession, d: str) -> DataFrame:
     """What was added to each pack and what did not fit."""
     rows = X.context_trace(_packs(spark, d), ["run_id", "field_id"])
     return rows.withColumn("added", F.array_join("added", ",")).withColumn("dropped", F.array_join("dropped", ","))
+
+
+@query(f"""with recursive {_PACK}, tx as (select chunk_id, text_for_embedding t from cur union all select chunk_id, text_for_embedding from (select * from parent_chunks where text_for_embedding is not null and chunk_id is not null qualify row_number() over (partition by chunk_id order by ingested_at desc nulls last, line_end desc nulls last) = 1)),
+va as (select f.run_id, f.field_id, f.rn, f.chunk_id, nullif(regexp_extract(tx.t, '([$€£]\\s?[0-9][0-9,]*(?:\\.[0-9]+)?)', 1), '') v from f join tx using (chunk_id) where f.kept)
+select p.run_id, p.field_id, x.v as value, x.chunk_id from (select distinct run_id, field_id from f) p left join (select run_id, field_id, arg_min(v, rn) v, arg_min(chunk_id, rn) chunk_id from va where v is not null group by 1, 2) x using (run_id, field_id)""")
+def field_values(spark: SparkSession, d: str) -> DataFrame:
+    """The first amount in each field's pack, with the chunk that holds it."""
+    hits, chunks, parents = pool(spark, d)
+    texts = chunks.select("chunk_id", "text").unionByName(parents.select("chunk_id", "text"))
+    return E.extracted(_packs(spark, d).join(texts, "chunk_id"), ["run_id", "field_id"], E.first_amount(F.col("text")))
