@@ -22,8 +22,8 @@ Scale: pages are never gathered by file. Word counts, edge lines and suspicious
 small derived tables that are grouped and joined by key; each distinct suspicious word is
 looked up once. Only the vocabulary travels to the tasks; a word must make up VOCABULARY
 of all words to be in it, so it has at most 1 / VOCABULARY entries. The pairs to be counted
-travel as a set of at most PAIR_BITS hashes; where they are more, more pairs are counted
-than asked for. The words of a file are not broadcast; they are joined by file and
+travel as a table of PAIR_BITS places; where they are more, more pairs are counted
+than asked for. Words for which nothing can be meant are left out while reading, by two such tables. The words of a file are not broadcast; they are joined by file and
 confusion class.
 """
 
@@ -322,9 +322,47 @@ def _odd(core: str) -> bool:
 _MARKS = "doc_id string, page_no int, line_no int, kind string, word string, left string, right string, joined long"
 
 
-def _suspects(vocabulary: dict[str, int], common: int, dubious: set[str]):
+def _place(h: int) -> int:
+    """Place of a hash in a table of PAIR_BITS, as Spark's pmod of the signed one."""
+    return (h - (1 << 64) if h >> 63 else h) % PAIR_BITS
+
+
+def _touched(vocabulary: dict[str, int]):
+    """Places of the words that have any candidate in the vocabulary."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trie, automata = Trie(vocabulary), Automata([w for w, n in vocabulary.items() if n >= RATIO * GENERIC], MISREAD)
+        for pdf in batches:
+            words = pdf["word"].tolist()
+            some = [w for w, near in zip(words, automata.candidates(words), strict=True) if near or trie.candidates(w)]
+            yield pd.DataFrame({"place": np.unique(np.array([_place(xxhash.xxh64_intdigest(w)) for w in some], dtype=np.int64))})
+
+    return run
+
+
+def _bits(places: DataFrame) -> np.ndarray:
+    """Places as packed bits."""
+    bits = np.zeros(PAIR_BITS, dtype=bool)
+    for (place,) in places.distinct().toLocalIterator():
+        bits[place] = True
+    return np.packbits(bits)
+
+
+def _at(bits: np.ndarray, place: int) -> bool:
+    return bool(bits[place >> 3] >> (7 - (place & 7)) & 1)
+
+
+def _suspects(vocabulary: dict[str, int], common: int, dubious: set[str], touched: np.ndarray, rivals: np.ndarray):
     """Broken words, and words and pairs that may be misread: kinds ``break``, ``number``,
-    ``word`` and ``pair``. ``dubious`` are common words that a file may have for others."""
+    ``word`` and ``pair``. ``dubious`` are common words that a file may have for others. Of
+    words those are given for which something may be meant: a part has a candidate in the
+    vocabulary (``touched``) or shares its confusion class with another word of its file
+    (``rivals``), or figures stand among its letters. Both are tables of places, so that a
+    few other words are given too."""
+
+    def class_place(doc: str, part: str) -> int:
+        key = xxhash.xxh64_intdigest(part.translate(_CLASS), 42)
+        return _place(xxhash.xxh64_intdigest(key.to_bytes(8, "little"), xxhash.xxh64_intdigest(doc, 42)))  # as Spark's xxhash64 of both
 
     def known(core: str) -> bool:
         low = core.lower()
@@ -354,12 +392,16 @@ def _suspects(vocabulary: dict[str, int], common: int, dubious: set[str]):
                 kind, text = "number", fixed
             elif any(map(str.isalpha, core)) and not _CODE.fullmatch(core) and not _NUMBER.fullmatch(core):
                 kind, text = "word", core
+                parts = [p for p in core.lower().split("-") if len(p) > 1]
+                if not (_odd(core) or any(_odd(p) or not p.isalpha() and any(map(str.isdigit, p)) for p in parts) or any(_at(touched, _place(xxhash.xxh64_intdigest(p))) for p in parts)):
+                    kind = "rare"
         half = head[-1:] in "0123456789," and "," in head and _HALF_NUMBER.fullmatch(head) is not None and not _NUMBER.fullmatch(head)
         return kind, text, head_of.get(head.lower(), -1) if core and head[-1:].isalpha() else -1, tail_of.get(tail.lower(), -1) if core and tail[:1].isalpha() else -1, half and bool(core), tail[:1].isdigit() and bool(core)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         numbers = Numbers()
         verdicts: list[tuple] = []
+        asked: dict[tuple[str, str], bool] = {}
         for pdf in batches:
             flat = Flat(pdf["raw_lines"].tolist())
             at, tokens = numbers.of(flat.tokens), flat.tokens
@@ -375,6 +417,15 @@ def _suspects(vocabulary: dict[str, int], common: int, dubious: set[str]):
             for i in np.flatnonzero(odd[at] & ~flat.piece).tolist() if len(at) else ():
                 kind, text = verdicts[at[i]][:2]
                 k = line[i]
+                if kind == "rare":
+                    here = (docs[flat.row[k]], text)
+                    if (yes := asked.get(here)) is None:
+                        if len(asked) > 500_000:
+                            asked.clear()
+                        yes = asked[here] = any(_at(rivals, class_place(here[0], p)) for p in text.lower().split("-") if len(p) > 1)
+                    if not yes:
+                        continue
+                    kind = "word"
                 if kind == "number":
                     out.append((*where(k), kind, core(i), text, "", 0))
                 else:
@@ -472,8 +523,7 @@ def _pairs(candidates: set[str], bits: np.ndarray):
             out = []
             for p, m in zip(pair.tolist(), n.tolist(), strict=True):
                 x, y = core.tokens[p >> 32], core.tokens[p & 0xFFFFFFFF]
-                h = xxhash.xxh64_intdigest(f"{x}\t{y}", 42)
-                if bits[(h - (1 << 64) if h >> 63 else h) % PAIR_BITS]:
+                if bits[_place(xxhash.xxh64_intdigest(f"{x}\t{y}", 42))]:
                     out.append((x, y, m))
             yield pd.DataFrame(out, columns=["a", "b", "n"])
 
@@ -568,7 +618,9 @@ def _marks_and_rests(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     edges = checkpoint(edge_lines(seen.where("zone is not null").drop("word", "n", "key")))
     furniture = edges.where("furniture").select("doc_id", "page_no", "line_no").distinct()
-    suspects = checkpoint(pages.mapInPandas(_suspects(vocabulary, common, dubious), _MARKS).join(furniture, ["doc_id", "page_no", "line_no"], "left_anti"))
+    touched = _bits(counts.where(F.col("n") < common).mapInPandas(_touched(vocabulary), "place long"))
+    rivals = _bits(file_words.select(F.pmod("class", F.lit(PAIR_BITS)).alias("place")))
+    suspects = checkpoint(pages.mapInPandas(_suspects(vocabulary, common, dubious, touched, rivals), _MARKS).join(furniture, ["doc_id", "page_no", "line_no"], "left_anti"))
 
     # a broken word goes on in the next text line of the page or in the first one of the next page
     breaks = suspects.where("kind = 'break'")
