@@ -117,17 +117,18 @@ _COVER = f"""{_B}, px as (select page, id % 2 side, cast(floor(x0 * 1000) as int
 xs as (select page, v, lead(v) over (partition by page order by v) w from (select distinct page, v from (select page, x0 v from px union all select page, x1 from px))),
 ys as (select page, v, lead(v) over (partition by page order by v) w from (select distinct page, v from (select page, y0 v from px union all select page, y1 from px))),
 ce as (select xs.page, xs.v x, ys.v y, (xs.w - xs.v) * (ys.w - ys.v) area, bool_or(px.side = 0) n, bool_or(px.side = 1) s from xs join ys on xs.page = ys.page join px on px.page = xs.page and px.x0 <= xs.v and px.x1 >= xs.w and px.y0 <= ys.v and px.y1 >= ys.w where xs.w is not null and ys.w is not null group by all),
-st as (select page, cast(coalesce(sum(area) filter (n and s), 0) as bigint) common, cast(sum(area) as bigint) covered from ce group by 1)"""
+st as (select page, cast(coalesce(sum(area) filter (n and s), 0) as bigint) common, cast(sum(area) as bigint) covered from ce group by 1),
+sy as (select st.*, case when common / covered < 0.6 and page in (select page from px where side = 1) then 'HI_RES' else 'FAST' end strategy from st)"""
 
 
-@query(f"with {_COVER} select page, common, covered, case when common / covered < 0.6 then 'HI_RES' else 'FAST' end strategy from st")
+@query(f"with {_COVER} select page, common, covered, strategy from sy")
 def page_strategy(spark: SparkSession, d: str) -> DataFrame:
     """Pages on which native and seen text do not cover the same places."""
     b = boxes(spark, d)
     return L.page_strategies(b.where("id % 2 = 0"), b.where("id % 2 = 1"), ["page"])
 
 
-@query(f"with {_COVER}, pg as (select page % 7 doc, case when common / covered < 0.6 then 'HI_RES' else 'FAST' end strategy from st) select doc, case when avg(case when strategy = 'HI_RES' then 1.0 else 0.0 end) > 0.2 then 'HI_RES' else 'FAST' end strategy from pg group by 1")
+@query(f"with {_COVER}, pg as (select page % 7 doc, strategy from sy) select doc, case when avg(case when strategy = 'HI_RES' then 1.0 else 0.0 end) > 0.2 then 'HI_RES' else 'FAST' end strategy from pg group by 1")
 def doc_strategy(spark: SparkSession, d: str) -> DataFrame:
     b = boxes(spark, d)
     rows = L.page_strategies(b.where("id % 2 = 0"), b.where("id % 2 = 1"), ["page"]).withColumn("doc", F.col("page") % 7)
