@@ -360,6 +360,14 @@ def _suspects(vocabulary: dict[str, int], common: int, dubious: set[str], touche
     (``rivals``), or figures stand among its letters. Both are tables of places, so that a
     few other words are given too."""
 
+    tries: list = []  # made in the task
+
+    def hopeful(part: str) -> bool:
+        """Whether a part with signs, which is not counted as a word, has any candidate."""
+        if not tries:
+            tries.extend((Trie(vocabulary), Automata([w for w, n in vocabulary.items() if n >= RATIO * GENERIC], MISREAD)))
+        return bool(tries[0].candidates(part)) or bool(tries[1].candidates([part])[0])
+
     def class_place(doc: str, part: str) -> int:
         key = xxhash.xxh64_intdigest(part.translate(_CLASS), 42)
         return _place(xxhash.xxh64_intdigest(key.to_bytes(8, "little"), xxhash.xxh64_intdigest(doc, 42)))  # as Spark's xxhash64 of both
@@ -393,7 +401,7 @@ def _suspects(vocabulary: dict[str, int], common: int, dubious: set[str], touche
             elif any(map(str.isalpha, core)) and not _CODE.fullmatch(core) and not _NUMBER.fullmatch(core):
                 kind, text = "word", core
                 parts = [p for p in core.lower().split("-") if len(p) > 1]
-                if not (_odd(core) or any(_odd(p) or not p.isalpha() and any(map(str.isdigit, p)) for p in parts) or any(_at(touched, _place(xxhash.xxh64_intdigest(p))) for p in parts)):
+                if not (_odd(core) or any(_odd(p) or (_at(touched, _place(xxhash.xxh64_intdigest(p))) if p.isalpha() else hopeful(p)) for p in parts)):
                     kind = "rare"
         half = head[-1:] in "0123456789," and "," in head and _HALF_NUMBER.fullmatch(head) is not None and not _NUMBER.fullmatch(head)
         return kind, text, head_of.get(head.lower(), -1) if core and head[-1:].isalpha() else -1, tail_of.get(tail.lower(), -1) if core and tail[:1].isalpha() else -1, half and bool(core), tail[:1].isdigit() and bool(core)
