@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from docengine.functions import bitmaps
 from docengine.llm.words import WordIds, mix, seeds
+from docengine.session import checkpoint
 
 MIN_RUN = 20
 SHINGLE = 5
@@ -156,6 +157,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     ahead = Window.partitionBy("item_id", "text_no").orderBy("pos").rowsBetween(0, SPAN)
     known = shingles.join(counts, "h", "left").withColumn("least", F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pos", "h")).over(ahead))
     prefixes = known.where(F.col("pos") + SPAN < F.col("size")).where("least.n > 0").select("item_id", "text_no", F.col("pos").alias("begin"), (F.col("least.pos") - F.col("pos")).alias("offset"), F.col("least.h").alias("h"))
+    prefixes = checkpoint(prefixes)  # both the bitmap and the join read them
     places = docs.mapInPandas(_places(_bitmap(prefixes.select("h"))), "h long, doc_id string, at int, lead int, around array<string>")
     # positional bound: enough words before and behind the prefix
     met = places.join(prefixes, "h").where((F.col("lead") >= F.col("offset")) & (F.size("around") - F.col("lead") >= MIN_RUN - F.col("offset")))

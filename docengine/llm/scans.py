@@ -365,8 +365,8 @@ def _suspects(vocabulary: dict[str, int], common: int, dubious: set[str], touche
     def hopeful(part: str) -> bool:
         """Whether a part with signs, which is not counted as a word, has any candidate."""
         if not tries:
-            tries.extend((Trie(vocabulary), Automata([w for w, n in vocabulary.items() if n >= RATIO * GENERIC], MISREAD)))
-        return bool(tries[0].candidates(part)) or bool(tries[1].candidates([part])[0])
+            tries.append(Trie(vocabulary))
+        return bool(tries[0].candidates(part))
 
     def class_place(doc: str, part: str) -> int:
         key = xxhash.xxh64_intdigest(part.translate(_CLASS), 42)
@@ -489,7 +489,7 @@ def _looked_up(vocabulary: dict[str, int], common: int):
                     own = max(vocabulary.get(low, 0), n if alone else 0)
                     usual = trie.candidates(low)
                     good = [(vocabulary[c] / 12.0**k, c, False) for c, k in usual.items() if not low.isalpha() or vocabulary[c] >= RATIO * own]
-                    if alone and not good:  # a word must be long enough for an unusual edit to say anything
+                    if alone and not good and low.isalpha():  # a word must be long enough for an unusual edit to say anything
                         good = [(vocabulary[c] / (12.0 * GENERIC) ** k, c, True) for c, k in near[low].items() if c not in usual and len(low) >= 3 * k + 2 and vocabulary[c] >= RATIO * GENERIC**k * max(1, own)]
                     good.sort(reverse=True)
                     if alone:
