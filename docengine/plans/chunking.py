@@ -237,7 +237,7 @@ def section_label(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ROLL = """select doc_id, cast(parent_run as bigint) parent_run, min(first_page) first_page, max(last_page) last_page, min(line_start) line_start, max(line_end) line_end, string_agg(chunk_id, ',' order by ord, chunk_id) children,
- arg_min(header_path, {'o': ord, 'c': chunk_id}) filter (header_path is not null) any_path, count(*) child_count, cast(ceil(length(string_agg(text, chr(10) || chr(10) order by ord, chunk_id)) / 4.0) as integer) tokens from pr group by 1, 2"""
+ list(header_path order by ord, chunk_id)[1] header_path, count(*) child_count, cast(ceil(length(string_agg(text, chr(10) || chr(10) order by ord, chunk_id)) / 4.0) as integer) tokens from pr group by 1, 2"""
 _SOFT = """la as (select *, case when starts_with(section_label, 'Untitled') then 'Untitled ' || first_page else coalesce(section_label, '') end lab from sz),
 lb as (select *, lag(lab) over (partition by doc_id order by ord, chunk_id) pl from la),
 pr as (select *, sum(cast(pl is null or pl <> lab as int)) over (partition by doc_id order by ord, chunk_id rows between unbounded preceding and current row) parent_run from lb)"""
@@ -247,14 +247,14 @@ pl as (select *, lag(chunk_id) over w pc, lag(held) over w pp from ph window w a
 pr as (select *, sum(cast(pc is null or (pp is not null and pp <> held) as int)) over (partition by doc_id order by ord, chunk_id rows between unbounded preceding and current row) parent_run from pl)"""
 
 
-@query(f"with {CURRENT}, {_SIZES}, {_SOFT} select * exclude (any_path) from ({_ROLL})")
+@query(f"with {CURRENT}, {_SIZES}, {_SOFT} select * from ({_ROLL})")
 def parents_soft(spark: SparkSession, d: str) -> DataFrame:
-    return C.parent_rollup(C.soft_parents(chunk_sizes(spark, d))).drop("header_path")
+    return C.parent_rollup(C.soft_parents(chunk_sizes(spark, d)))
 
 
-@query(f"with {CURRENT}, {_SIZES}, {_HEAD} select * exclude (any_path) from ({_ROLL})")
+@query(f"with {CURRENT}, {_SIZES}, {_HEAD} select * from ({_ROLL})")
 def parents_heading(spark: SparkSession, d: str) -> DataFrame:
-    return C.parent_rollup(C.heading_parents(chunk_sizes(spark, d))).drop("header_path")
+    return C.parent_rollup(C.heading_parents(chunk_sizes(spark, d)))
 
 
 @query("""with p as (select distinct chunk_id parent_id, unnest(child_ids) child_id from parent_chunks)
