@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docengine.llm.automaton import Automata
@@ -67,6 +67,7 @@ _NUMBER = re.compile(r"[$€£]?-?\d{1,3}(?:,\d{3})+(?:\.\d+)?[x%]?|[$€£]?-?\
 _CODE = re.compile(r"(?:FY|[A-Z]{1,4}-?)\d+|\d+[A-Z]?")
 _HALF_NUMBER = re.compile(r"[$€£]?\d{1,3}(?:,\d{3})*,?\d{0,2}")
 _PAGE = re.compile(r"(?:[\[\-]\s*)?(?:p[a@]?[gq]?[ec]?\.?\s+|p\.\s*)?([0-9lIiOoSsBbZqvx!|]{1,8})(?:\s+[o0][ft]\s+\S+|\s*\|\s*\S+)?(?:\s*[\]\-])?", re.I)
+_FIGURES, _NAMES, _WIDE = re.compile(r"\d+"), re.compile(r"\b(?:N|[A-Z][a-z@!015]\w*)(?: (?:N\b|[A-Z][a-z@!015]\w*))*"), re.compile(r"\s{3,}")
 _ROMAN = (("x", 10), ("ix", 9), ("v", 5), ("iv", 4), ("i", 1))
 
 
@@ -80,8 +81,7 @@ def fold(line: str) -> str:
 
 def template(line: str) -> str:
     """The form of a line: digits as 0, capitalized words as N."""
-    line = re.sub(r"\d+", "0", " ".join(line.split()))
-    return re.sub(r"\b(?:N|[A-Z][a-z@!015]\w*)(?: (?:N\b|[A-Z][a-z@!015]\w*))*", "N", line)
+    return _NAMES.sub("N", _FIGURES.sub("0", " ".join(line.split())))
 
 
 def _roman(n: int) -> str:
@@ -113,7 +113,7 @@ def running_part(line: str, page_no: int) -> tuple[str, bool]:
         return line, False
     if shows_page(line, page_no):
         return "", True
-    parts = re.split(r"\s{3,}", line)
+    parts = _WIDE.split(line)
     if len(parts) > 1 and shows_page(parts[-1], page_no):
         return "   ".join(parts[:-1]), True
     if len(parts) > 1 and shows_page(parts[0], page_no):
@@ -196,25 +196,33 @@ class Flat:
     number, whether its last word is broken, and the place of its first token (the total at
     the end); of each token its line and whether it is a piece of a word broken over lines."""
 
-    def __init__(self, texts: list[list[str]]):
-        tokens: list[str] = []
-        row, number, broken, first = [], [], [], []
-        for r, lines in enumerate(texts):
-            for i, line in enumerate(lines):
-                if line and (words := line.split()):
-                    row.append(r)
-                    number.append(i)
-                    broken.append(words[-1][-1] in HYPHENS and bool(broken_word(line)))
-                    first.append(len(tokens))
-                    tokens += words
-        self.tokens, self.row, self.number, self.broken = tokens, np.array(row, np.int64), np.array(number, np.int64), np.array(broken, bool)
-        self.first = np.append(np.array(first, np.int64), len(tokens))
-        self.line = np.repeat(np.arange(len(row)), np.diff(self.first))
-        self.piece = np.zeros(len(tokens), dtype=bool)
-        if len(row):
-            self.piece[self.first[1:][self.broken] - 1] = True
+    MARK = "\x00"  # between lines
+
+    def __init__(self, texts: list, numbers: Numbers):
+        lines = [x or "" for text in texts for x in text]
+        whole = f" {self.MARK} ".join(lines)
+        if whole.count(self.MARK) > len(lines):
+            whole = f" {self.MARK} ".join(x.replace(self.MARK, " ") for x in lines)
+        tokens = whole.split()
+        at = numbers.of(tokens)
+        marks = at == numbers[self.MARK]
+        self.tokens, self.at = [t for t in tokens if t != self.MARK], at[~marks]
+        of = np.cumsum(marks)[~marks]
+        self.first = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of))
+        some = of[self.first[:-1]]
+        counts = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.row = np.repeat(np.arange(len(texts)), counts)[some]
+        self.number = some - (np.cumsum(counts) - counts)[self.row]
+        last = self.first[1:] - 1
+        self.broken = np.array([self.tokens[i][-1] in HYPHENS for i in last.tolist()], dtype=bool)
+        for k in np.flatnonzero(self.broken).tolist():
+            self.broken[k] = bool(broken_word(lines[some[k]]))
+        self.line = np.repeat(np.arange(len(some)), np.diff(self.first))
+        self.piece = np.zeros(len(self.tokens), dtype=bool)
+        if len(some):
+            self.piece[last[self.broken]] = True
             for k in np.flatnonzero(self.broken[:-1] & (self.row[:-1] == self.row[1:])) + 1:
-                self.piece[first[k]] |= tokens[first[k]][0].islower()
+                self.piece[self.first[k]] |= self.tokens[self.first[k]][0].islower()
 
 
 def _cores(token: str) -> list[str]:
@@ -230,9 +238,9 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = [[x or "" for x in lines] for lines in pdf["raw_lines"]]
         edges = [e for doc, page, lines in zip(pdf["doc_id"], pdf["page_no"], texts, strict=True) for e in _edges(doc, page, lines)]
         yield pd.DataFrame(edges, columns=names[:9], dtype=object).assign(word=None, n=None, key=None)
-        flat = Flat(texts)
+        flat = Flat(texts, numbers)
+        at = flat.at
         file, docs = pd.factorize(pdf["doc_id"])
-        at = numbers.of(flat.tokens)
         width = max(1, len(numbers.tokens))
         pair, n = np.unique((file[flat.row[flat.line]] * width + at)[~flat.piece], return_counts=True)
         if len(cores) > cores.LIMIT:
@@ -411,8 +419,8 @@ def _suspects(vocabulary: dict[str, int], common: int, dubious: set[str], touche
         verdicts: list[tuple] = []
         asked: dict[tuple[str, str], bool] = {}
         for pdf in batches:
-            flat = Flat(pdf["raw_lines"].tolist())
-            at, tokens = numbers.of(flat.tokens), flat.tokens
+            flat = Flat(pdf["raw_lines"].tolist(), numbers)
+            at, tokens = flat.at, flat.tokens
             if len(verdicts) > len(numbers.tokens):
                 verdicts = []
             verdicts += [judged(t) for t in numbers.tokens[len(verdicts) :]]
@@ -517,8 +525,8 @@ def _pairs(candidates: set[str], bits: np.ndarray):
         numbers, core = Numbers(), Numbers()
         of: list[int] = []
         for pdf in batches:
-            flat = Flat(pdf["raw_lines"].tolist())
-            at = numbers.of(flat.tokens)
+            flat = Flat(pdf["raw_lines"].tolist(), numbers)
+            at = flat.at
             if len(of) > len(numbers.tokens):
                 of, core = [], Numbers()
             of += [core[t.strip(_PUNCT).lower()] for t in numbers.tokens[len(of) :]]
@@ -612,8 +620,9 @@ def _marks_and_rests(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     words = seen.where("zone is null").select(F.xxhash64("doc_id", "key").alias("class"), "word", "n")
     counts = checkpoint(words.groupBy("word").agg(F.sum("n").alias("n")))
     # class: file and confusion class; only words that share theirs with another can be meant for each other
-    file_words = words.repartition("class").groupBy("class", "word").agg(F.sum("n").alias("n")).withColumn("rivals", F.count("*").over(Window.partitionBy("class"))).where("rivals > 1")
-    file_words = checkpoint(file_words.select("class", "word", "n"))
+    word = F.xxhash64("word")
+    rival = words.groupBy("class").agg(F.min(word).alias("a"), F.max(word).alias("b")).where("a <> b").select("class")
+    file_words = checkpoint(words.join(rival, "class", "left_semi").groupBy("class", "word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     least = max(3, VOCABULARY * total)
     vocabulary = {r["word"]: r["n"] for r in counts.where(F.col("n") >= least).toLocalIterator()}
