@@ -42,8 +42,14 @@ def test_upsert_and_stream(spark, tmp_path):
     schema = "namespace string, id string, values array<float>, v int"
     sinks.upsert_vectors(spark, spark.createDataFrame([("n", "a", [1.0], 1), ("n", "", [1.0], 1), ("n", "b", [], 1)], schema), str(tmp_path / "t"), "v")
     sinks.upsert_vectors(spark, spark.createDataFrame([("n", "a", [2.0], 2), ("n", "c", [3.0], 1)], schema), str(tmp_path / "t"), "v")
-    last = sinks.latest_version(spark, str(tmp_path / "t"))
-    assert sorted((r["id"], r["values"]) for r in spark.read.parquet(f"{tmp_path}/t/v={last}").collect()) == [("a", [2.0]), ("c", [3.0])]
+    assert sinks.latest_version(spark, str(tmp_path / "t")) == 1
+    stored = lambda: sorted((r["id"], r["values"]) for r in sinks.read_vectors(spark, str(tmp_path / "t")).collect())
+    assert stored() == [("a", [2.0]), ("c", [3.0])]
+    many = spark.range(300).selectExpr("'n' namespace", "concat('k', id) id", "array(cast(id as float)) values", "1 v").select(*[c.split()[0] for c in schema.split(", ")])
+    sinks.upsert_vectors(spark, many, str(tmp_path / "t"), "v")
+    sinks.upsert_vectors(spark, spark.createDataFrame([("n", "k7", [0.5], 2), ("n", "a", [9.0], 1)], schema), str(tmp_path / "t"), "v")
+    assert len(stored()) == 302 and ("k7", [0.5]) in stored() and ("a", [2.0]) in stored()
+    assert len([x for x in (tmp_path / "t" / "v=3").iterdir() if x.name.startswith("vector_bucket=")]) == 2 and sinks.read_vectors(spark, str(tmp_path / "none")) is None
     rows = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "k int, t int")
     rows.write.parquet(str(tmp_path / "s"))
     assert sorted(map(tuple, stream_latest(spark, str(tmp_path / "s"), rows.schema, ["k"], "t").collect())) == [(1, 2), (2, 1)]
