@@ -2,11 +2,13 @@
 
 Method. Words are counted over all pages. The frequent ones form a vocabulary trie, and
 the Levenshtein automaton of every other distinct word is intersected with it
-(``automaton``), which gives all words of the vocabulary within two edits: insertions,
-deletions, substitutions, swaps and the scanners' usual misreadings, one or two characters
-for one or two. Candidates are weighed as in a noisy channel: by how often they occur, over
-12 for each misreading and over GENERIC times as much for any other edit, since scanners
-misread in few ways. A word is misread if a candidate outweighs it by RATIO. Where several
+(``automaton``), which gives all words within two edits: insertions, deletions,
+substitutions, swaps and the scanners' usual misreadings, one or two characters for one or
+two. Candidates are weighed as in a noisy channel: by how often they occur, over 12 for each
+misreading and over GENERIC times as much for any other edit, since scanners misread in few
+ways. A word that occurs fewer than RATIO * GENERIC times can't outweigh any other by an
+unusual edit; such words of the vocabulary are sought by the usual misreadings only
+(``Trie``), and so are the candidates of words with signs or figures in them. A word is misread if a candidate outweighs it by RATIO. Where several
 do, or one by an edit that is no usual misreading, each place of the word is ranked by its
 context: the weight times the counts of the candidate's pairs with the word to the left and
 to the right, over all pages; an unusual edit needs such a pair. Blanks inside words are
