@@ -264,6 +264,8 @@ va as (select f.run_id, f.field_id, f.rn, f.chunk_id, nullif(regexp_extract(tx.t
 select p.run_id, p.field_id, x.v as value, x.chunk_id from (select distinct run_id, field_id from f) p left join (select run_id, field_id, arg_min(v, rn) v, arg_min(chunk_id, rn) chunk_id from va where v is not null group by 1, 2) x using (run_id, field_id)""")
 def field_values(spark: SparkSession, d: str) -> DataFrame:
     """The first amount in each field's pack, with the chunk that holds it."""
-    hits, chunks, parents = pool(spark, d)
-    texts = chunks.select("chunk_id", "text").unionByName(parents.select("chunk_id", "text"))
-    return E.extracted(_packs(spark, d).join(texts, "chunk_id"), ["run_id", "field_id"], E.first_amount(F.col("text")))
+    _, chunks, parents = pool(spark, d)
+    amounts = lambda df, name: df.select("chunk_id", E.first_amount(F.col("text")).alias(name)).where(F.col(name).isNotNull())
+    # no join over a union of both: Spark takes it to be partitioned as its parts are, and fails where it is not broadcast
+    rows = _packs(spark, d).join(amounts(chunks, "own"), "chunk_id", "left").join(amounts(parents, "held"), "chunk_id", "left")
+    return E.extracted(rows, ["run_id", "field_id"], F.least("own", "held"))
