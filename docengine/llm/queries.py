@@ -32,7 +32,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scans.marks(table(spark, sf_dir, "page_blocks")).select("doc_id", "page_no", "line_no", "kind").distinct()
+    return scans.marked_lines(table(spark, sf_dir, "page_blocks"))
 
 
 def p5_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
