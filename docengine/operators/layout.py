@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -20,6 +21,7 @@ from docengine.operators.shapes import anchored_groups, greedy_pairs, runs
 #: How a table says that it goes on.
 CONTINUED = r"\((continued|cont\.|续|续表)\)"
 PARTS = 16  # groups that the texts of a page are dealt to
+TASKS = 4  # tasks for each shuffle partition, where the rows are many times those shuffled
 
 
 def cleaned_boxes(df: DataFrame, scale: float = 1.0) -> DataFrame:
@@ -285,25 +287,26 @@ def table_texts(tables: DataFrame, spans: DataFrame, by: Sequence[str], key: str
     their own area; one that lies in it by more than ``whole`` is split at wide gaps into
     cells of equal width, another is one cell: ``*by, table_id, key, nth, cell, x0, x1``.
     tables: ``*by, table_id`` and box; spans: ``*by, key, text`` and box."""
-    by = list(by)
-    # cells are made once a text, not once a pair: those of a text well inside a table and those of another, once where both are the same
+    by, box, proper = list(by), ["x0", "y0", "x1", "y1"], "x0 < x1 and y0 < y1"
+    # cells are made once a text, not once a pair: those of a text well inside a table and those of another, once where both are the same; each with the shares above which and up to which it holds (NaN is above all numbers)
     inside, outside = B.split_cells(F.col("text")), F.array(F.trim("text"))
-    form = lambda cells, split: F.struct(cells.alias("cells"), F.lit(split).cast("boolean").alias("split"))
-    forms = F.when(inside == outside, F.array(form(inside, None))).otherwise(F.array(form(inside, True), form(outside, False)))
-    box = ["x0", "y0", "x1", "y1"]
-    made = spans.select(*by, key, *box, F.explode(forms).alias("_f")).select(*by, key, *box, F.col("_f.split").alias("_split"), F.size("_f.cells").alias("_n"), F.posexplode("_f.cells").alias("nth", "cell"))
+    form = lambda cells, above, up_to: F.struct(cells.alias("cells"), F.lit(above).alias("above"), F.lit(up_to).alias("up_to"))
+    forms = F.when(inside == outside, F.array(form(inside, least, math.nan))).otherwise(F.array(form(inside, max(least, whole), math.nan), form(outside, least, whole)))
+    made = spans.where(proper).select(*by, key, *box, F.explode(forms).alias("_f")).select(*by, key, *box, F.col("_f.above").alias("_above"), F.col("_f.up_to").alias("_up_to"), F.size("_f.cells").alias("_n"), F.posexplode("_f.cells").alias("nth", "cell"))
     width = (F.col("x1") - F.col("x0")) / F.col("_n")
     made = made.withColumns({"_from": F.col("x0") + F.col("nth") * width, "_to": F.col("x0") + (F.col("nth") + 1) * width, "_area": (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))})
-    # a page's texts are dealt to PARTS groups, and its tables go to each of them
-    s = made.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")).alias("s")
-    t = tables.select(*by, "table_id", *box, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part")).alias("t")
+    # a page's texts are dealt to PARTS groups, and its tables go to each of them; tables are on the right, which is held while each text passes, so that rows of a text follow each other
+    tasks = TASKS * int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = made.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")).repartition(tasks, *by, "_part").alias("s")
+    t = tables.where(proper).select(*by, "table_id", *box, F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part")).repartition(tasks, *by, "_part").alias("t")
+    # boxes are proper, so those that overlap share an area above 0
     w = F.least("t.x1", "s.x1") - F.greatest("t.x0", "s.x0")
     h = F.least("t.y1", "s.y1") - F.greatest("t.y0", "s.y0")
-    share = F.when((w > 0) & (h > 0), w * h / F.col("s._area")).otherwise(0.0)
+    share = w * h / F.col("s._area")
     cond = [F.col(f"t.{c}") == F.col(f"s.{c}") for c in (*by, "_part")]
     cond += [F.col("s.x0") < F.col("t.x1"), F.col("s.x1") > F.col("t.x0"), F.col("s.y0") < F.col("t.y1"), F.col("s.y1") > F.col("t.y0")]
-    cond += [share > least, F.col("s._split").isNull() | (F.col("s._split") == (share > whole))]
-    both = t.join(s, reduce(lambda a, b: a & b, cond))
+    cond += [share > F.col("s._above"), share <= F.col("s._up_to")]
+    both = s.join(t, reduce(lambda a, b: a & b, cond))
     return both.select(*[F.col(f"t.{c}") for c in by], "t.table_id", F.col(f"s.{key}"), "s.nth", "s.cell", F.col("s._from").alias("x0"), F.col("s._to").alias("x1"))
 
 
